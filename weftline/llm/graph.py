@@ -1,0 +1,38 @@
+"""Distributed union-find: connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import cut, drop
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node of ``edges``; component is its smallest node.
+
+    Each round hangs every node under its smallest neighbour and contracts the
+    edges along those parents; a component's smallest node never moves, so the
+    last label left is that node.  The number of edges at least halves until
+    none is left.  Parents of all rounds are then followed in turn.  No step
+    gathers a component in one task.  Null ends and self-loops join nothing.
+    """
+    e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
+    e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    parents = []
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = e
+    while not e.isEmpty():
+        both = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
+        up = cut(both.groupBy("x.node").agg(F.least(F.min("x.other"), F.col("node")).alias("up")), "parents")
+        parents.append(up)
+        p, q = up.select(F.col("node").alias("a"), F.col("up").alias("pa")), up.select(F.col("node").alias("b"), F.col("up").alias("pb"))
+        met = e.join(p, "a").join(q, "b").where("pa <> pb")
+        after = cut(met.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        if e is not first:
+            drop(e)
+        e = after
+    out = nodes.withColumn("component", F.col("node"))
+    for up in parents:
+        out = out.join(up.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    return cut(out, "components")

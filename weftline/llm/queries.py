@@ -1,11 +1,12 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import jaccard_join, secrets, url_filter
+from . import jaccard_join, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op9_quality_resampling": quality.op9_quality_resampling,
 }
 
 ORACLE_SQL = {

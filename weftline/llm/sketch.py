@@ -100,3 +100,28 @@ def id_filter(df: DataFrame, col: str, bits: int = 23) -> IdFilter:
 def differing_bits(a: Column, b: Column) -> Column:
     """How many bits two arrays of longs differ in."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def vector_sum(df: DataFrame, rows: int, size: int, tally: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
+    """The sum over all tasks of a rows x size table of counts that ``tally`` adds to.
+
+    Only those rows * size numbers reach the driver, at any scale.
+    """
+    block = min(size, BLOCK)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rows, size), np.int64)
+        for batch in batches:
+            tally(batch, total)
+        flat = total.reshape(-1, block)
+        ids = np.flatnonzero(flat.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array([zlib.compress(flat[i].tobytes(), 1) for i in ids], pa.binary())], names=["block", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [total.tobytes()]})
+
+    out = np.zeros((rows * size // block, block), np.int64)
+    for r in df.mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return out.reshape(rows, size)

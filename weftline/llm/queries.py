@@ -1,15 +1,17 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import jaccard_join, line_dedup, quality, secrets, url_filter
+from . import jaccard_join, line_dedup, mixing, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_fuzzy_line_dedup": line_dedup.op2_fuzzy_line_dedup,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
+    "op8_source_mixing": mixing.op8_source_mixing,
     "op9_quality_resampling": quality.op9_quality_resampling,
 }
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.ORACLE,
+    "op8_source_mixing": mixing.ORACLE,
 }

@@ -26,11 +26,10 @@ all are kept.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -122,10 +121,9 @@ def labelled_sample(labels: DataFrame, most: int, id_col: str, label_col: str) -
     return {r["i"]: (r["q"] > 0, k % 2 == 0) for k, r in enumerate(rows)}
 
 
-def log_weights(docs: DataFrame, sample: dict[int, tuple[bool, bool]], text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, log_weight) of every document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    target_ids = np.array(sorted(i for i, (good, fit) in sample.items() if good and fit), np.int64)
+def fit(rows: DataFrame, sample: dict[int, tuple[bool, bool]]) -> np.ndarray:
+    """The log ratio of each bucket; ``rows`` are (doc_id, text) of every document."""
+    target_ids = np.array(sorted(i for i, (good, used) in sample.items() if good and used), np.int64)
 
     def tally(batch: pa.RecordBatch, total: np.ndarray) -> None:
         ids = batch.column(0).fill_null(-(2**63)).to_numpy()
@@ -137,17 +135,22 @@ def log_weights(docs: DataFrame, sample: dict[int, tuple[bool, bool]], text_col:
                 total[1] += np.bincount(bucket[target[first:end][owner]], minlength=BUCKETS)
 
     counts = vector_sum(rows, 2, BUCKETS, tally)
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(counts[1], counts[0]))
+    return log_ratio(counts[1], counts[0])
+
+
+def weigher(spark: SparkSession, ratio: np.ndarray):
+    """A column function: the log weight of a text."""
+    spread = spark.sparkContext.broadcast(ratio)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for first, end, raw, offsets in hashing.runs(batch.column(1)):
-                bucket, owner = features(raw, offsets)
-                out.append(np.bincount(owner, weights=ratio.value[bucket], minlength=end - first))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], names=["doc_id", "log_weight"])
+    @F.pandas_udf("double")
+    def weight(texts: pd.Series) -> pd.Series:
+        out = []
+        for first, end, raw, offsets in hashing.runs(pa.array(texts, pa.large_string())):
+            bucket, owner = features(raw, offsets)
+            out.append(np.bincount(owner, weights=spread.value[bucket], minlength=end - first))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return rows.mapInArrow(score, "doc_id long, log_weight double")
+    return weight
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096, few: int = 20_000) -> float:
@@ -179,21 +182,33 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096, few: int = 20
     return part.orderBy(F.desc(col)).limit(k).agg(F.min(col)).first()[0]
 
 
+def draw_key(log_weight: Column, id_col: str, seed: int) -> Column:
+    """The log weight plus Gumbel noise from a hash of seed and id."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 12).cast("double") + 0.5) / float(1 << 52)
+    return log_weight - F.log(-F.log(u))
+
+
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_weight, draw_key, selected), one row for each document."""
+    """``docs`` with ``log_weight``, ``draw_key`` and ``selected``; no row is shuffled."""
+    spark = docs.sparkSession
     sample = labelled_sample(labels, max_labelled, id_col, label_col)
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 12).cast("double") + 0.5) / float(1 << 52)
-    keyed = cut(log_weights(docs, sample, text_col, id_col).withColumn("draw_key", F.col("log_weight") - F.log(-F.log(u))), "keys")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    weight = weigher(spark, fit(rows, sample))
+    keyed = rows.select("doc_id", weight("text").alias("log_weight"))
+    keyed = cut(keyed.withColumn("draw_key", draw_key(F.col("log_weight"), "doc_id", seed)), "keys")
     if k is None:
-        held = {i: good for i, (good, fit) in sample.items() if not fit}
-        ids = docs.sparkSession.createDataFrame([(i, g) for i, g in held.items()], "doc_id long, good boolean")
+        held = [(i, good) for i, (good, used) in sample.items() if not used]
+        ids = spark.createDataFrame(held, "doc_id long, good boolean")
         found = keyed.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("log_weight").alias("w"), F.first("good").alias("g")).collect()
         part = cutoff(np.array([r["w"] for r in found]), np.array([r["g"] for r in found], bool))
         k = keyed.where(F.col("log_weight") > part).count()
     least = kth_largest(keyed, "draw_key", k)
-    return keyed.withColumn("selected", F.col("draw_key") >= F.lit(least))
+    out = docs.withColumn("log_weight", weight(F.col(text_col).cast("string")))
+    out = out.withColumn("draw_key", draw_key(F.col("log_weight"), id_col, seed))
+    return out.withColumn("selected", F.col("draw_key") >= F.lit(least))
 
 
 def op9_quality_resampling(spark, sf_dir: str) -> DataFrame:
     """Every document's importance weight, draw key and whether it is drawn."""
-    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "draw_key", "selected")

@@ -1,10 +1,11 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import jaccard_join, line_dedup, mixing, quality, secrets, url_filter
+from . import jaccard_join, line_dedup, mixing, packing, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_fuzzy_line_dedup": line_dedup.op2_fuzzy_line_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_ngram_jaccard_join": jaccard_join.op6_ngram_jaccard_join,
     "op8_source_mixing": mixing.op8_source_mixing,

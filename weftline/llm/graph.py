@@ -18,9 +18,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     gathers a component in one task.  Null ends and self-loops join nothing.
     """
     e = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
-    e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    e = cut(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
     parents = []
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     first = e
     while not e.isEmpty():
         both = e.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("x"))
@@ -32,7 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if e is not first:
             drop(e)
         e = after
-    out = nodes.withColumn("component", F.col("node"))
-    for up in parents:
+    if not parents:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = parents[0].select("node", F.col("up").alias("component"))  # every node is in the first round
+    for up in parents[1:]:
         out = out.join(up.select(F.col("node").alias("component"), "up"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
     return cut(out, "components")

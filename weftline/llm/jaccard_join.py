@@ -17,7 +17,8 @@ of distinct word shingles.  The steps:
    the last round compares only pairs that still lie in different components.
    Components stay exact while a dense group costs a few comparisons a set.
 5. Candidates are first held against 1,024-bit set bitmaps (a lower bound of the
-   difference, so no link is lost) and then verified on whole sets.
+   difference, so no link is lost) and then verified on whole sets.  Long lists
+   carry the bitmaps with them, so only likely pairs leave their tasks.
 
 Lists of heavy shingles are dealt out by pairs of blocks, so that no task holds
 more than two blocks of a list, whatever its length.
@@ -38,17 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .graph import components
-from .scratch import cut, drop, table
+from .lists import LIST_BLOCK, WORDS, in_cells, settled, split_lists
+from .scratch import cut, table
 from .sketch import IdFilter, TokenLoads, differing_bits, id_filter, token_loads
 
-LIST_BLOCK = 4096
-SHORT_LIST = 24
-LEADERS = 6
-LEADER_ROUNDS = 2
-WORDS = 16  # of 64 bits in a set's bitmap
-
-
 def _sets(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, set members ascending back to back, bounds)."""
     for first, end, raw, offsets in hashing.runs(col):
@@ -67,11 +61,6 @@ def _digests(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def needed_overlap(total: np.ndarray, percent: int) -> np.ndarray:
-    """The least overlap of two linked sets whose sizes add up to ``total``."""
-    return -((-percent * total) // (100 + percent))
-
-
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     flat = np.concatenate(arrays) if arrays else np.zeros(0)
     ends = np.cumsum([0] + [len(a) for a in arrays])
@@ -113,84 +102,6 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, loads: TokenLoads, text_
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(of, "doc_id long, size int, sid long, tokens array<long>, blocks array<int>, bits array<long>")
 
 
-def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Column arrays of whole lists, and the lists' bounds; rows come sorted by list."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(0).to_numpy()
-        starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if not len(starts) and (not held or held[-1].column(0)[-1].as_py() == keys[0]):
-            held.append(batch)
-            continue
-        at = int(starts[-1]) if len(starts) else 0
-        yield from _cut_lists([*held, batch.slice(0, at)])
-        held = [batch.slice(at)]
-    yield from _cut_lists(held)
-
-
-def _cut_lists(batches: list[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    if batches and (whole := pa.Table.from_batches(batches)).num_rows:
-        cols = {c: whole[c].to_numpy() for c in whole.column_names}
-        keys = cols["list"]
-        yield cols, np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
-
-
-def _alive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists that hold more than one set."""
-    for cols, bounds in _whole_lists(batches):
-        keep = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in cols.values()], names=list(cols))
-
-
-def _pairs_of_list(size, pos, side, comp, sid, percent: int, last: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (as indices) of one list, whose rows come by size."""
-    m = len(size)
-    if last or m <= SHORT_LIST:
-        heads = np.arange(m)
-    else:
-        heads = np.sort(np.argsort(hashing.mix(sid.view(np.uint64) + np.uint64(seed)), kind="stable")[:LEADERS])
-    if last and m <= SHORT_LIST:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lead = np.zeros(m, bool)
-    lead[heads] = True
-    # the block of sizes that a head can link with
-    low = np.searchsorted(size, -(-size[heads].astype(np.int64) * percent // 100))
-    high = np.searchsorted(size, size[heads].astype(np.int64) * 100 // percent, "right")
-    left, right = [], []
-    for h, a, b in zip(heads, low, high, strict=True):
-        j = np.arange(a, b)
-        j = j[(j > h) | (~lead[j] & (j != h))]
-        need = needed_overlap(size[h].astype(np.int64) + size[j], percent)
-        reach = 1 + np.minimum(size[h] - pos[h] - 1, size[j] - pos[j] - 1)
-        j = j[(reach >= need) & (comp[j] != comp[h]) & ((side[j] != side[h]) | (side[h] == 2))]
-        left.append(np.full(len(j), h))
-        right.append(j)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _candidates(lists: DataFrame, percent: int, last: bool, seed: int) -> DataFrame:
-    """Distinct pairs (a < b) of sets to compare in this round."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, bounds in _whole_lists(batches):
-            found = [np.zeros((0, 2), np.int64)]
-            for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-                if e - s > 1:
-                    v = {k: c[s:e] for k, c in cols.items()}
-                    i, j = _pairs_of_list(v["size"], v["pos"], v["side"], v["comp"], v["sid"], percent, last, seed)
-                    if len(i):
-                        found.append(np.stack([np.minimum(v["sid"][i], v["sid"][j]), np.maximum(v["sid"][i], v["sid"][j])], axis=1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for k in range(0, len(pairs), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[k : k + 50_000, 0]), pa.array(pairs[k : k + 50_000, 1])], names=["a", "b"])
-
-    rows = lists.repartition("list").sortWithinPartitions("list", "size", "sid").select("list", "sid", "size", "pos", "side", "comp")
-    return rows.mapInArrow(emit, "a long, b long").where("a <> b").distinct()
-
-
 def _packed(docs: DataFrame, wanted: DataFrame, n: int, text_col: str, id_col: str) -> DataFrame:
     """(sid, members): whole sets of the wanted (sid, doc_id), 6 bytes a member."""
     words = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id").words)
@@ -257,37 +168,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, text_col:
     short = cut(one.select("sid", "doc_id", "size", "bits").dropDuplicates(["sid"]), "short")
     post = one.select("sid", "size", F.posexplode(F.arrays_zip("tokens", "blocks")).alias("pos", "t"))
     post = post.select("sid", "size", "pos", F.col("t.tokens").alias("token"), F.col("t.blocks").alias("n"))
-    mine = F.pmod(F.xxhash64("sid"), F.col("n")).cast("int")
-    post = post.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    cell = F.least("mine", "other") * F.col("n") + F.greatest("mine", "other")
-    # side 2: its block meets itself; else 0 and 1 meet each other
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    post = post.select(F.when(F.col("n") == 1, F.col("token")).otherwise(F.xxhash64("token", cell)).alias("list"), "sid", "size", "pos", side.alias("side"))
-    alive = post.repartition("list").sortWithinPartitions("list").mapInArrow(_alive, post.schema)
-    lists = cut(alive.dropDuplicates(["list", "sid"]), "lists")
-
-    links = None
-    comp = None
-    for turn in range(LEADER_ROUNDS + 1):
-        last = turn == LEADER_ROUNDS
-        now = lists.withColumn("comp", F.col("sid"))
-        if comp is not None:
-            now = lists.join(comp.select(F.col("node").alias("sid"), F.col("component").alias("c")), "sid", "left").withColumn("comp", F.coalesce("c", "sid")).drop("c")
-        pairs = _candidates(now, percent, last, turn + 1)
-        x = short.select(F.col("sid").alias("a"), F.col("size").alias("na"), F.col("bits").alias("xa"))
-        y = short.select(F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("xb"))
-        total = F.col("na") + F.col("nb")
-        most = total - 2 * F.ceil(percent * total / F.lit(100 + percent))
-        pairs = cut(pairs.join(x, "a").join(y, "b").where(differing_bits(F.col("xa"), F.col("xb")) <= most).select("a", "b"), "pairs")
-        if not pairs.isEmpty():
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-            wanted = cut(ends.join(short.select("sid", "doc_id"), "sid"), "wanted")
-            full = cut(_packed(docs, wanted, n, text_col, id_col), "full")
-            found = cut(_verified(pairs, full, percent), "links")
-            drop(full)
-            links = found if links is None else links.unionByName(found)
-            comp = components(links)
-        drop(pairs)
+    lists = split_lists(in_cells(post, "token", "n", F.col("size"), F.col("pos")), percent)
+
+    x = short.select(F.col("sid").alias("a"), F.col("size").alias("na"), F.col("bits").alias("xa"))
+    y = short.select(F.col("sid").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("xb"))
+    total = F.col("na") + F.col("nb")
+    most = total - 2 * F.ceil(percent * total / F.lit(100 + percent))
+    pairs = lists.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = pairs.join(x, "a").join(y, "b").where(differing_bits(F.col("xa"), F.col("xb")) <= most).select("a", "b")
+
+    marked = short.select("sid", F.to_binary(F.array_join(F.transform("bits", lambda v: F.lpad(F.hex(v), 16, "0")), ""), F.lit("hex")).alias("marks"))
+    long = cut(lists.where("other is null").select("list", "at", "sid").join(marked, "sid"), "long")
+
+    def verify(todo: DataFrame) -> DataFrame:
+        ends = todo.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        wanted = cut(ends.join(short.select("sid", "doc_id"), "sid"), "wanted")
+        return _verified(todo, cut(_packed(docs, wanted, n, text_col, id_col), "full"), percent)
+
+    comp = settled(pairs, long, percent, verify)
     own = sets.select("doc_id", F.col("size").cast("long").alias("n_shingles"), "sid")
     if comp is None:
         label = reps.select("sid", F.col("doc_id").alias("component_id"))

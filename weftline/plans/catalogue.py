@@ -1,4 +1,20 @@
-"""All queries over the relational tables, and their SQL twins."""
+"""All queries over the relational tables, and their SQL twins.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Each query applies the library's operators to the given tables; the tables stand
+in for listings (orders for courses, customers for providers, nations and regions
+for cities and areas).  Whole tables are read; limits are part of a report only.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import facets, integration, matching, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+for _module in (facets, integration, matching, texts):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

@@ -7,11 +7,10 @@ A line is compared stripped and lower-cased; blank lines are never touched.
    similarity 0.8 share a band with probability 0.985, of 0.9 with 0.9997.
 2. Equal lines collapse (partially before the shuffle), each with its first
    occurrence by document id, then line number.
-3. Rounds over the bands: the members of a band key are paired with one leader,
-   the pairs are verified by exact Jaccard similarity of their shingle sets, and
-   union-find joins what links.  Members that a leader does not reach elect
-   another leader in the next round, until every key is settled.  A key with m
-   members costs m comparisons a round, never m squared.
+3. Lines that share a band key are compared by exact Jaccard similarity of their
+   shingle sets: all pairs of a short list.  A long list, in which only pairs not
+   yet joined are compared and shingle bitmaps exclude most, gives spanning links.
+   Distributed union-find joins what links.
 4. Every component keeps one line, its first occurrence; all other occurrences
    are removed from their documents.
 
@@ -21,8 +20,8 @@ filters that are broadcast have a fixed size.
 
 Edge cases: a null text stays null, an empty one empty.  Rows with equal ids
 (repeated rows) count as one document and lose the same lines; a null id sorts
-first.  Other columns stay as they are; ``n_lines``, ``n_removed`` and, if there
-is one, ``n_chars`` are replaced.
+first.  Other columns stay as they are, but for the two counts (whose names are
+parameters) and ``n_chars``, if there is one.
 """
 
 from __future__ import annotations
@@ -38,13 +37,15 @@ from pyspark.sql import types as T
 
 from . import hashing
 from .graph import components
-from .scratch import cut, drop, table
+from .lists import LIST_BLOCK, in_cells, met, needed_overlap, split_lists, whole_lists
+from .scratch import cut, table
 from .sketch import IdFilter, id_filter
 
 SHINGLE = 8
 BANDS = 8
 ROWS = 4
 PERCENT = 80
+MARKS = 4096  # bits in a line's bitmap
 RUN_CHARS = 400_000
 _RANDOM = np.random.default_rng(11)
 _FACTORS = (_RANDOM.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -134,9 +135,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(distinct: DataFrame) -> DataFrame:
-    """(key, h) of every band key that more than one distinct line has."""
+    """(key, n, sid) of every band key that more than one distinct line has."""
     rows = distinct.select("h", F.explode(F.array(*_BAND_COLS)).alias("key")).where("key is not null")
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     words = distinct.sparkSession.sparkContext.broadcast(id_filter(shared, "key").words)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +148,10 @@ def _members(distinct: DataFrame) -> DataFrame:
                 key = batch.column(k + 1)
                 ok = ids.may_hold(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)
                 if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(key.fill_null(0).to_numpy()[ok]), pa.array(h[ok])], names=["key", "h"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.fill_null(0).to_numpy()[ok]), pa.array(h[ok])], names=["key", "sid"])
 
-    few = distinct.select("h", *_BAND_COLS).mapInArrow(likely, "key long, h long")
-    return cut(few.join(shared, "key"), "members")
+    few = distinct.select("h", *_BAND_COLS).mapInArrow(likely, "key long, sid long")
+    return few.join(shared, "key").select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"), "sid")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -194,32 +195,71 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
 
 
-def line_components(docs: DataFrame, distinct: DataFrame, text_col: str, id_col: str) -> DataFrame | None:
+def shingle_hashes(line: str, size: int = SHINGLE) -> np.ndarray:
+    """The distinct 64-bit hashes of a line's shingles, ascending."""
+    text = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(1, len(text) - size + 1)
+    h = np.full(n, len(text[:size]), np.uint64)
+    for k in range(min(size, len(text))):
+        h = hashing.mix(h + text[k : k + n])
+    return np.unique(h)
+
+
+def spanning_links(texts: list[str], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join a list's lines as all their links would.
+
+    Every pair is either verified, excluded by its bitmaps (a lower bound of the
+    difference), or already joined by other links.
+    """
+    sets = [shingle_hashes(x) for x in texts]
+    size = np.array([len(x) for x in sets], np.int64)
+    marks = np.zeros((len(sets), MARKS), bool)
+    marks[np.repeat(np.arange(len(sets)), size), (np.concatenate(sets) & np.uint64(MARKS - 1)).astype(np.int64)] = True
+    bits = np.packbits(marks, axis=1).view(np.uint64)
+    comp = np.arange(len(sets))
+    out = []
+    for h in range(len(sets) - 1):
+        j = np.arange(h + 1, len(sets))
+        j = j[(comp[j] != comp[h]) & met(side[j], side[h])]
+        total = size[h] + size[j]
+        apart = np.bitwise_count(bits[j] ^ bits[h]).sum(axis=1, dtype=np.int64)
+        near = apart <= total - 2 * needed_overlap(total, percent)
+        j = j[near][np.argsort(apart[near], kind="stable")]
+        while len(j):
+            both = len(np.intersect1d(sets[h], sets[j[0]], assume_unique=True))
+            if 100 * both >= percent * (size[h] + size[j[0]] - both):
+                out.append((h, int(j[0])))
+                comp[comp == comp[j[0]]] = comp[h]
+                j = j[comp[j] != comp[h]]
+            else:
+                j = j[1:]
+    return out
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of whole long lists."""
+    for cols, bounds in whole_lists(batches):
+        a, b = [], []
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            for i, j in spanning_links(list(cols["x"][s:e]), cols["at"][s:e] & 3):
+                a.append(cols["sid"][s + i])
+                b.append(cols["sid"][s + j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def line_components(docs: DataFrame, distinct: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(node, component) of the distinct lines that link with another one."""
-    left = members = _members(distinct)
-    links = comp = None
-    while True:
-        lead = left.groupBy("key").agg(F.min("h").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-        led = left.join(lead, "key")
-        pairs = cut(led.where("a <> h").select("a", F.col("h").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            return comp
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        wanted = cut(ends.join(distinct.select("h", F.col("first.doc").alias("doc")), "h"), "wanted")
-        texts = cut(_texts(docs, wanted, text_col, id_col), "texts")
-        found = cut(_verified(pairs, texts), "links")
-        drop(texts)
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-        # those whom their leader did not reach go on
-        c = comp.select(F.col("node").alias("h"), F.col("component").alias("ch"))
-        la = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        rest = led.where("a <> h").join(c, "h", "left").join(la, "a", "left")
-        after = cut(rest.where(F.coalesce("ch", "h") != F.coalesce("ca", "a")).select("key", "h"), "members")
-        drop(pairs)
-        if left is not members:
-            drop(left)
-        left = after
+    none = F.lit(0)  # sizes are not known here, and a key has no position
+    lists = split_lists(in_cells(_members(distinct), "key", "blocks", none, none), 0)
+    pairs = lists.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = cut(pairs, "pairs")
+    long = lists.where("other is null").select("list", "at", "sid")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(long.select(F.col("sid").alias("h"))).distinct()
+    wanted = cut(ends.join(distinct.select("h", F.col("first.doc").alias("doc")), "h"), "wanted")
+    texts = cut(_texts(docs, wanted, text_col, id_col), "texts")
+    rows = long.join(texts.withColumnRenamed("h", "sid"), "sid").select("list", "at", "sid", "x")
+    rows = rows.repartition("list").sortWithinPartitions("list", "sid")
+    return components(cut(_verified(pairs, texts).unionByName(rows.mapInArrow(_solved, "a long, b long")), "links"))
 
 
 def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -229,20 +269,16 @@ def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     place = F.struct(F.col("doc_id").alias("doc"), F.col("line").alias("line"))
     distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in _BAND_COLS]), "distinct")
     comp = line_components(docs, distinct, text_col, id_col)
-    label = distinct.select("h", "first", "n", F.col("h").alias("component"))
-    if comp is not None:
-        label = distinct.select("h", "first", "n").join(comp.select(F.col("node").alias("h"), "component"), "h", "left")
-        kept = label.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-        label = label.join(kept, "component", "left").where("n > 1 or component is not null").select("h", F.coalesce("keep", "first").alias("keep"))
-    else:
-        label = label.where("n > 1").select("h", F.col("first").alias("keep"))
+    label = distinct.select("h", "first", "n").join(comp.select(F.col("node").alias("h"), "component"), "h", "left")
+    kept = label.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
+    label = label.join(kept, "component", "left").where("n > 1 or component is not null").select("h", F.coalesce("keep", "first").alias("keep"))
     seen = lines.select("doc_id", "line", "h").join(label, "h")
     gone = seen.where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc")) & (F.col("line") == F.col("keep.line"))))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the text that is left, ``n_lines`` and ``n_removed`` (not blank ones)."""
+def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+    """``docs`` with the text that is left and how many (not blank) lines there were and are removed."""
     gone = removals(docs, text_col, id_col).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
 
@@ -263,7 +299,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
         return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"]).astype({"n_lines": "int64", "n_removed": "int64"})
 
     rows = rows.withColumn("__left", left(F.col(text_col).cast("string"), F.col("__gone")))
-    out = {text_col: F.col("__left.text"), "n_lines": F.col("__left.n_lines"), "n_removed": F.col("__left.n_removed")}
+    out = {text_col: F.col("__left.text"), lines_col: F.col("__left.n_lines"), removed_col: F.col("__left.n_removed")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.length(F.col("__left.text")).cast(docs.schema["n_chars"].dataType)
     return rows.withColumns(out).drop("__left", "__gone")

@@ -33,12 +33,13 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return resample(docs, table(spark, sf_dir, "labels")).where("selected").select(*docs.columns)
+    drawn = resample(docs, table(spark, sf_dir, "labels"), names=("__weight", "__key", "__drawn"))
+    return drawn.where("__drawn").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (n_words(F.col("text")) == 0)
+    left = dedup_lines(docs, lines_col="__lines", removed_col="__removed")
+    emptied = (F.col("__removed") > 0) & (n_words(F.col("text")) == 0)
     return left.where(~emptied).select(*docs.columns)
 
 

@@ -188,8 +188,8 @@ def draw_key(log_weight: Column, id_col: str, seed: int) -> Column:
     return log_weight - F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``log_weight``, ``draw_key`` and ``selected``; no row is shuffled."""
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", max_labelled: int = MAX_LABELLED, seed: int = SEED, names: tuple[str, str, str] = ("log_weight", "draw_key", "selected")) -> DataFrame:
+    """``docs`` with log weight, draw key and whether drawn, under ``names``; no text is shuffled."""
     spark = docs.sparkSession
     sample = labelled_sample(labels, max_labelled, id_col, label_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -203,9 +203,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col:
         part = cutoff(np.array([r["w"] for r in found]), np.array([r["g"] for r in found], bool))
         k = keyed.where(F.col("log_weight") > part).count()
     least = kth_largest(keyed, "draw_key", k)
-    out = docs.withColumn("log_weight", weight(F.col(text_col).cast("string")))
-    out = out.withColumn("draw_key", draw_key(F.col("log_weight"), id_col, seed))
-    return out.withColumn("selected", F.col("draw_key") >= F.lit(least))
+    out = docs.withColumn(names[0], weight(F.col(text_col).cast("string")))
+    out = out.withColumn(names[1], draw_key(F.col(names[0]), id_col, seed))
+    return out.withColumn(names[2], F.col(names[1]) >= F.lit(least))
 
 
 def op9_quality_resampling(spark, sf_dir: str) -> DataFrame:

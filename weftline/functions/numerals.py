@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -61,6 +62,6 @@ def address_key(s: str | None) -> str | None:
     return re.sub(r"號.*$", "號", t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def norm_address(s: pd.Series) -> pd.Series:
     return s.map(address_key, na_action="ignore")

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F))
@@ -108,13 +109,13 @@ def plain_text(s: Column) -> Column:
     return html_text(t)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(s: pd.Series) -> pd.Series:
     """All named and numeric character references."""
     return s.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which has no built-in function."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")

@@ -6,9 +6,12 @@ return what the files hold, with no renames and no casts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import csv
+import io
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,15 +52,27 @@ def _blank(columns: list[str]) -> Column:
     return out
 
 
-def csv_any_encoding(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "Big5")) -> DataFrame:
-    """The first encoding in which a file has no undecodable character."""
-    for k, name in enumerate(encodings):
-        df = csv_table(spark, path, name)
-        broken = F.lit(False)
-        for c in df.columns:
-            broken = broken | F.contains(F.col(f"`{c}`"), F.lit("�"))
-        if k == len(encodings) - 1 or (not any("�" in c for c in df.columns) and df.where(broken).isEmpty()):
-            return df
+def csv_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """CSV in an encoding that Spark's reader does not know: each file is decoded in its task."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                rows = [r for r in csv.reader(io.StringIO(bytes(content).decode(encoding, "replace"))) if any(x.strip() for x in r)]
+                yield pd.DataFrame({"n": range(len(rows)), "cells": rows})
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "n int, cells array<string>")
+    names = [c.lstrip("\ufeff").strip() for c in rows.where("n = 0").first()["cells"]]
+    return rows.where("n > 0").select(*[F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(names)])
+
+
+def csv_any_encoding(spark: SparkSession, path: str, fallback: str = "cp950") -> DataFrame:
+    """UTF-8, or the fallback if a file has characters that UTF-8 cannot decode."""
+    df = csv_table(spark, path)
+    broken = F.lit(any("\ufffd" in c for c in df.columns))
+    for c in df.columns:
+        broken = broken | F.contains(F.col(f"`{c}`"), F.lit("\ufffd"))
+    return df if df.where(broken).isEmpty() and not any("\ufffd" in c for c in df.columns) else csv_decoded(spark, path, fallback)
 
 
 def parse_json_loose(text: Column, schema: str) -> Column:

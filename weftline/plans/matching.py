@@ -34,18 +34,9 @@ def components_relaxed(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     first = docs.groupBy("h").agg(F.min("doc_id").alias("a"))
     edges = docs.join(first, "h").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    _checkpoints(spark)
     return R.relaxed_components(edges)
 
 
-def _checkpoints(spark):
-    """Where no cluster folder is set, as in tests, a temporary one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftline-"))
-
-
 @query()
 def cluster_greedy(spark, d):
     """Greedy clusters with vetoes: documents as observations, sharded by source."""

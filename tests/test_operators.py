@@ -131,3 +131,18 @@ def test_validation(spark):
     assert [(r.field, r.value) for r in bad.collect()] == [("enrollment.status", "maybe")]
     with pytest.raises(Exception, match="no slug"):
         Q.require(spark.range(1), F.lit(False), "no slug").collect()
+
+
+def test_projection_and_people(spark):
+    from weftline.operators import project as P
+
+    m = spark.createDataFrame([("c", "s1", "r1", 0.9, 1, None, 5), ("c", "s2", "r2", 1.0, 2, "x", None), ("c", "s3", "r3", 0.9, 3, "y", 6)], "k string, src string, rec string, conf double, prio int, a string, b int")
+    r = P.project(m, "k", ["a", "b"], "src", "rec", "conf", "prio").first()
+    assert (r.a, r.b) == ("x", 5) and [s.source for s in r.sources] == ["s2", "s1", "s3"]
+    assert [(x.field, x.value, x.source) for x in r.rejected] == [("a", "y", "s3"), ("b", "6", "s3")]
+    df = spark.createDataFrame([(1, "王小明老師、李四（阿四）", "甲"), (2, "王小明", "甲"), (3, "王小明", "乙"), (4, "王小明/專業師資", "乙"), (5, None, "乙")], "id int, t string, p string")
+    people = P.teachers(df, "id", "t", "p")
+    assert sorted((x.name, x.p, x.courses) for x in people.collect()) == [("王小明", "乙", [3, 4]), ("王小明", "甲", [1, 2])]
+    assert P.same_name(people, "p").count() == 2
+    got = P.categorised(df, F.lit("k"), F.col("t"), {"z": "Z"}, [("李", "L")]).orderBy("id").first()
+    assert (got.category, got.categoryFrom) == ("L", "title")

@@ -189,3 +189,22 @@ def venue_resolution(spark, d):
     courses = c.select(F.col("c_custkey").alias("cluster"), F.col("c_nationkey").alias("city"), key("a", "c_custkey", 70).alias("address_key"), key("n", "c_custkey", 130).alias("venue_key"), F.lit(None).cast("string").alias("provider_key"))
     none = reg.where("false").select("address_key", "lat", "lng")
     return R.resolve_venues(courses, reg, none).select("cluster", "venue_id", "method", "confidence")
+
+
+@query("""
+WITH m AS (SELECT o_custkey, o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS pri, (o_orderkey % 4) / 4.0 AS conf FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY conf DESC, o_orderstatus, o_orderkey) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY pri IS NULL, conf DESC, o_orderstatus, o_orderkey) AS kp FROM m),
+b AS (SELECT o_custkey, max(o_orderstatus) FILTER (k = 1) AS st, max(pri) FILTER (kp = 1) AS pri, count(*) AS n_sources, max(o_orderkey) FILTER (k = 1) AS first_record FROM r GROUP BY 1),
+l AS (SELECT m.o_custkey, count(DISTINCT m.o_orderstatus) FILTER (m.o_orderstatus <> b.st) AS ls FROM m JOIN b USING (o_custkey) GROUP BY 1)
+SELECT b.o_custkey, st AS o_orderstatus, pri, n_sources, first_record, ls AS n_lost FROM b JOIN l USING (o_custkey)
+""")
+def projection(spark, d):
+    """One row per entity: best values, sources in order of preference, values that lost."""
+    from ..operators.project import project
+
+    o = read(spark, d, "orders")
+    m = o.select("o_custkey", "o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("pri"), ((F.col("o_orderkey") % 4) / 4.0).alias("conf"))
+    m = m.withColumn("src", F.lit("orders"))
+    out = project(m, "o_custkey", ["o_orderstatus", "pri"], "src", "o_orderkey", "conf", "o_orderstatus")
+    lost = F.size(F.filter("rejected", lambda x: x["field"] == "o_orderstatus")).cast("long")
+    return out.select("o_custkey", "o_orderstatus", "pri", F.size("sources").cast("long").alias("n_sources"), F.get("sources", F.lit(0))["record"].alias("first_record"), lost.alias("n_lost"))

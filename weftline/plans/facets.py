@@ -215,3 +215,49 @@ def running_state(spark, d):
     order = [F.col("ts"), F.col("event_id")]
     e = Wn.fill_down(e, ["user_id"], order, "a", "last_mark")
     return Wn.first_known(e, ["user_id"], order, "b", "first_mark").select("event_id", "user_id", "last_mark", "first_mark")
+
+
+@query("""
+WITH f AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, l_quantity / 50.0 AS ratio FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 0 AND (l_quantity <= 3 OR l_quantity / 50.0 < 0.3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY ratio, l_orderkey, l_linenumber) AS k FROM f)
+SELECT l_suppkey, l_orderkey, l_linenumber, ratio FROM r WHERE k <= 2 ORDER BY ratio, l_orderkey, l_linenumber LIMIT 12
+""")
+def almost_full(spark, d):
+    """The twelve open rows with the fewest seats left, at most two a venue."""
+    from ..operators.rules import nearly_full
+
+    l = read(spark, d, "lineitem").where(nearly_full(F.when(F.col("l_linestatus") == "O", "open"), F.col("l_quantity"), F.lit(50.0)))
+    l = l.withColumn("ratio", F.col("l_quantity") / 50.0)
+    order = [F.col("ratio"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return Wn.capped_pick(l, ["l_orderkey", "l_linenumber"], ["l_suppkey"], order, 2, 12).select("l_suppkey", "l_orderkey", "l_linenumber", "ratio")
+
+
+@query("""
+SELECT n_name, round(min(c_acctbal), 5) AS low, count(*) AS n, count(*) FILTER (o_orderstatus = 'O') AS n_open
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+""")
+def map_rows(spark, d):
+    """One row a place: a coordinate to five places, rows and open rows."""
+    j = _orders_by_place(spark, d)
+    return j.groupBy("n_name").agg(F.round(F.min("c_acctbal"), 5).alias("low"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"))
+
+
+@query("""
+WITH e AS (SELECT user_id, isodow(ts) AS wd, strftime(ts, '%H:%M') AS hm FROM events)
+SELECT user_id, count(*) FILTER (wd >= 6) AS weekend, count(*) FILTER (wd < 6 AND hm >= '18:00') AS evening, count(*) FILTER (wd < 6 AND hm < '18:00') AS daytime FROM e GROUP BY user_id
+""")
+def slot_kinds(spark, d):
+    """Weekend, evening and daytime rows of each user."""
+    from ..functions.dates import slot_kind
+
+    e = read(spark, d, "events").withColumn("kind", slot_kind(F.weekday("ts") + 1, F.date_format("ts", "HH:mm")))
+    return e.groupBy("user_id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("weekend", "evening", "daytime")])
+
+
+@query("""
+SELECT count(*) AS n, count(*) FILTER (o_orderdate > TIMESTAMP '1998-01-01') AS new_rows, count(*) FILTER (o_orderstatus = 'O') AS n_open, count(DISTINCT o_custkey) AS providers, strftime(max(o_orderdate), '%Y-%m-%d') AS updated FROM orders
+""")
+def home_totals(spark, d):
+    """Totals of the front page."""
+    o = read(spark, d, "orders")
+    return o.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderdate") > F.lit("1998-01-01").cast("timestamp_ntz")).alias("new_rows"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_distinct("o_custkey").alias("providers"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("updated"))

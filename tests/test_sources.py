@@ -54,6 +54,14 @@ def test_training_status_and_prices(spark):
     assert x.term.year == 115 and x.description == "a\nb"
 
 
+def test_portals_take_one_or_all_weekdays(spark):
+    raw = spark.createDataFrame([("9", "書法", "社大", "星期五、星期二 (早上)", "招生中", 20, 25, "115", "115 年度 第2學期", "樂齡", "")], "courseId string, courseName string, school string, timeText string, statusText string, capacity int, enrolled int, _semester string, _semesterLabel string, tagText string, discountText string")
+    a, b = one(n.taichung_portal(raw, AT)), one(n.hualien_portal(raw, AT))
+    assert [s.weekday for s in a.schedule.slots] == [5] and [s.weekday for s in b.schedule.slots] == [5, 2]
+    assert a.enrollment.status == "full" and a.enrollment.available == 0 and b.schedule.sessionsPerWeek == 2
+    assert (a.term.year, a.term.season, a.topicsRaw) == (115, "autumn", ["樂齡"])
+
+
 def test_venues_collapse(spark):
     raw = spark.createDataFrame(
         [(1, "館", "[206]台中市西區路1號", "66000", "游泳池", "24.1", "999"), (2, "館", "[206]台中市西區路1號", "66000", "籃球場", "24.2", "120.1"), (3, "NULL", "x", "1", "a", "", "")],

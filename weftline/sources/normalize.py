@@ -332,6 +332,43 @@ def city_sports_centers(raw: DataFrame, fetched_at: str, order: str | None = Non
     return venue(one, "taipei-sports-centers", F.col("k"), fetched_at, {"name": text("名稱"), "kindRaw": F.lit("國民運動中心"), "city": F.lit("臺北市"), "district": group(text("地址"), "^臺北市(..區)"), "address": text("地址"), "lat": F.when(ok, number("緯度")), "lng": F.when(ok, number("經度")), "phone": text("電話"), "website": text("網址")})
 
 
+#: Status words and semester numbers of the county college portals.
+PORTAL_STATUS = {"公布": "open", "招生中": "open", "已開課": "running", "開課中": "running", "額滿": "full", "已額滿": "full", "停召": "cancelled", "停招": "cancelled", "停開": "cancelled"}
+PORTAL_SEASONS = {"1": "spring", "2": "autumn", "3": "winter", "4": "summer"}
+
+
+def college_portal(raw: DataFrame, fetched_at: str, source: str, city: str, site: str, every_weekday: bool) -> DataFrame:
+    """A county college portal: weekdays in words, seats as enrolled and capacity.
+
+    ``every_weekday`` makes each weekday named a slot; else only the first one is.
+    """
+    said = F.regexp_extract_all(F.coalesce(text("timeText"), F.lit("")), F.lit("星期([一二三四五六日])"), F.lit(1))
+    days = F.transform(F.array_distinct(said), lambda w: code_map(w, WEEKDAYS))
+    days = days if every_weekday else F.slice(days, 1, 1)
+    label = text(F.regexp_replace("_semesterLabel", r"\s+", " "))
+    year = group(label, r"(\d{3})\s*年度").try_cast("int")
+    cap, taken = F.col("capacity"), F.col("enrolled")
+    seats = F.when(cap.isNotNull() & taken.isNotNull(), F.greatest(F.lit(0), cap - taken))
+    status = F.coalesce(code_map(text("statusText"), PORTAL_STATUS), F.lit("unknown"))
+    tags = F.array_compact(F.array(text("tagText"), text("discountText")))
+    df = raw.where(text("courseId").isNotNull() & text("courseName").isNotNull())
+    return course(df, source, F.concat_ws(":", "_semester", "courseId"), fetched_at, {
+        "title": text("courseName"), "provider.nameRaw": text("school"), "provider.kind": F.lit("community-college"),
+        "schedule.recurrence": F.lit("weekly"), "schedule.slots": F.transform(days, lambda w: slot(w)), "schedule.timeInfoRaw": text("timeText"), "schedule.sessionsPerWeek": F.when(F.lit(every_weekday) & (F.size(days) > 0), F.size(days)),
+        "enrollment.status": F.when((seats == 0) & (status == "open"), "full").otherwise(status), "enrollment.statusRaw": text("statusText"), "enrollment.capacity": cap, "enrollment.enrolled": taken, "enrollment.available": seats,
+        "location.city": F.lit(city), "location.addressPrecision": F.lit("city"), "topicsRaw": F.when(F.size(tags) > 0, tags), "sourceUrl": F.concat(F.lit(site), text("courseId")),
+        "term.raw": F.when(year > 0, label), "term.year": F.when(year > 0, year), "term.season": F.when(year > 0, code_map(group(label, r"第\s*(\d)\s*學期"), PORTAL_SEASONS)),
+    })
+
+
+def taichung_portal(raw: DataFrame, fetched_at: str) -> DataFrame:
+    return college_portal(raw, fetched_at, "taichung-cc", "臺中市", "https://cc.tc.edu.tw/view/", False)
+
+
+def hualien_portal(raw: DataFrame, fetched_at: str) -> DataFrame:
+    return college_portal(raw, fetched_at, "hualien-cc", "花蓮縣", "https://hualien.cloudschool.com.tw/view/", True)
+
+
 def first_wins(rows: DataFrame, order: list[Column]) -> DataFrame:
     """One row for each record id: the first."""
     return Wn.keep_first(rows, ["_source", "_sourceRecordId"], order)
@@ -349,6 +386,8 @@ NORMALIZERS: dict[str, Callable[..., DataFrame]] = {
     "teamxports-centers": seat_listing,
     "changjia-centers": titled_listing,
     "taiwanjobs": job_training,
+    "taichung-cc": taichung_portal,
+    "hualien-cc": hualien_portal,
     "mol-6060": pre_job_training,
     "forest-nature-edu": nature_courses,
     "taipei-senior-points": senior_points,

@@ -261,3 +261,70 @@ def home_totals(spark, d):
     """Totals of the front page."""
     o = read(spark, d, "orders")
     return o.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderdate") > F.lit("1998-01-01").cast("timestamp_ntz")).alias("new_rows"), F.count_if(F.col("o_orderstatus") == "O").alias("n_open"), F.count_distinct("o_custkey").alias("providers"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("updated"))
+
+
+@query("""
+WITH t AS (SELECT a.p_partkey, b.p_partkey AS other, CASE WHEN a.p_brand = b.p_brand THEN 0 WHEN a.p_size = b.p_size THEN 1 ELSE 2 END AS tier FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY tier, other) AS rank FROM t)
+SELECT p_partkey, other, tier, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8
+""")
+def same_title_related(spark, d):
+    """Eight rows of the same title: the same provider's first, then the same city's."""
+    p = read(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_size")
+    return J.tiered_fill(p, "p_partkey", [["p_type", "p_brand"], ["p_type", "p_size"], ["p_type"]], ["p_partkey"], 8)
+
+
+@query("""
+SELECT CAST(isodow(ts) AS INTEGER) AS weekday, strftime(ts, '%H:00') AS start, count(DISTINCT user_id) AS n_users, count(*) AS n FROM events GROUP BY 1, 2
+""")
+def timetable(spark, d):
+    """Weekday and hour cells with their distinct users."""
+    e = read(spark, d, "events").select((F.weekday("ts") + 1).alias("weekday"), F.date_format("ts", "HH:00").alias("start"), "user_id")
+    return e.groupBy("weekday", "start").agg(F.count_distinct("user_id").alias("n_users"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS n_parts, count(*) FILTER (l_returnflag = 'R') AS n_returned, sum(CAST(l_quantity AS BIGINT))::BIGINT AS seats FROM lineitem GROUP BY 1
+""")
+def venue_summary(spark, d):
+    """Rows, distinct providers and seat sums of each venue."""
+    l = read(spark, d, "lineitem")
+    return l.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("n_parts"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"), F.sum(F.col("l_quantity").cast("long")).alias("seats"))
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY n DESC, event_type) AS profile, CAST(sum(n) AS BIGINT) AS total FROM c GROUP BY user_id
+""")
+def person_profile(spark, d):
+    """What each person does, most frequent first."""
+    c = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "event_type", "n")))
+    out = c.groupBy("user_id").agg(rows.alias("r"), F.sum("n").alias("total"))
+    return out.select("user_id", F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["event_type"], x["n"].cast("string"))), ",").alias("profile"), "total")
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
+SELECT n_name, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM nation LEFT JOIN c ON n_nationkey = c.k LEFT JOIN s ON n_nationkey = s.k
+""")
+def district_hub(spark, d):
+    """Districts with what they have, also those that have nothing."""
+    n = read(spark, d, "nation")
+    c = read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("customers"))
+    s = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("suppliers"))
+    out = n.join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
+    return out.select("n_name", F.coalesce("customers", F.lit(0).cast("long")).alias("customers"), F.coalesce("suppliers", F.lit(0).cast("long")).alias("suppliers"))
+
+
+@query("""
+WITH u AS (SELECT 'https://x/c/' || replace(c_name, '#', '%23') AS loc, CAST(ceil(row_number() OVER (ORDER BY 'https://x/c/' || replace(c_name, '#', '%23')) / 500.0) AS BIGINT) AS file FROM customer)
+SELECT file, count(*) AS n, min(loc) AS first_loc, max(loc) AS last_loc FROM u GROUP BY file
+""")
+def sitemap_files(spark, d):
+    """Sitemap files of 500 urls in binary order."""
+    from ..functions.text import encode_uri_component
+
+    c = read(spark, d, "customer").select(F.concat(F.lit("https://x/c/"), encode_uri_component(F.col("c_name"))).alias("loc"), F.lit(None).cast("string").alias("lastmod"))
+    rows = Wn.chunk_ids(c, [F.col("loc")], 500, "file", F.substring("loc", 1, 26))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("first_loc"), F.max("loc").alias("last_loc"))

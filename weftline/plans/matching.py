@@ -91,7 +91,7 @@ _TOKEN_SQL = ", ".join(f"({a}, '{b}')" for a, b in _TOKENS)
 
 
 def _tokens(spark):
-    return spark.createDataFrame(_TOKENS, "ord int, token string")
+    return spark.sql(f"SELECT * FROM VALUES {_TOKEN_SQL} AS t(ord, token)")
 
 
 @query(f"""

@@ -1,7 +1,7 @@
 """Vectorised hashing of words and characters, for use inside tasks.
 
-Texts arrive as Arrow string arrays.  They are worked through in runs of a few
-megabytes, so a task's memory follows its largest text, never its partition.
+Texts arrive as Arrow string arrays.  They are worked through in short runs, so a
+task's memory follows its largest text, never its partition.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-RUN_BYTES = 3_000_000
+RUN_BYTES = 700_000
 _M = np.uint64(0x9E3779B97F4A7C15 | 5)
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SEED = np.random.default_rng(20240229)
@@ -54,7 +54,9 @@ def runs(col: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) of runs of whole texts; null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string()).fill_null("")
+    col = col.cast(pa.large_string())
+    if col.null_count:
+        col = col.fill_null("")
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = memoryview(col.buffers()[2] or b"")
     first = 0
@@ -62,6 +64,7 @@ def runs(col: pa.Array) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + RUN_BYTES, "right")) - 1)
         yield first, end, bytes(data[offsets[first] : offsets[end]]), offsets[first : end + 1] - offsets[first]
         first = end
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,10 +27,10 @@ all are kept.  An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import hashing
 from .scratch import cut, table
@@ -142,13 +142,13 @@ def weigher(spark: SparkSession, ratio: np.ndarray):
     """A column function: the log weight of a text."""
     spread = spark.sparkContext.broadcast(ratio)
 
-    @F.pandas_udf("double")
-    def weight(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def weight(texts: pa.Array) -> pa.Array:
         out = []
-        for first, end, raw, offsets in hashing.runs(pa.array(texts, pa.large_string())):
+        for first, end, raw, offsets in hashing.runs(texts):
             bucket, owner = features(raw, offsets)
             out.append(np.bincount(owner, weights=spread.value[bucket], minlength=end - first))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return weight
 

@@ -36,9 +36,17 @@ def token_loads(df: DataFrame, columns: list[str], tokens_of: Callable[[pa.Recor
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(1 << bits, np.uint32)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for tokens in tokens_of(batch):
-                loads += np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                held.append((tokens >> np.uint64(64 - bits)).astype(np.uint32))
+                size += len(tokens)
+                if size >= 1 << 20:
+                    np.add.at(loads, np.concatenate(held), np.uint32(1))
+                    held, size = [], 0
+        if held:
+            np.add.at(loads, np.concatenate(held), np.uint32(1))
         if not loads.any():
             return
         small = loads.astype(np.uint8) if loads.max() < 256 else loads

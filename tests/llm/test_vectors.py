@@ -85,3 +85,32 @@ def test_prefix_lengths():
     a = np.array([0b1010 << 28, 0b1011 << 28, 0], np.uint32)
     assert list(ann.common(a, np.uint32(0b1010 << 28))) == [32, 3, 0]
     assert ann.level_ranges(np.sort(a), np.uint32(0b1010 << 28), 3) == (1, 3)
+
+
+def served(spark, x):
+    """The rows for each query, all others in reach: every row has its exact score."""
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(len(x))], "id long, vec array<float>")
+    got = ann.search(df, df.id % 20 == 0).toPandas()
+    x = x.astype(np.float32).astype(np.float64)
+    assert np.allclose(got.score, [x[q] @ x[i] for q, i in zip(got.query_id, got.id, strict=True)])
+    assert not got.duplicated(["query_id", "id"]).any() and not (got.query_id == got.id).any()
+    return got.groupby("query_id").size().to_dict()
+
+
+def test_scattered_queries_beside_tight_clusters_get_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+
+    def directions(n):
+        x = rng.normal(size=(n, 16))
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    x = directions(12)[rng.integers(0, 12, 1200)] + rng.normal(size=(1200, 16)) * 0.001
+    x[[0, 600]] = directions(2)  # far from all clusters
+    assert served(spark, x) == {q: 20 for q in range(0, 1200, 20)}
+
+
+def test_one_long_vector_takes_no_rows_from_queries(spark):
+    x = np.random.default_rng(1).normal(size=(2000, 8))
+    x[7] *= 1000
+    assert served(spark, x) == {q: 20 for q in range(0, 2000, 20)}

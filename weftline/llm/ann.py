@@ -5,7 +5,10 @@ hyperplanes on which it lies, and keeps its strings sorted.  A query descends in
 every tree to its longest matching prefixes and then ascends in all trees at the
 same pace: at each level it takes all strings that share that many bits with its
 own, until all trees together have given ``budget`` candidates or the floor level
-is reached.  Candidates are scored exactly by inner product in double precision.
+is reached.  The floor is only the first stop: a query that has met too few ids
+there, or none, goes on ascending until one tree alone holds enough of them and all
+trees have given the budget, at last to level 0, where everything is met.
+Candidates are scored exactly by inner product in double precision.
 
 Largest inner product is turned into smallest angle by one more component,
 ``sqrt(M - |x|^2)``, with M the largest squared norm.
@@ -18,8 +21,9 @@ a small share of the table; on vectors without structure no hash helps, and the
 floor comes up until recall holds.
 
 A tree's sorted strings are laid out by floor prefix, in blocks of a fixed number
-of vectors; a query meets exactly the blocks of its own prefix.  Equal vectors
-are indexed once, with their smallest ids.
+of vectors; a query meets exactly the blocks of its own prefix.  Below the floor
+only the prefixes that such queries ask for are laid out again, in blocks of vectors
+and of queries.  Equal vectors are indexed once, with their smallest ids.
 
 Edge cases: vectors that are null, empty, zero, non-finite or shorter than the
 longest take no part, nor do null ids.  Rows equal in id and vector count once.
@@ -140,6 +144,26 @@ def _laid_out(rows: DataFrame, normals: np.ndarray, most: float, query: bool, fl
     return rows.select("vec", keep).mapInArrow(lay, f"tree int, prefix long, code long, vec binary, {keep} {kind}")
 
 
+def _below_floor(ask: DataFrame, sizes: DataFrame, floor: int, budget: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Where queries that lack candidates go on: (their rows by cell, the cells of each stored prefix).
+
+    A cell is a prefix shorter than the floor, its block of vectors and of queries.
+    """
+    levels = F.explode(F.sequence(F.lit(0), F.lit(floor - 1))).alias("at")
+    upper = F.expr(f"shiftright(prefix, {floor} - at)").alias("upper")
+    stored = sizes.select("tree", "prefix", "n", "n_ids", levels).select("*", upper)
+    above = stored.groupBy("tree", "at", "upper").agg(F.sum("n").alias("n"), F.sum("n_ids").alias("n_ids"))
+    met = ask.select("vkey", "tree", "prefix", levels).select("vkey", "tree", "at", upper).join(above, ["tree", "at", "upper"])
+    met = met.groupBy("vkey", "at").agg(F.max("n_ids").alias("surely"), F.sum("n").alias("n"))
+    stop = met.groupBy("vkey").agg(F.coalesce(F.max(F.when((F.col("surely") > k) & (F.col("n") >= budget), F.col("at"))), F.lit(0)).alias("at"))
+    wide = cut(ask.join(stop, "vkey").where("at > 0 or tree = 0").select("*", upper).drop("prefix"), "wide")  # one tree has all vectors
+    cells = wide.groupBy("tree", "at", "upper").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq")).join(above, ["tree", "at", "upper"])
+    cells = cut(cells.select("tree", "at", "upper", "nq", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), "cells")
+    left = wide.join(cells, ["tree", "at", "upper"]).withColumn("part", F.pmod(F.xxhash64("vkey"), F.col("nq")).cast("int"))
+    left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nq", "nb")
+    return left, stored.select("tree", "prefix", "at", "upper").join(cells, ["tree", "at", "upper"])
+
+
 def search(rows: DataFrame, is_query: Column, k: int = K, trees: int = TREES, target: float = TARGET) -> DataFrame:
     """(query_id, rank, id, score) from (id, vec)."""
     rows = same_length(rows.where("id is not null"))
@@ -153,10 +177,11 @@ def search(rows: DataFrame, is_query: Column, k: int = K, trees: int = TREES, ta
 
     index = cut(_laid_out(data, normals, most, False, floor, "ids"), "index")
     # a prefix with many strings is cut in blocks
-    sizes = cut(index.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb")), "sizes")
-    index = index.join(sizes, ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("vec"), F.col("nb")).cast("int"))
-    ask = cut(_laid_out(queries, normals, most, True, floor, "vkey"), "ask")
-    ask = ask.join(sizes, ["tree", "prefix"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    sizes = cut(index.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"), F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("n_ids")), "sizes")
+    blocks = sizes.select("tree", "prefix", "nb")
+    every, asking = index, cut(_laid_out(queries, normals, most, True, floor, "vkey"), "ask")
+    index = index.join(blocks, ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("vec"), F.col("nb")).cast("int"))
+    ask = asking.join(blocks, ["tree", "prefix"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
 
     # ascend: how many strings share at least each number of bits, in all trees
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +224,22 @@ def search(rows: DataFrame, is_query: Column, k: int = K, trees: int = TREES, ta
     leveled = ask.select(*q_key, "code", "vec", "vkey").join(level, "vkey")
     local = leveled.groupBy(*q_names).cogroup(index.select(*key, "code", "vec", "ids").groupBy(*key)).applyInPandas(solve, "vkey long, id long, score double")
     best = W.partitionBy("vkey").orderBy(F.desc("score"), F.asc("id"))
-    top = local.groupBy("vkey", "id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).select("vkey", "id", "score")
+
+    def first(local: DataFrame) -> DataFrame:
+        return local.groupBy("vkey", "id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).select("vkey", "id", "score")
+
+    top = first(local)
+    if floor:
+        top = cut(top, "top")
+        served = top.groupBy("vkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k)
+        short = cut(queries.join(served, "vkey", "left_anti").select("vkey"), "short")
+        if not short.isEmpty():
+            left, cells = _below_floor(asking.join(short, "vkey", "left_semi"), sizes, floor, budget, k)
+            right = every.join(cells, ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("vec"), F.col("nb")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+            key = ["tree", "at", "upper", "b", "part"]
+            left = left.select(*[F.col(c).alias(f"q_{c}") for c in key], "at", "code", "vec", "vkey")
+            more = left.groupBy(*[f"q_{c}" for c in key]).cogroup(right.select(*key, "code", "vec", "ids").groupBy(*key)).applyInPandas(solve, "vkey long, id long, score double")
+            top = first(top.unionByName(more))
     out = asked.select(F.col("id").alias("query_id"), "vkey").join(top, "vkey").where("id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id")))
     return out.select("query_id", rank.cast("int").alias("rank"), "id", "score").where(F.col("rank") <= k)

@@ -57,3 +57,18 @@ def test_extra_columns_and_empty_table(spark):
     df = spark.createDataFrame([(*r, 5) for r in ROWS], "conv_id long, turn long, role string, text string, position int")
     assert q.link_quotes(df).count() == 9
     assert q.link_quotes(df.where("false")).count() == 0
+
+
+def test_many_messages_on_one_null_turn_stay_before_the_next(spark):
+    rows = [(1, None, "user", f"message {k}") for k in range(3000)] + [(1, t, "user", f"turn {t}") for t in range(5)]
+    got = q.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(3005))
+    assert [r.turn for r in got] == [None] * 3000 + list(range(5))
+    assert [r.reply_to for r in got[3000:]] == [None, 0, 1, 2, 3]
+
+
+def test_a_conversation_of_many_turns_is_cut_by_ranges(spark):
+    rows = spark.range(100_000).selectExpr("1L as conv_id", "id * 5000 as turn", "'user' as role", "concat('m', id) as text")
+    one = q.numbered(rows.unionByName(spark.createDataFrame([(2, 3, "user", "x"), (2, 1, "user", "y")], rows.schema)))
+    assert one.where("conv_id = 1 and idx * 5000 = turn").count() == 100_000
+    assert [r.turn for r in one.where("conv_id = 2").orderBy("idx").collect()] == [1, 3]

@@ -12,8 +12,8 @@
 4. Conversations come out in reply order: every message after the one it replies
    to, its replies right behind it (preorder), siblings by turn, with no quotes.
 
-A conversation is never gathered in one task: turn numbers are ranked by chunks,
-and the order of a conversation that branches comes from list ranking along its
+A conversation, or the messages of one turn, are never gathered in one task: messages
+are sorted by ranges that samples set, and places in them are counted; the order of a conversation that branches comes from list ranking along its
 Euler tour, in a number of rounds that grows with the logarithm of its length.
 
 Edge cases: null or empty texts are messages without quotes and an empty body;
@@ -94,6 +94,21 @@ def ranked(rows: DataFrame, keys: list[str], order: str, index: str, following:
     return out.drop("__chunk", "__row", "__lead", "__before", "__then")
 
 
+def numbered(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``idx``, their place in their conversation by turn, role and text.
+
+    The sort's ranges cut conversations and turns anywhere; a conversation's rows in
+    a range lie together, so their running numbers give its places.
+    """
+    order = ["conv_id", F.coalesce("turn", F.lit(-1)), "role", F.xxhash64("text")]
+    rows = messages.repartitionByRange(*order).sortWithinPartitions(*order, "turn", "text")
+    rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()), "sorted").withColumn("__range", F.shiftrightunsigned("__at", 33))
+    sums = rows.groupBy("conv_id", "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    run = W.partitionBy("conv_id").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("conv_id", "__range", (F.coalesce(F.sum("__n").over(run), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return rows.join(sums, ["conv_id", "__range"]).withColumn("idx", F.col("__at") + F.col("__shift")).drop("__at", "__range", "__shift")
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own_type = pa.list_(pa.int64())
     for batch in batches:
@@ -129,10 +144,7 @@ def preorder(tree: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_to, position, n_quotes, n_linked, body) per message."""
     m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text")).distinct()
-    # equal turns of a conversation are told apart before ranking
-    same = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy("role", F.xxhash64("text"))) - 1
-    m = m.withColumn("order", F.coalesce("turn", F.lit(-1)) * 1024 + same)
-    m = cut(ranked(m, ["conv_id"], "order", "idx", "next").drop("order", "next"), "messages")
+    m = cut(numbered(m), "messages")
     parsed = cut(m.select("conv_id", "idx", "text").mapInArrow(_parse, "conv_id long, idx long, body string, own array<long>, quoted array<struct<level:int,grain:int,h:long>>, n_quotes int"), "parsed")
 
     asked = parsed.where("size(quoted) > 0").select("conv_id", "idx", F.explode("quoted").alias("q")).select("conv_id", "idx", "q.level", "q.grain", "q.h")

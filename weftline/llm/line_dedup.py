@@ -4,7 +4,7 @@ A line is compared stripped and lower-cased; blank lines are never touched.
 
 1. Every line gets a 64-bit hash and, from its character shingles, ``BANDS *
    ROWS`` MinHash values, folded into one key a band.  Two lines of Jaccard
-   similarity 0.8 share a band with probability 0.985, of 0.9 with 0.9997.
+   similarity 0.8 share a band with probability 0.9998.
 2. Equal lines collapse (partially before the shuffle), each with its first
    occurrence by document id, then line number.
 3. Lines that share a band key are compared by exact Jaccard similarity of their
@@ -14,6 +14,10 @@ A line is compared stripped and lower-cased; blank lines are never touched.
 4. Every component keeps one line, its first occurrence; all other occurrences
    are removed from their documents.
 
+Similarity is that of 8-character shingles, which one changed character inside a
+line of n costs 8 of n - 7: such lines link from 79 characters on, shorter ones only
+by edits near their ends, and a replaced word needs lines well over 100.
+
 Lines shorter than one shingle are their own shingle, so only equal ones link.
 Only lines that take part in a comparison have their text fetched.  The id
 filters that are broadcast have a fixed size.
@@ -42,7 +46,7 @@ from .scratch import cut, table
 from .sketch import IdFilter, id_filter
 
 SHINGLE = 8
-BANDS = 8
+BANDS = 16
 ROWS = 4
 PERCENT = 80
 MARKS = 4096  # bits in a line's bitmap

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -22,17 +24,36 @@ TEXTS = [
     None,
     "api_key=" + "q8Zp" * 2000,
     "日本語 secret=漢字 secret=abcdefghij 日本",
+    "sample/key=Zk9tQ2xwR7vB3nX8sYdLw1Hj 2024-01-02_Zk9tQ2xwR7vB3nX8sYdLw1Hj 2024-01-02_sample-2024-01-02",
+    "abcabcabcabcabcabcabcabc1" * 40 + "Zk9tQ2xwR7vB3nX8sYdL" + "ab1" * 300,
+]
+RNG = random.Random(3)
+LONG = [
+    "a" + "-b" * 100_000 + "x9.",  # one candidate of 10**5 segments
+    "".join(RNG.choice("abc1") for _ in range(1_000_000)),  # a million characters, no window reaches the threshold
+    "a1" * 500_000 + "Zk9tQ2xwR7vB3nX8sYdLw1Hj",
+    "0" * 1_000_000,
+    "token=abcdefgh " * 100_000,  # 10**5 matches
+    "token" + " " * 1_000_000 + "= abcdefghijk",
+    "AKIA" + "A" * 1_000_000 + " " + "0a" * 500_000,
 ]
 
 
 def entropy_hit(token):
-    if any(re.search(p, token) for p in s.ALLOW):
-        return False
-    limit = next(s.bound(bits) for _, allowed, bits in s.CLASSES if re.search(allowed, token))
-    for i in range(len(token) - s.WINDOW + 1):
-        w = token[i : i + s.WINDOW]
-        if sum(s.nlogn(w.count(c)) for c in set(w)) <= limit:
-            return True
+    for piece in re.split(s.ALLOW_PARTS, token):
+        if len(piece) < s.WINDOW or any(re.search(p, piece) for p in s.ALLOW):
+            continue
+        limit = next(s.bound(bits) for _, allowed, bits in s.CLASSES if re.search(allowed, piece))
+        counts, spread = {}, 0
+        for i, c in enumerate(piece):
+            counts[c] = counts.get(c, 0) + 1
+            spread += s.nlogn(counts[c]) - s.nlogn(counts[c] - 1)
+            if i >= s.WINDOW:
+                out = piece[i - s.WINDOW]
+                spread -= s.nlogn(counts[out]) - s.nlogn(counts[out] - 1)
+                counts[out] -= 1
+            if i >= s.WINDOW - 1 and spread <= limit:
+                return True
     return False
 
 
@@ -57,6 +78,14 @@ def test_matches_brute_force(spark):
         assert [(x.s, x.k, x.e, x.kind) for x in r.secrets] == brute(r.text), r.text
 
 
+def test_long_candidates_take_time_in_proportion(spark):
+    df = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").repartition(8)
+    began = time.time()
+    for r in s.scan_secrets(df).collect():
+        assert [(x.s, x.k, x.e, x.kind) for x in r.secrets] == brute(r.text), r.doc_id
+    assert time.time() - began < 120
+
+
 def test_query_columns(spark, tmp_path):
     df = spark.createDataFrame([(1, TEXTS[0], "c"), (2, None, "d")], "doc_id long, text string, secrets string")
     df.write.parquet(f"{tmp_path}/documents.parquet")

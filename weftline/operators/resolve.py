@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import hash8, norm_school, norm_title, term_key
-from .lineage import cut
+from .graph import components
 
 #: Rules by falling confidence.
 RULES = (("code+term", 1.0), ("code", 0.95), ("title+slot", 0.9), ("title+teacher+slot", 0.85), ("title+teacher", 0.8))
@@ -116,17 +116,9 @@ def cluster_greedy(obs: DataFrame) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def relaxed_components(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(node, component) without vetoes: smallest label, by repeated neighbour minima."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct().toDF("node", "other"))
-    label = cut(both.select("node").distinct().withColumn("component", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        after = cut(label.join(near, "node").select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved")))
-        if after.where("moved").isEmpty():
-            return after.select("node", "component")
-        label = after.select("node", "component")
-    raise ValueError(f"labels still move after {rounds} rounds")
+def relaxed_components(edges: DataFrame) -> DataFrame:
+    """(node, component) without vetoes: what links, directly or not, gets its smallest label."""
+    return components(edges)
 
 
 def resolve_venues(courses: DataFrame, registry: DataFrame, geocodes: DataFrame) -> DataFrame:

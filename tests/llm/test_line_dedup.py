@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from weftline.llm import line_dedup as m
 
 
@@ -61,53 +64,72 @@ def test_equals_brute_force_with_clashing_columns(spark):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
 
 
-def test_long_lists_are_solved_in_cells(spark, monkeypatch):
-    from weftline.llm import lists
-
-    monkeypatch.setattr(lists, "SHORT_LIST", 3)
-    monkeypatch.setattr(m, "LIST_BLOCK", 8)
-    rng = random.Random(8)
+def dense_corpus(n, edits, seed=8):
+    rng = random.Random(seed)
     base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(150))
     docs = []
-    for k in range(60):
+    for k in range(n):
         t = list(base)
-        for _ in range(2):
+        for _ in range(rng.randrange(edits + 1)):
             t[rng.randrange(150)] = rng.choice("XYZ")
         docs.append((k, "".join(t)))
+    return docs
+
+
+@pytest.mark.parametrize("block,edits", [(8, 3), (4096, 6), (8, 6)])
+def test_long_lists_are_settled_by_heads_and_then_in_cells(spark, monkeypatch, block, edits):
+    monkeypatch.setattr(m, "SHORT_LIST", 3)
+    monkeypatch.setattr(m, "LIST_BLOCK", block)
+    docs = dense_corpus(60, edits)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     kept = sorted(r.doc_id for r in m.dedup_lines(df).collect() if r.text)
     assert kept == sorted(i for i, t in brute(docs) if t)
 
 
-def test_spanning_links_join_what_all_links_join():
-    import numpy as np
+def groups_of(n, edges, start=None):
+    up = list(range(n))
 
-    rng = random.Random(4)
-    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
-    texts = []
-    for _ in range(30):
-        t = list(base)
-        for _ in range(rng.randrange(0, 5)):
-            t[rng.randrange(120)] = "Z"
-        texts.append("".join(t))
-    links = m.spanning_links(texts, np.full(30, 2))
-    sets = [m.shingles_of(t) for t in texts]
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[find(a)] = find(b)
+    return sorted(sorted(k for k in range(n) if find(k) == r) for r in {find(k) for k in range(n)})
+
+
+def test_spanning_links_join_what_all_links_join():
+    texts = [t for _, t in dense_corpus(30, 5, 4)]
+    marks = m.signatures([m.normal(t) for t in texts])[1]
+    links = m.spanning_links([m.normal(t) for t in texts], np.full(30, 2), np.arange(30), marks)
+    sets = [m.shingles_of(m.normal(t)) for t in texts]
     assert all(m.similar(sets[a], sets[b]) for a, b in links)
+    every = [(a, b) for a in range(30) for b in range(a) if m.similar(sets[a], sets[b])]
+    assert groups_of(30, links) == groups_of(30, every)
+    pairs, some = m.stars(marks)
+    assert set(np.flatnonzero(some)) == {k for p in pairs for k in p}
 
-    def groups(edges):
-        up = list(range(30))
 
-        def find(x):
-            while up[x] != x:
-                x = up[x]
-            return x
+def test_one_changed_character_links_lines_of_49_and_more(spark):
+    rng = random.Random(9)
+    docs = []
+    for n in (49, 55, 60, 78, 120):
+        line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(n - 2)) + "zz"
+        docs += [line, line[: n // 2] + "Q" + line[n // 2 + 1 :]]
+    short = "the quick brown fox jumps over it"
+    docs += [short, short[:16] + "Q" + short[17:]]  # 33 characters: 24 of 34 shingles, both stay
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in m.dedup_lines(df).collect() if r.text) == [0, 2, 4, 6, 8, 10, 11]
 
-        for a, b in edges:
-            up[find(a)] = find(b)
-        return sorted(sorted(k for k in range(30) if find(k) == r) for r in {find(k) for k in range(30)})
 
-    every = [(a, b) for a in range(30) for b in range(a) if m.similar(sets[a], sets[b])]
-    assert groups(links) == groups(every)
+def test_long_texts_and_lines(spark):
+    rng = random.Random(10)
+    line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(1_000_000)) + "z"
+    many = "\n".join(f"{rng.random()} number {k} of many lines {rng.random()}" for k in range(20_000))
+    docs = [(1, line), (2, line[:500_000] + "Q" + line[500_001:]), (3, many), (4, many), (None, "a line without an id here"), (None, "a line without an id here")]
+    got = m.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, len(r.text), r.n_removed) for r in got) == [(0, 25, 0), (0, 25, 0), (1, len(line), 0), (2, 0, 1), (3, len(many), 0), (4, 0, 20_000)]
 
 
 def test_empty_table_and_repeated_rows(spark):
@@ -123,11 +145,12 @@ def test_pairs_just_similar_enough_share_a_band():
     while len(pairs) < 2000:
         one = "".join(rng.choice("abcdefghijklmnop ") for _ in range(160))
         two = list(one)
-        for _ in range(2):
+        for _ in range(3):
             two[rng.randrange(160)] = "Z"
         a, b = m.shingles_of(one), m.shingles_of("".join(two))
         if 0.8 <= len(a & b) / len(a | b) <= 0.83:
             pairs.append((one, "".join(two)))
-    keys = m.band_keys([x for p in pairs for x in p])
+    keys, marks = m.signatures([x for p in pairs for x in p])
     missed = ~(keys[::2] == keys[1::2]).any(axis=1)
-    assert missed.sum() <= 4  # 0.2 expected; 8 bands would miss about 21
+    assert missed.sum() <= 8  # 3 expected
+    assert (m.agreeing(marks[::2], marks[1::2]) < m.AGREE).sum() <= 3

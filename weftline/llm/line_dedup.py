@@ -2,30 +2,39 @@
 
 A line is compared stripped and lower-cased; blank lines are never touched.
 
-1. Every line gets a 64-bit hash and, from its character shingles, ``BANDS *
-   ROWS`` MinHash values, folded into one key a band.  Two lines of Jaccard
-   similarity 0.8 share a band with probability 0.9998.
+1. Every line gets a 64-bit hash and, from its shingles of 5 characters, ``BANDS *
+   ROWS`` MinHash values.  They are folded into one key a band and, four bits a
+   value, into a sketch.  Two lines of Jaccard similarity 0.8 share a band with
+   probability 0.998.
 2. Equal lines collapse (partially before the shuffle), each with its first
    occurrence by document id, then line number.
-3. Lines that share a band key are compared by exact Jaccard similarity of their
-   shingle sets: all pairs of a short list.  A long list, in which only pairs not
-   yet joined are compared and shingle bitmaps exclude most, gives spanning links.
-   Distributed union-find joins what links.
-4. Every component keeps one line, its first occurrence; all other occurrences
-   are removed from their documents.
-
-Similarity is that of 8-character shingles, which one changed character inside a
-line of n costs 8 of n - 7: such lines link from 79 characters on, shorter ones only
-by edits near their ends, and a replaced word needs lines well over 100.
-
+3. Lines that share a band key meet in a list.  Pairs whose sketches agree in fewer
+   than ``AGREE`` of the 48 values are left out: at similarity 0.8 that loses another
+   0.0003, below 0.4 it leaves three pairs in a hundred.
+4. Short lists give all pairs that are left, long ones stars around heads, very long
+   ones (by their counts) first of all a star around one leader.  These pairs are held
+   against each other by the exact Jaccard similarity of their shingle sets;
+   distributed union-find joins what links.
+5. What then lies in one component needs no more comparison.  Only long lists in which
+   sketches of different components still agree are solved by exact similarity, whole
+   or in cells of two blocks, so that no pair of a list is left out.
+6. Every component keeps one line, its first occurrence; all other occurrences are
+   removed from their documents.
+
+One changed character inside a line of n costs 5 of its n - 4 shingles on either side,
+so such lines link from 49 characters on, shorter ones by edits near their ends.
 Lines shorter than one shingle are their own shingle, so only equal ones link.
-Only lines that take part in a comparison have their text fetched.  The id
-filters that are broadcast have a fixed size.
 
-Edge cases: a null text stays null, an empty one empty.  Rows with equal ids
-(repeated rows) count as one document and lose the same lines; a null id sorts
-first.  Other columns stay as they are, but for the two counts (whose names are
-parameters) and ``n_chars``, if there is one.
+Only lines that take part in a comparison have their text fetched.  The id filters
+that are broadcast are sized by what they hold, up to 16 MB; beyond that they let more
+rows pass to the join behind them.  Very frequent lines, heads and components are
+spread over partitions.
+
+Edge cases: a null text stays null, an empty one empty; texts and lines of any length
+are taken whole.  Rows with equal ids (repeated rows) count as one document and lose
+the same lines; a null id sorts first.  An empty table gives an empty result.  Other
+columns stay as they are, but for the two counts (whose names are parameters) and
+``n_chars``, if there is one; names that start with ``__dedup_`` are taken.
 """
 
 from __future__ import annotations
@@ -35,22 +44,29 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
+from ..operators.skew import hot_keys, spread_join
 from . import hashing
-from .graph import components
-from .lists import LIST_BLOCK, in_cells, met, needed_overlap, split_lists, whole_lists
-from .scratch import cut, table
+from .lists import met, whole_lists
+from .scratch import cut, drop, table
 from .sketch import IdFilter, id_filter
 
-SHINGLE = 8
-BANDS = 16
+SHINGLE = 5
+BANDS = 12
 ROWS = 4
+AGREE = 30  # of BANDS * ROWS values
 PERCENT = 80
-MARKS = 4096  # bits in a line's bitmap
+SHORT_LIST = 24
+LIST_BLOCK = 4096
 RUN_CHARS = 400_000
+SEEN = 50_000  # lines that a task remembers, so as not to sign equal ones again
+_WORDS = BANDS * ROWS // 16
+_BYTES = 8 * (BANDS + _WORDS)
+_MARKS = [f"s{k}" for k in range(_WORDS)]
 _RANDOM = np.random.default_rng(11)
 _FACTORS = (_RANDOM.integers(1, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 _MASKS = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -76,8 +92,8 @@ def similar(one: set[str], two: set[str], percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(one) + len(two) - both)
 
 
-def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
-    """One key a band for each line, all at least ``size`` characters long."""
+def signatures(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """One key a band, and the sketch, of each line, all at least ``size`` characters long."""
     lengths = np.array([len(x) for x in lines], np.int64)
     text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(text) - size + 1
@@ -91,14 +107,36 @@ def band_keys(lines: list[str], size: int = SHINGLE) -> np.ndarray:
     h ^= h >> np.uint32(16)
     starts = np.cumsum(lengths) - lengths
     edges = np.stack([starts, starts + lengths - size + 1], axis=1).reshape(-1)[:-1]
-    out = np.zeros((len(lines), BANDS), np.uint64)
+    keys, marks = np.zeros((len(lines), BANDS), np.uint64), np.zeros((len(lines), _WORDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(lines), band + 1, np.uint64)
         for k in range(band * ROWS, (band + 1) * ROWS):
             least = np.minimum.reduceat((h ^ _MASKS[k]) * _FACTORS[k], edges)[::2]
             key = hashing.mix(key + least)
-        out[:, band] = key
-    return out.view(np.int64)
+            marks[:, k // 16] |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64) << np.uint64(4 * (k % 16))
+        keys[:, band] = key
+    return keys.view(np.int64), marks
+
+
+_LOW_BITS = 0x1111111111111111
+
+
+def agreeing(marks: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """In how many values sketches agree."""
+    x = marks ^ other
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return BANDS * ROWS - np.bitwise_count(x & np.uint64(_LOW_BITS)).sum(axis=-1, dtype=np.int64)
+
+
+def agreeing_columns(a: list[Column], b: list[Column]) -> Column:
+    out = F.lit(BANDS * ROWS)
+    for one, two in zip(a, b, strict=True):
+        x = one.bitwiseXOR(two)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        out = out - F.bit_count(x.bitwiseAND(F.lit(_LOW_BITS)))
+    return out
 
 
 def _hashes(text: str | None) -> list[tuple[int, str]]:
@@ -106,22 +144,31 @@ def _hashes(text: str | None) -> list[tuple[int, str]]:
     return [(k, x) for k, line in enumerate((text or "").split("\n")) if (x := normal(line))]
 
 
-_BAND_COLS = [f"b{k}" for k in range(BANDS)]
-_LINES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("h", T.LongType()), *[T.StructField(c, T.LongType()) for c in _BAND_COLS]])
+_LINES = "doc_id long, line int, h long, sig binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that is not blank: where it is, its hash and its band keys."""
+    """Every line that is not blank: where it is, its hash, and its signature once."""
+    seen: set[int] = set()
 
     def flush() -> pa.RecordBatch:
-        keys = np.zeros((len(texts), BANDS), np.int64)
-        long = [i for i, x in enumerate(texts) if len(x) >= SHINGLE]
+        hashes = [line_hash(x) for x in texts]
+        signed = []
+        for i, (h, x) in enumerate(zip(hashes, texts, strict=True)):
+            if len(x) >= SHINGLE and h not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(h)
+                signed.append(i)
+        raw = b""
+        if signed:
+            keys, marks = signatures([texts[i] for i in signed])
+            raw = np.concatenate([keys.view(np.uint64), marks], axis=1).tobytes()
         has = np.zeros(len(texts), bool)
-        if long:
-            has[long] = True
-            keys[long] = band_keys([texts[i] for i in long])
-        columns = [pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array([line_hash(x) for x in texts], pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(keys[:, k]), mask=~has) for k in range(BANDS)]], names=_LINES.names)
+        has[signed] = True
+        ends = np.concatenate([[0], np.cumsum(has * _BYTES)]).astype(np.int32)
+        sig = pa.Array.from_buffers(pa.binary(), len(texts), [pa.py_buffer(np.packbits(has, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), sig], names=["doc_id", "line", "h", "sig"])
 
     ids, places, texts, size = [], [], [], 0
     for batch in batches:
@@ -138,24 +185,85 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _members(distinct: DataFrame) -> DataFrame:
-    """(key, n, sid) of every band key that more than one distinct line has."""
-    rows = distinct.select("h", F.explode(F.array(*_BAND_COLS)).alias("key")).where("key is not null")
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
-    words = distinct.sparkSession.sparkContext.broadcast(id_filter(shared, "key").words)
+def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys and sketches of a column of signatures without nulls."""
+    col = col.cast(pa.large_binary())
+    ends = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    both = np.frombuffer(memoryview(col.buffers()[2] or b"")[ends[0] : ends[-1]], np.uint64).reshape(-1, BANDS + _WORDS)
+    return both[:, :BANDS].view(np.int64), both[:, BANDS:]
+
+
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(_unpacked(batch.column(0))[0]).reshape(-1))], names=["key"])
+
+
+def _members(signed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, sid, sketch): every signed line under each of its (likely) shared keys."""
+    words = signed.sparkSession.sparkContext.broadcast(id_filter(shared, "key").words)
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = IdFilter(words.value)
         for batch in batches:
             h = batch.column(0).to_numpy()
-            for k in range(BANDS):
-                key = batch.column(k + 1)
-                ok = ids.may_hold(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)
-                if ok.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(key.fill_null(0).to_numpy()[ok]), pa.array(h[ok])], names=["key", "sid"])
+            keys, marks = _unpacked(batch.column(1))
+            at, band = np.nonzero(ids.may_hold(np.ascontiguousarray(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at, band]), pa.array(h[at]), *[pa.array(marks[at, k].view(np.int64)) for k in range(_WORDS)]], names=["key", "sid", *_MARKS])
 
-    few = distinct.select("h", *_BAND_COLS).mapInArrow(likely, "key long, sid long")
-    return few.join(shared, "key").select("key", F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"), "sid")
+    return signed.select("h", "sig").mapInArrow(likely, "key long, sid long, " + ", ".join(f"{m} long" for m in _MARKS))
+
+
+def _marks_of(cols: dict[str, np.ndarray]) -> np.ndarray:
+    return np.stack([cols[m].view(np.uint64) for m in _MARKS], axis=1)
+
+
+def stars(marks: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs (head, other) in which every row with an agreeing one occurs, and which rows those are."""
+    n = len(marks)
+    held, near_some = np.zeros(n, bool), np.zeros(n, bool)
+    out = []
+    for h in range(n - 1):
+        near = h + 1 + np.flatnonzero(agreeing(marks[h + 1 :], marks[h]) >= AGREE)
+        if not len(near):
+            continue
+        near_some[h] = near_some[near] = True
+        new = near[~held[near]]
+        if len(new):
+            out += [(h, int(j)) for j in new]
+            held[new] = True
+        elif not held[h]:
+            out.append((int(near[0]), h))
+        held[h] = True
+    return out, near_some
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (sid, other) of lists; and rows of long lists that agree with another one (other is null)."""
+    for cols, _ in whole_lists(batches):
+        new = np.ones(len(cols["list"]), bool)
+        new[1:] = (cols["list"][1:] != cols["list"][:-1]) | (cols["sid"][1:] != cols["sid"][:-1])
+        key, sid, marks = cols["list"][new], cols["sid"][new], _marks_of(cols)[new]
+        bounds = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+        length = np.repeat(np.diff(bounds), np.diff(bounds))
+        found = [np.zeros((0, 2), np.int64)]
+        for d in range(1, SHORT_LIST):
+            i = np.flatnonzero((length[d:] <= SHORT_LIST) & (key[d:] == key[:-d]))
+            if not len(i):
+                break
+            i = i[agreeing(marks[i], marks[i + d]) >= AGREE]
+            found.append(np.stack([sid[i], sid[i + d]], axis=1))
+        rows = [np.zeros(0, np.int64)]
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            if e - s > SHORT_LIST:
+                pairs, near_some = stars(marks[s:e])
+                if pairs:
+                    found.append(sid[s:e][np.array(pairs)])
+                    rows.append(s + np.flatnonzero(near_some))
+        pairs, rows = np.unique(np.concatenate(found), axis=0), np.concatenate(rows)
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *[none] * _WORDS], names=["list", "sid", "other", *_MARKS])
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(sid[rows]), pa.nulls(len(rows), pa.int64()), *[pa.array(marks[rows, k].view(np.int64)) for k in range(_WORDS)]], names=["list", "sid", "other", *_MARKS])
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -182,21 +290,51 @@ def _texts(docs: DataFrame, wanted: DataFrame, text_col: str, id_col: str) -> Da
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets are similar enough."""
+    """The pairs whose shingle sets are similar enough.
+
+    A head's text comes once before the texts it is held against; very many of those
+    are spread over several copies of the head.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple[str, set[str]] = ("", set())
+        head: set[str] = set()
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = x.as_py(), y.as_py()
-                if one != known[0]:
-                    known = (one, shingles_of(one))
-                ok.append(similar(known[1], shingles_of(two)))
+            for b, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                own = shingles_of(x.as_py())
+                if b is None:
+                    head = own
+                ok.append(b is not None and similar(head, own))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    x, y = texts.select(F.col("h").alias("a"), F.col("x").alias("xa")), texts.select(F.col("h").alias("b"), F.col("x").alias("xb"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "xa", "xb").mapInArrow(check, "a long, b long")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
+    if hot is None:
+        pairs = pairs.select("a", "b", F.lit(0).alias("part"))
+    else:
+        pairs = pairs.join(F.broadcast(hot), "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("__salts")), F.lit(0)).cast("int").alias("part"))
+    others = pairs.join(texts.select(F.col("h").alias("b"), "x"), "b").select("a", "part", "b", "x")
+    heads = pairs.select("a", "part").distinct().join(texts.select(F.col("h").alias("a"), "x"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "x")
+    rows = heads.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(check, "a long, b long")
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of lists whose sketch agrees with one of another component."""
+    for cols, bounds in whole_lists(batches):
+        marks, keep = _marks_of(cols), []
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            comp, side = cols["comp"][s:e], cols["side"][s:e]
+            if (comp == comp[0]).all():
+                continue
+            some = np.zeros(e - s, bool)
+            for h in range(e - s - 1):
+                j = h + 1 + np.flatnonzero((comp[h + 1 :] != comp[h]) & met(side[h + 1 :], side[h]))
+                j = j[agreeing(marks[s + j], marks[s + h]) >= AGREE]
+                if len(j):
+                    some[h] = some[j] = True
+            keep.append(s + np.flatnonzero(some))
+        at = np.concatenate(keep) if keep else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[c][at]) for c in ("list", "side", "sid", "comp", *_MARKS)], names=["list", "side", "sid", "comp", *_MARKS])
 
 
 def shingle_hashes(line: str, size: int = SHINGLE) -> np.ndarray:
@@ -209,61 +347,109 @@ def shingle_hashes(line: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def spanning_links(texts: list[str], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join a list's lines as all their links would.
-
-    Every pair is either verified, excluded by its bitmaps (a lower bound of the
-    difference), or already joined by other links.
-    """
+def spanning_links(texts: list[str], side: np.ndarray, comp: np.ndarray, marks: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join a list's lines as all links between agreeing ones would."""
     sets = [shingle_hashes(x) for x in texts]
     size = np.array([len(x) for x in sets], np.int64)
-    marks = np.zeros((len(sets), MARKS), bool)
-    marks[np.repeat(np.arange(len(sets)), size), (np.concatenate(sets) & np.uint64(MARKS - 1)).astype(np.int64)] = True
-    bits = np.packbits(marks, axis=1).view(np.uint64)
-    comp = np.arange(len(sets))
+    flat, start = np.concatenate(sets), np.cumsum(size) - size
+    comp = np.unique(comp, return_inverse=True)[1]
     out = []
     for h in range(len(sets) - 1):
-        j = np.arange(h + 1, len(sets))
-        j = j[(comp[j] != comp[h]) & met(side[j], side[h])]
-        total = size[h] + size[j]
-        apart = np.bitwise_count(bits[j] ^ bits[h]).sum(axis=1, dtype=np.int64)
-        near = apart <= total - 2 * needed_overlap(total, percent)
-        j = j[near][np.argsort(apart[near], kind="stable")]
-        while len(j):
-            both = len(np.intersect1d(sets[h], sets[j[0]], assume_unique=True))
-            if 100 * both >= percent * (size[h] + size[j[0]] - both):
-                out.append((h, int(j[0])))
-                comp[comp == comp[j[0]]] = comp[h]
-                j = j[comp[j] != comp[h]]
-            else:
-                j = j[1:]
+        j = h + 1 + np.flatnonzero((comp[h + 1 :] != comp[h]) & met(side[h + 1 :], side[h]))
+        j = j[(100 * np.minimum(size[j], size[h]) >= percent * np.maximum(size[j], size[h])) & (agreeing(marks[j], marks[h]) >= AGREE)]
+        if not len(j):
+            continue
+        lengths = size[j]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths) + np.repeat(start[j], lengths)
+        hit = np.searchsorted(sets[h], flat[at])
+        same = sets[h][np.minimum(hit, size[h] - 1)] == flat[at]
+        both = np.add.reduceat(same, ends - lengths, dtype=np.int64)
+        for k in j[100 * both >= percent * (size[h] + lengths - both)]:
+            if comp[k] != comp[h]:
+                out.append((h, int(k)))
+                comp[comp == comp[k]] = comp[h]
     return out
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of whole long lists."""
     for cols, bounds in whole_lists(batches):
-        a, b = [], []
+        a, b, marks = [], [], _marks_of(cols)
         for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            for i, j in spanning_links(list(cols["x"][s:e]), cols["at"][s:e] & 3):
+            for i, j in spanning_links(list(cols["x"][s:e]), cols["side"][s:e], cols["comp"][s:e], marks[s:e]):
                 a.append(cols["sid"][s + i])
                 b.append(cols["sid"][s + j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def line_components(docs: DataFrame, distinct: DataFrame, text_col: str, id_col: str) -> DataFrame:
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("list").sortWithinPartitions("list", "sid")
+
+
+def _dealt(dense: DataFrame, comp: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """(list, side, sid, comp, sketch): very long lists as cells of two blocks.
+
+    The leader's component fills blocks of its own, which never meet each other; so a
+    list that the leader has settled but for a few rows is copied only for those few.
+    """
+    rows = dense.join(comp.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    lead = rows.groupBy("key").agg(F.min_by("comp", "sid").alias("lead"))
+    rows = spread_join(rows, lead, "key", hot, ["sid"]).withColumn("main", F.col("comp") == F.col("lead"))
+    count = lambda c: F.ceil(F.count(F.when(c, 1)) / LIST_BLOCK).cast("int")
+    blocks = rows.groupBy("key").agg(count(F.col("main")).alias("p"), count(~F.col("main")).alias("q")).where("q > 0")
+    rows = spread_join(rows, blocks, "key", hot, ["sid"])
+    hashed = F.xxhash64("sid")
+    rows = rows.withColumn("mine", F.when(F.col("main"), F.pmod(hashed, F.col("p"))).otherwise(F.col("p") + F.pmod(hashed, F.col("q"))).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.when(F.col("main"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
+    side = F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1)
+    return rows.select(F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with")).alias("list"), side.alias("side"), "sid", "comp", *_MARKS)
+
+
+def line_components(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(node, component) of the distinct lines that link with another one."""
-    none = F.lit(0)  # sizes are not known here, and a key has no position
-    lists = split_lists(in_cells(_members(distinct), "key", "blocks", none, none), 0)
-    pairs = lists.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
-    long = lists.where("other is null").select("list", "at", "sid")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("h")).unionByName(long.select(F.col("sid").alias("h"))).distinct()
-    wanted = cut(ends.join(distinct.select("h", F.col("first.doc").alias("doc")), "h"), "wanted")
-    texts = cut(_texts(docs, wanted, text_col, id_col), "texts")
-    rows = long.join(texts.withColumnRenamed("h", "sid"), "sid").select("list", "at", "sid", "x")
-    rows = rows.repartition("list").sortWithinPartitions("list", "sid")
-    return components(cut(_verified(pairs, texts).unionByName(rows.mapInArrow(_solved, "a long, b long")), "links"))
+    signed = lines.where("sig is not null").select("h", "sig")
+    keys = signed.select("sig").mapInArrow(_all_keys, "key long")
+    shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    members = _members(signed, shared)
+    # lists that are too long for one task, each with its leader
+    heavy = cut(shared.where(F.col("n") > LIST_BLOCK), "heavy")
+    dense = hot = None
+    first = []
+    if not heavy.isEmpty():
+        hot = hot_keys(heavy, "key", per_salt=LIST_BLOCK)
+        tagged = cut(spread_join(members, heavy.withColumnRenamed("n", "many"), "key", hot, ["sid"], "left"), "members")
+        members, dense = tagged.where("many is null").drop("many"), cut(tagged.where("many is not null").drop("many").distinct(), "dense")
+        lead = dense.groupBy("key").agg(F.min(F.struct("sid", *_MARKS)).alias("lead"))
+        star = spread_join(dense, lead, "key", hot, ["sid"]).where(F.col("sid") != F.col("lead.sid"))
+        first = [star.where(agreeing_columns([F.col(m) for m in _MARKS], [F.col(f"lead.{m}") for m in _MARKS]) >= AGREE).select(F.col("lead.sid").alias("a"), F.col("sid").alias("b"))]
+    lists = cut(_in_order(members.withColumnRenamed("key", "list")).mapInArrow(_split, "list long, sid long, other long, " + ", ".join(f"{m} long" for m in _MARKS)), "lists")
+    pairs = lists.where("other is not null").select(F.col("sid").alias("a"), F.col("other").alias("b"))
+    for more in first:
+        pairs = pairs.unionByName(more)
+    pairs = cut(pairs.distinct(), "pairs")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = cut(ids.distinct().join(distinct.select("h", F.col("first.doc").alias("doc")), "h"), "wanted")
+        return cut(_texts(docs, wanted, text_col, id_col), "texts")
+
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("h")))
+    links = cut(_verified(pairs, texts), "links")
+    comp = components(links)
+    drop(pairs, shared)
+
+    long = lists.where("other is null").select("list", F.lit(2).alias("side"), "sid", *_MARKS)
+    labelled = long.join(comp.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").select("list", "side", "sid", F.coalesce("comp", "sid").alias("comp"), *_MARKS)
+    if dense is not None:
+        labelled = labelled.unionByName(_dealt(dense, comp, hot))
+    left = cut(_in_order(labelled).mapInArrow(_open, "list long, side int, sid long, comp long, " + ", ".join(f"{m} long" for m in _MARKS)), "open")
+    if left.isEmpty():
+        return comp
+    if dense is not None:
+        texts = texts_of(left.select(F.col("sid").alias("h")))
+    rows = left.join(texts.withColumnRenamed("h", "sid"), "sid").select("list", "side", "sid", "comp", *_MARKS, "x")
+    more = cut(_in_order(rows).mapInArrow(_solved, "a long, b long"), "links")
+    return components(links.unionByName(more))
 
 
 def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -271,42 +457,59 @@ def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     lines = cut(rows.mapInArrow(_signed, _LINES), "lines")
     place = F.struct(F.col("doc_id").alias("doc"), F.col("line").alias("line"))
-    distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in _BAND_COLS]), "distinct")
-    comp = line_components(docs, distinct, text_col, id_col)
-    label = distinct.select("h", "first", "n").join(comp.select(F.col("node").alias("h"), "component"), "h", "left")
-    kept = label.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"))
-    label = label.join(kept, "component", "left").where("n > 1 or component is not null").select("h", F.coalesce("keep", "first").alias("keep"))
-    seen = lines.select("doc_id", "line", "h").join(label, "h")
+    distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    comp = line_components(docs, lines, distinct, text_col, id_col)
+    label = distinct.join(comp.select(F.col("node").alias("h"), "component"), "h", "left").where("n > 1 or component is not null")
+    label = cut(label, "label")
+    kept = cut(label.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("many")), "kept")
+    label = cut(spread_join(label, kept.drop("many"), "component", hot_keys(kept, "component", "many"), ["h"], "left").select("h", "n", F.coalesce("keep", "first").alias("keep")), "keep")
+    seen = spread_join(lines.select("doc_id", "line", "h"), label.drop("n"), "h", hot_keys(label, "h"), ["doc_id", "line"])
     gone = seen.where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc")) & (F.col("line") == F.col("keep.line"))))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h")).alias("gone"))
 
 
+_LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+
+
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """``docs`` with the text that is left and how many (not blank) lines there were and are removed."""
-    gone = removals(docs, text_col, id_col).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
+    gone = removals(docs, text_col, id_col).select(F.col("doc_id").alias("__dedup_id"), F.col("gone").alias("__dedup_gone"))
+    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__dedup_id")), "left").drop("__dedup_id")
+
+    @F.arrow_udf(_LEFT)
+    def left(texts: pa.Array, gone: pa.Array) -> pa.Array:
+        done = []
 
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def left(texts, gone):
-        import pandas as pd
+        def keep() -> None:
+            kind = pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
+            done.append(pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip((kept, full, less), kind, strict=True)], fields=list(kind)))
 
-        out = []
+        kept, full, less, size = [], [], [], 0
         for text, cuts in zip(texts, gone, strict=True):
-            if text is None:
-                out.append((None, 0, 0))
-                continue
-            cuts = {(c["line"], c["h"]) for c in cuts} if cuts is not None else ()
-            at, all_lines = {c[0] for c in cuts}, text.split("\n")
-            full = sum(1 for x in all_lines if x.strip())
-            kept = [x for k, x in enumerate(all_lines) if k not in at or (k, line_hash(normal(x))) not in cuts]
-            out.append(("\n".join(kept), full, len(all_lines) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"]).astype({"n_lines": "int64", "n_removed": "int64"})
-
-    rows = rows.withColumn("__left", left(F.col(text_col).cast("string"), F.col("__gone")))
-    out = {text_col: F.col("__left.text"), lines_col: F.col("__left.n_lines"), removed_col: F.col("__left.n_removed")}
+            whole = text.as_py()
+            lines = (whole or "").split("\n")
+            full.append(sum(1 for x in lines if x.strip()))
+            if cuts.is_valid and whole is not None:
+                at = {(c["line"], c["h"]) for c in cuts.as_py()}
+                numbers = {k for k, _ in at}
+                stay = [x for k, x in enumerate(lines) if k not in numbers or (k, line_hash(normal(x))) not in at]
+                less.append(len(lines) - len(stay))
+                whole = "\n".join(stay)
+            else:
+                less.append(0)
+            kept.append(whole)
+            size += len(whole or "")
+            if size >= RUN_CHARS:
+                keep()
+                kept, full, less, size = [], [], [], 0
+        keep()
+        return pa.concat_arrays(done)
+
+    rows = rows.withColumn("__dedup_left", left(F.col(text_col).cast("string"), F.col("__dedup_gone")))
+    out = {text_col: F.col("__dedup_left.text"), lines_col: F.col("__dedup_left.n_lines"), removed_col: F.col("__dedup_left.n_removed")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.length(F.col("__left.text")).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(out).drop("__left", "__gone")
+        out["n_chars"] = F.length(F.col("__dedup_left.text")).cast(docs.schema["n_chars"].dataType)
+    return rows.withColumns(out).drop("__dedup_left", "__dedup_gone")
 
 
 def op2_fuzzy_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .graph import components
+from ..operators.graph import components
 from .scratch import cut, drop
 
 LIST_BLOCK = 4096

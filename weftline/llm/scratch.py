@@ -1,64 +1,14 @@
-"""Reading the given tables, and cutting long lineages in the shared folder.
-
-``cut`` writes a DataFrame as Parquet below the folder that the cluster names
-in ``spark.checkpoint.dir`` and reads it back.  A lost executor then costs a
-reread of those files, never a recomputation of the whole plan.
-"""
+"""Reading the given tables, and cutting long lineages in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_KEPT: list[tuple[SparkSession, str]] = []
+from ..operators.lineage import cut, drop
+
+__all__ = ["cut", "drop", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which ends its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _KEPT.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weftline_path = path
-    return out
-
-
-def drop(df: DataFrame | None) -> None:
-    """Delete the files of a ``cut`` that no later step reads."""
-    path = getattr(df, "_weftline_path", None)
-    if path is not None:
-        _delete(df.sparkSession, path)
-        _KEPT[:] = [kept for kept in _KEPT if kept[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _KEPT:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: the cluster clears its folder
-            return

@@ -87,8 +87,13 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def id_filter(df: DataFrame, col: str, bits: int = 23) -> IdFilter:
-    """A filter of 2**bits bits: at most 2**(bits - 6) rows reach the driver."""
+def id_filter(df: DataFrame, col: str, most_bits: int = 27) -> IdFilter:
+    """A filter of 16 to 32 bits a row of ``df``, at most 2**27 (16 MB).
+
+    At most 2**(bits - 6) rows reach the driver.  Beyond the bound the filter lets more
+    rows pass, which the join behind it then drops.
+    """
+    bits = min(most_bits, max(16, (16 * df.count()).bit_length()))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(1 << (bits - 6), np.uint64)

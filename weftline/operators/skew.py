@@ -11,18 +11,18 @@ MOST_HOT = 100_000  # keys that are broadcast at most, about three megabytes
 PER_SALT = 4096  # rows of one key in one partition
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n", per_salt: int | None = None) -> DataFrame | None:
-    """(key, __salts): the keys with most rows, at most ``MOST_HOT``; None if there are none.
+def hot_keys(counts: DataFrame, key: str | list[str], n: str = "n", per_salt: int | None = None) -> DataFrame | None:
+    """(key.., __salts): the keys with most rows, at most ``MOST_HOT``; None if there are none.
 
     Any key that is left out has fewer than a ``MOST_HOT``-th of all rows.
     """
     per_salt = per_salt or PER_SALT
     hot = counts.where(F.col(n) > per_salt).orderBy(F.desc(n)).limit(MOST_HOT)
-    hot = cut(hot.select(key, F.ceil(F.col(n) / per_salt).cast("int").alias("__salts")), "hot")
+    hot = cut(hot.select(*([key] if isinstance(key, str) else key), F.ceil(F.col(n) / per_salt).cast("int").alias("__salts")), "hot")
     return None if hot.isEmpty() else hot
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str | list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
     """``big`` joined with ``small`` by ``key``; rows of a hot key are dealt out by the hash of ``by``.
 
     ``small`` has few rows a key; those of a hot key are repeated once a salt.
@@ -32,4 +32,4 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | Non
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     dealt = big.join(F.broadcast(hot), key, "left").withColumn("__salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("__salts")
     copies = small.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return dealt.join(copies, [key, "__salt"], how).drop("__salt")
+    return dealt.join(copies, [*([key] if isinstance(key, str) else key), "__salt"], how).drop("__salt")

@@ -13,13 +13,18 @@
    to, its replies right behind it (preorder), siblings by turn, with no quotes.
 
 A conversation, or the messages of one turn, are never gathered in one task: messages
-are sorted by ranges that samples set, and places in them are counted; the order of a conversation that branches comes from list ranking along its
-Euler tour, in a number of rounds that grows with the logarithm of its length.
-
-Edge cases: null or empty texts are messages without quotes and an empty body;
-rows equal in conversation and turn are ranked by role and text, equal rows count
-once.  Passages of fewer than ``MIN_WORDS`` words link nothing.  Quotes without an
-original are dropped from the body all the same.
+are sorted by ranges that samples set, and places in them are counted; the order of a
+conversation that branches comes from list ranking along its Euler tour, in a number of
+rounds that grows with the logarithm of its length.  Joins spread a passage that very
+many messages quote, a message that very many reply to, and a very long conversation.
+
+Edge cases: null or empty texts are messages without quotes and an empty body; rows
+without a conversation id are one conversation, null turns come first; rows equal in
+conversation and turn are ranked by role and text, equal rows count once.  Passages of
+fewer than ``MIN_WORDS`` words link nothing.  Quotes without an original are dropped
+from the body all the same.  Texts are parsed whole.  Only the columns named by
+``link_quotes`` come out; others of the input are left out.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_keys, spread_join
 from .scratch import cut, drop, table
 
 MIN_WORDS = 3
@@ -100,13 +106,13 @@ def numbered(messages: DataFrame) -> DataFrame:
     The sort's ranges cut conversations and turns anywhere; a conversation's rows in
     a range lie together, so their running numbers give its places.
     """
-    order = ["conv_id", F.coalesce("turn", F.lit(-1)), "role", F.xxhash64("text")]
-    rows = messages.repartitionByRange(*order).sortWithinPartitions(*order, "turn", "text")
+    order = ["conv", F.col("turn").asc_nulls_first(), "role", F.xxhash64("text")]
+    rows = messages.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     rows = cut(rows.withColumn("__at", F.monotonically_increasing_id()), "sorted").withColumn("__range", F.shiftrightunsigned("__at", 33))
-    sums = rows.groupBy("conv_id", "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
-    run = W.partitionBy("conv_id").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "__range", (F.coalesce(F.sum("__n").over(run), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return rows.join(sums, ["conv_id", "__range"]).withColumn("idx", F.col("__at") + F.col("__shift")).drop("__at", "__range", "__shift")
+    sums = rows.groupBy("conv", "__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    run = W.partitionBy("conv").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("conv", "__range", (F.coalesce(F.sum("__n").over(run), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return rows.join(sums, ["conv", "__range"]).withColumn("idx", F.col("__at") + F.col("__shift")).drop("__at", "__range", "__shift")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,49 +126,57 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             quoted.append([{"level": n, "grain": g, "h": h} for n, p in passages for g, h in parts(p)])
             counts.append(len(passages))
         kind = pa.list_(pa.struct([("level", pa.int32()), ("grain", pa.int32()), ("h", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.string()), pa.array(own, own_type), pa.array(quoted, kind), pa.array(counts, pa.int32())], names=["conv_id", "idx", "body", "own", "quoted", "n_quotes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bodies, pa.string()), pa.array(own, own_type), pa.array(quoted, kind), pa.array(counts, pa.int32())], names=["conv", "idx", "body", "own", "quoted", "n_quotes"])
 
 
 def preorder(tree: DataFrame) -> DataFrame:
-    """(conv_id, idx, position) of trees given as (conv_id, idx, parent)."""
-    child = ranked(tree.where("parent is not null"), ["conv_id", "parent"], "idx", "nth", "sibling").select("conv_id", "idx", "sibling")
-    first = tree.where("parent is not null").groupBy("conv_id", F.col("parent").alias("idx")).agg(F.min("idx").alias("first"))
-    t = tree.join(child, ["conv_id", "idx"], "left").join(first, ["conv_id", "idx"], "left")
+    """(conv, idx, position) of trees given as (conv, idx, parent)."""
+    child = ranked(tree.where("parent is not null"), ["conv", "parent"], "idx", "nth", "sibling").select("conv", "idx", "sibling")
+    first = tree.where("parent is not null").groupBy("conv", F.col("parent").alias("idx")).agg(F.min("idx").alias("first"))
+    t = tree.join(child, ["conv", "idx"], "left").join(first, ["conv", "idx"], "left")
     # entering a message is event 2 * idx, leaving it 2 * idx + 1
     enter = F.struct((F.col("idx") * 2).alias("e"), F.coalesce(F.col("first") * 2, F.col("idx") * 2 + 1).alias("to"), F.lit(1).cast("long").alias("d"))
     leave = F.struct((F.col("idx") * 2 + 1).alias("e"), F.coalesce(F.col("sibling") * 2, F.col("parent") * 2 + 1).alias("to"), F.lit(0).cast("long").alias("d"))
-    now = cut(t.select("conv_id", F.explode(F.array(enter, leave)).alias("x")).select("conv_id", "x.e", "x.to", "x.d"), "tour")
+    now = cut(t.select("conv", F.explode(F.array(enter, leave)).alias("x")).select("conv", "x.e", "x.to", "x.d"), "tour")
     while not now.where("to is not null").isEmpty():
-        then = now.select("conv_id", F.col("e").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
-        after = cut(now.join(then, ["conv_id", "to"], "left").select("conv_id", "e", F.col("to2").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d")), "tour")
+        # events that have arrived need no partner, so their null keys are kept apart
+        then = now.select("conv", F.col("e").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"))
+        moved = now.where("to is not null").join(then, ["conv", "to"], "left").select("conv", "e", F.col("to2").alias("to"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("d"))
+        after = cut(moved.unionByName(now.where("to is null").select("conv", "e", "to", "d")), "tour")
         drop(now)
         now = after
-    size = tree.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return now.where("e % 2 = 0").join(size, "conv_id").select("conv_id", (F.col("e") / 2).cast("long").alias("idx"), (F.col("n") - F.col("d")).alias("position"))
+    size = cut(tree.groupBy("conv").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    placed = spread_join(now.where("e % 2 = 0"), size, "conv", hot_keys(size, "conv"), ["e"])
+    return placed.select("conv", (F.col("e") / 2).cast("long").alias("idx"), (F.col("n") - F.col("d")).alias("position"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, reply_to, position, n_quotes, n_linked, body) per message."""
     m = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text")).distinct()
+    # one key that is never null
+    m = m.withColumn("conv", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
     m = cut(numbered(m), "messages")
-    parsed = cut(m.select("conv_id", "idx", "text").mapInArrow(_parse, "conv_id long, idx long, body string, own array<long>, quoted array<struct<level:int,grain:int,h:long>>, n_quotes int"), "parsed")
-
-    asked = parsed.where("size(quoted) > 0").select("conv_id", "idx", F.explode("quoted").alias("q")).select("conv_id", "idx", "q.level", "q.grain", "q.h")
-    wrote = parsed.select("conv_id", "idx", F.explode("own").alias("h")).groupBy("conv_id", "h").agg(F.min("idx").alias("origin"))
-    found = asked.join(wrote, ["conv_id", "h"]).where("origin < idx")
-    links = found.groupBy("conv_id", "idx").agg(F.min(F.struct(F.col("level"), (-F.col("origin")).alias("o"))).alias("best"), F.count_distinct("h").alias("n_linked"))
-    links = cut(links.select("conv_id", "idx", (-F.col("best.o")).alias("linked"), "n_linked"), "linked")
-
-    tree = m.select("conv_id", "idx", "turn", "role").join(links, ["conv_id", "idx"], "left")
-    tree = tree.withColumn("parent", F.coalesce("linked", F.when(F.col("idx") > 0, F.col("idx") - 1)))
-    branched = links.where("linked <> idx - 1").select("conv_id").distinct()
+    parsed = cut(m.select("conv", "idx", "text").mapInArrow(_parse, "conv string, idx long, body string, own array<long>, quoted array<struct<level:int,grain:int,h:long>>, n_quotes int"), "parsed")
+
+    asked = parsed.where("size(quoted) > 0").select("conv", "idx", F.explode("quoted").alias("q")).select("conv", "idx", "q.level", "q.grain", "q.h")
+    wrote = parsed.select("conv", "idx", F.explode("own").alias("h")).groupBy("conv", "h").agg(F.min("idx").alias("origin"))
+    often = hot_keys(asked.groupBy("conv", "h").agg(F.count(F.lit(1)).alias("n")), ["conv", "h"])
+    found = spread_join(asked, wrote, ["conv", "h"], often, ["idx"]).where("origin < idx")
+    links = found.groupBy("conv", "idx").agg(F.min(F.struct(F.col("level"), (-F.col("origin")).alias("o"))).alias("best"), F.count_distinct("h").alias("n_linked"))
+    links = cut(links.select("conv", "idx", (-F.col("best.o")).alias("linked"), "n_linked"), "linked")
+
+    tree = m.select("conv", "conv_id", "idx", "turn", "role").join(links, ["conv", "idx"], "left")
+    tree = cut(tree.withColumn("parent", F.coalesce("linked", F.when(F.col("idx") > 0, F.col("idx") - 1))), "tree")
+    branched = cut(links.where("linked <> idx - 1").select("conv").distinct(), "branched")
     if branched.isEmpty():
         tree = tree.withColumn("position", F.col("idx"))
     else:
-        order = preorder(tree.join(branched, "conv_id", "left_semi").select("conv_id", "idx", "parent"))
-        tree = tree.join(order, ["conv_id", "idx"], "left").withColumn("position", F.coalesce("position", "idx"))
-    above = m.select("conv_id", F.col("idx").alias("parent"), F.col("turn").alias("reply_to"))
-    out = tree.join(above, ["conv_id", "parent"], "left").join(parsed.select("conv_id", "idx", "body", "n_quotes"), ["conv_id", "idx"])
+        size = tree.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+        order = preorder(spread_join(tree.select("conv", "idx", "parent"), branched, "conv", hot_keys(size, "conv"), ["idx"]))
+        tree = tree.join(order, ["conv", "idx"], "left").withColumn("position", F.coalesce("position", "idx"))
+    above = m.select("conv", F.col("idx").alias("parent"), F.col("turn").alias("reply_to"))
+    replied = hot_keys(tree.where("parent is not null").groupBy("conv", "parent").agg(F.count(F.lit(1)).alias("n")), ["conv", "parent"])
+    out = spread_join(tree, above, ["conv", "parent"], replied, ["idx"], "left").join(parsed.select("conv", "idx", "body", "n_quotes"), ["conv", "idx"])
     return out.select("conv_id", "turn", "role", "reply_to", F.col("position").cast("long").alias("position"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("int").alias("n_linked"), "body")
 
 

@@ -42,6 +42,21 @@ def test_epochs_repeat_whole_leaves(spark):
     assert len(got[got.source == "t"]) == 0 or got[got.source == "t"].n_tokens.sum() <= 1000
 
 
+def test_target_weights_are_met_where_supply_allows(spark):
+    rows = [(k, d, "x", s, 10) for k, (d, s) in enumerate([("web", "a")] * 900 + [("books", "b")] * 600 + [("forums", "c")] * 30 + [("other", "d")] * 600)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    got = m.mix_sources(df, max_epochs=1, targets={"domain": {"web": 500, "books": 200, "forums": 200}}).groupBy("domain").agg({"n_tokens": "sum"}).collect()
+    # 10,650 tokens; forums can give 300 of 2,130, and what it lacks goes to the others by 5 : 2 : 1
+    assert {r[0]: r[1] for r in got} == {"web": 6460, "books": 2580, "forums": 300, "other": 1290}
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    rows = [(1, "a", "x", "s", 10, "c", 7)] * 3 + [(2, "a", "x", "s", 5, "c", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long, __id string, __t int")
+    got = m.mix_sources(df, fraction=(1, 1), max_epochs=1)
+    assert got.columns == ["domain", "lang", "source", "doc_id", "n_tokens", "epoch"] and sorted(r.doc_id for r in got.collect()) == [1, 1, 1, 2]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, domain string, lang string, source string, n_tokens long")
     assert m.mix_sources(df).count() == 0

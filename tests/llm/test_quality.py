@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weftline.llm import quality as q
 
@@ -65,6 +66,19 @@ def test_kth_largest_narrows_down(spark):
     assert q.kth_largest(df, "v", 0) == float("inf")
 
 
+def test_whole_number_ids_of_any_type_and_long_texts(spark):
+    rows, labels = corpus(60)
+    rows[7] = (7, rows[7][1] * 20_000)  # more than a million characters
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    drawn = {}
+    for kind in ("long", "int"):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("log_weight", F.lit("mine"))
+        got = q.resample(docs, lab, k=10).collect()
+        drawn[kind] = sorted(r.doc_id for r in got if r.selected)
+        assert len(drawn[kind]) == 10 and all(isinstance(r.log_weight, float) for r in got)
+    assert drawn["long"] == drawn["int"]
+
+
 def test_no_labels_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -81,6 +81,27 @@ def test_small_and_empty_tables(spark, tmp_path):
     assert ann.op5_ann_forest(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_a_longer_vector_takes_nothing_from_the_rest(spark, tmp_path):
+    rows = [(k, [1.0 * k, 2.0], 0) for k in range(5)] + [(50, [1.0, 2.0, 3.0], 0)]
+    write(spark, tmp_path, rows)
+    assert [r.vec_id for r in topk_join.op7_exact_topk(spark, str(tmp_path)).orderBy("rank").collect()] == [4, 3, 2, 1]
+    assert [r.vec_id for r in ann.op5_ann_forest(spark, str(tmp_path)).orderBy("rank").collect()] == [4, 3, 2, 1]
+
+
+def test_topk_of_large_and_nearly_equal_vectors(spark, monkeypatch):
+    """Norms of a million, differences of one: bounds must leave room for rounding."""
+    monkeypatch.setattr(topk_join, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    x = 1_000_000 + rng.integers(0, 3, (240, 6)) + rng.integers(0, 3, (240, 1)) * 40
+    df = spark.createDataFrame([(k, [int(v) for v in x[k]], "c") for k in range(240)], "id long, vec array<long>, score string")
+    got = sorted(map(tuple, topk_join.topk_join(df, df.id % 7 == 0, 4).collect()))
+    want = []
+    for q in range(0, 240, 7):
+        best = sorted(((-int(x[q] @ x[i]), i) for i in range(240) if i != q))[:4]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_prefix_lengths():
     a = np.array([0b1010 << 28, 0b1011 << 28, 0], np.uint32)
     assert list(ann.common(a, np.uint32(0b1010 << 28))) == [32, 3, 0]

@@ -40,10 +40,38 @@ def test_text(spark):
 def test_numerals(spark):
     words = {"十": 10, "二十三": 23, "一百零五": 105, "九百九十九": 999, "三": 3, "兩百": 200}
     for s, n in words.items():
-        assert val(spark, N.cn_to_int(L(s))) == (n,) and N._number(s) == n
+        assert val(spark, N.cn_to_int(L(s))) == (n,)
     assert val(spark, N.cn_to_int(L("三x"))) == (None,)
     a = "１０６台北市大安區（舊）新生南路三段１之２號5樓"
-    assert val(spark, N.norm_address(L(a))) == ("臺北市大安區新生南路3段1-2號",)
+    assert val(spark, N.norm_address(L(a))) == ("臺北市大安區新生南路3段1之2號",)
+
+
+def test_address_keys(spark):
+    pairs = {
+        "臺北市濟南路一段六號": "臺北市濟南路1段6號",
+        "台北市中山北路２段44巷2號 3樓之1": "臺北市中山北路2段44巷2號",
+        "40341臺中市西區五權路2-3號(社區活動中心)": "臺中市西區五權路2之3號",
+        "五權路2~3號": "五權路2之3號",
+        "中正路一百零八號": "中正路108號",
+        "中正路二巷三弄五號": "中正路二巷三弄5號",
+        "中山路12號（未關": "中山路12號",
+        "鹿港鎮公所、圖書館": "鹿港鎮公所、圖書館",
+        "十全二路": "十全二路",
+        " ": "",
+        None: "",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in pairs.items()], "a string, b string").select("a", "b", N.norm_address(F.col("a")).alias("k")).collect()
+    assert [(r.a, r.k) for r in rows] == [(r.a, r.b) for r in rows]
+
+
+def test_keys_of_schools_terms_and_names(spark):
+    got = val(
+        spark, X.norm_school(L("台北市松山社區大學")), X.norm_school(L("松山 社大")), X.norm_school(L("澎湖縣社區大學")), X.norm_school(L("澎湖社大")), X.norm_school(L("臺中市大里國民運動中心")), X.norm_school(L("東園樂齡學習中心")), X.norm_school(L("二甲市民學苑")), X.norm_school(L(None).cast("string")),
+        X.norm_title(L("【11/18開課】抒壓玩水彩（六週）")), X.norm_title(L("英文/會話(A) 第二班")), X.term_key(L(115), L("秋"), L("x")), X.term_key(L(None).cast("int"), L("秋"), L("115 秋 季")), X.term_key(L(None).cast("int"), L(None).cast("string"), L(None).cast("string")),
+        X.short_provider(L("臺中市五權社區大學")), X.short_provider(L("嘉義市嘉義市社區大學")), X.short_provider(L("雅藝職能技術顧問有限公司")), X.short_provider(L("財團法人台北市華夏婦女文教基金會")), X.short_provider(L("社區大學推廣中心")),
+        X.course_slug_base(L("【新】[熱] 書法(一)"), L("松山社區大學")), X.course_slug_base(L("★"), L(None).cast("string")), X.venue_slug_base(L("財團法人 某某 館")), X.teacher_slug_base(L("王 小明"), L("松山社大")), R.is_placeholder(L(" 戶外教學")), R.is_placeholder(L("詳見官網")), R.is_placeholder(L(None).cast("string")), X.county_of(L("台北市 ")), X.county_of(L("其他")),
+    )
+    assert got == ("松山", "松山", "澎湖", "澎湖", "大里", "東園", "二甲市民學苑", "", "抒壓玩水彩", "英文/會話(A)第二班", "115秋", "115秋季", "", "五權社大", "嘉義市社大", "雅藝職能技術顧問", "華夏婦女文教基金會", "社區大學推廣中心", "書法一-松山社大", "課程", "某某館", "王小明-松山社大", True, False, True, "臺北市", None)
 
 
 def test_dates(spark):

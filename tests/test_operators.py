@@ -38,6 +38,60 @@ def test_terms_stay_apart_and_are_not_bridged(spark):
     assert ["b1"] in got and ["b2"] in got
 
 
+def test_weak_rules_need_term_and_time(spark):
+    base = ("甲社大", "瑜珈", None)
+    rows = [
+        ("a1", "s1", *base, 115, "春", None, "李", 2, "09:00"),
+        ("a2", "s2", *base, 115, "春", None, "李", 2, "10:00"),  # another class of the same teacher
+        ("a3", "s3", *base, 115, "春", None, "李", 3, None),
+        ("a4", "s4", *base, 115, "春", None, "李", 3, None),  # no time known: weekday and term decide
+        ("a5", "s5", *base, 115, "秋", None, "李", 3, None),
+        ("a6", "s4", *base, 115, "春", None, "李", 3, None),  # meets a3 of another source
+        ("a7", "s3", *base, 115, "春", None, "李", 3, None),  # meets a3 of its own source, both without codes
+        ("a8", "s6", *base, None, None, None, "李", 2, "09:00"),  # without a term titles do not meet
+    ]
+    got = {r.id: (r.root, r.rule) for r in R.cluster_greedy(spark.createDataFrame(rows, OBS)).collect()}
+    assert [sorted(i for i in got if got[i][0] == root) for root in sorted({v[0] for v in got.values()})] == [["a1"], ["a2"], ["a3", "a4", "a6"], ["a5"], ["a7"], ["a8"]]
+    assert got["a3"][1] == got["a4"][1] == "title-teacher" and got["a1"][1] == "singleton"
+
+
+def test_greedy_clusters_equal_a_walk_over_all_orders(spark):
+    from weftline.plans.matching import order_listings
+
+    keyed = R.blocking_keys(order_listings(spark, "/root/testdata/sf0.001")).select("id", "source", "code", "fixed_term", "keys").collect()
+    up, term, owner, sure = {r.id: r.id for r in keyed}, {r.id: r.fixed_term for r in keyed}, {}, {}
+    rows = {r.id: r for r in keyed}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in sorted(keyed, key=lambda r: r.id):
+        for k in r.keys:
+            if k.key not in owner:
+                owner[k.key] = r.id
+                continue
+            o = rows[owner[k.key]]
+            a, b = find(o.id), find(r.id)
+            if k.confidence < 1:
+                if o.source == r.source and o.code and r.code and o.code != r.code:
+                    continue
+                if term[a] and term[b] and term[a] != term[b]:
+                    continue
+                if k.confidence <= 0.85 and o.source == r.source and not o.code and not r.code:
+                    continue
+            t = term[a] or term[b]
+            up[max(a, b)] = min(a, b)
+            term[min(a, b)] = t
+            for x in (o.id, r.id):
+                if sure.get(x, (0, ""))[0] < k.confidence:
+                    sure[x] = (k.confidence, k.rule)
+    got = {r.id: (r.root, r.rule, r.confidence) for r in R.cluster_greedy(order_listings(spark, "/root/testdata/sf0.001")).collect()}
+    assert got == {i: (find(i), *(sure.get(i, (1.0, "singleton"))[::-1])) for i in up}
+    assert len({v[0] for v in got.values()}) < len(got) and {v[1] for v in got.values()} >= {"school-course-code", "title-slot", "singleton"}
+
+
 def test_clusters_do_not_depend_on_row_order(spark):
     rows = list(ROWS)
     want = clusters(spark, rows)
@@ -46,7 +100,7 @@ def test_clusters_do_not_depend_on_row_order(spark):
 
 
 def test_same_source_codes_veto(spark):
-    rows = [("x1", "s1", "甲社大", "瑜珈", "A", None, None, None, "李", 2, "09:00"), ("x2", "s1", "甲社大", "瑜珈", "B", None, None, None, "李", 2, "09:00"), ("x3", "s2", "甲社大", "瑜珈", "Z", None, None, None, "李", 2, "09:00")]
+    rows = [("x1", "s1", "甲社大", "瑜珈", "A", 115, "春", None, "李", 2, "09:00"), ("x2", "s1", "甲社大", "瑜珈", "B", 115, "春", None, "李", 2, "09:00"), ("x3", "s2", "甲社大", "瑜珈", "Z", 115, "春", None, "李", 2, "09:00")]
     assert clusters(spark, rows) == [["x1", "x3"], ["x2"]]
 
 
@@ -97,6 +151,25 @@ def test_venues(spark):
     assert {r.venue_id: r.course_count for r in rows.collect()}["v3"] == 2
 
 
+def test_venue_names_within_and_without_counties(spark):
+    reg = spark.createDataFrame([("v1", "臺中市", "", "大里運動中心", 24.1, 120.6), ("v2", "高雄市", "", "高雄市小港館", None, None), ("v3", "臺南市", "b3", "田徑場", None, None)], "venue_id string, city string, address_key string, name_key string, lat double, lng double")
+    geo = spark.createDataFrame([("b3", 23.0, 120.2), ("c1", 22.0, 121.1)], "address_key string, lat double, lng double")
+    courses = spark.createDataFrame(
+        [
+            ("k1", "臺中市", "", "臺中市大里運動中心", None),  # found without its county
+            ("k2", None, "", "小港館", None),  # the registry's name without its county
+            ("k3", "臺東縣", "", "田徑場", None),  # same name, another county
+            ("k4", "其他", "", "田徑場", None),  # no county, so the name counts; coordinates of the venue's own address
+            ("k5", "臺南市", "c1", "田徑場", None),  # geocoded, and the registry row has no coordinates
+            ("k6", "臺中市", "", "", "大里運動中心"),
+        ],
+        "cluster string, city string, address_key string, venue_key string, provider_key string",
+    )
+    got = {r.cluster: (r.venue_id, r.method, r.lat) for r in R.resolve_venues(courses, reg, geo).collect()}
+    assert got["k1"] == ("v1", "registry-name", 24.1) and got["k6"] == got["k1"] and got["k2"] == ("v2", "registry-name", None)
+    assert got["k3"][1:] == ("derived-name", None) and got["k4"] == ("v3", "registry-name", 23.0) and got["k5"][1:] == ("geocoded-address", 22.0)
+
+
 def test_ties_and_thresholds(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, None)], "k int, v string")
     assert {r.k: r.m for r in A.mode_tie(df, ["k"], "v", "m").collect()} == {1: "b", 2: "c"}

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .text import no_space, replace_first, tai
 
 #: Digits and units of Chinese numerals.
 DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "兩": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -31,37 +29,24 @@ def cn_to_int(s: Column) -> Column:
     return F.when(s.rlike(known), value)
 
 
-def _number(s: str) -> int | None:
-    total, now = 0, None
-    for c in s:
-        if c in UNITS:
-            total += (1 if now is None else now) * UNITS[c]
-            now = 0
-        elif c in DIGITS:
-            now = DIGITS[c]
-        else:
-            return None
-    return total + (now or 0)
-
-
-_CN = "".join([*DIGITS, *UNITS])
-
+def _first_numeral(s: Column, allowed: str, unit: str) -> Column:
+    """``s`` with the numeral before the first ``unit`` in digits."""
+    found = F.regexp_extract(s, f"([{allowed}]+){unit}", 1)
+    at = F.instr(s, F.concat(found, F.lit(unit)))
+    return F.when(found == "", s).otherwise(F.overlay(s, cn_to_int(found).cast("string"), at, F.length(found)))
 
-def address_key(s: str | None) -> str | None:
-    """The key under which equal addresses meet.  Each numeral rule applies once."""
-    if s is None:
-        return None
-    t = s.translate({c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)})
-    t = re.sub(r"\s+", "", t).replace("台", "臺")
-    t = re.sub(r"[(（].*?[)）]", "", t)
-    t = re.sub(r"^\d{3,6}", "", t, count=1)
-    t = re.sub(r"[,，、;；].*$", "", t)
-    t = re.sub(rf"([{_CN}]+)段", lambda m: f"{_number(m[1])}段", t, count=1)
-    t = re.sub(rf"([{_CN}]+)(?=[巷弄號樓鄰])", lambda m: str(_number(m[1])), t, count=1)
-    t = re.sub(r"(\d+)之(\d+)號", r"\1-\2號", t, count=1)
-    return re.sub(r"號.*$", "號", t)
 
+def norm_address(raw: Column) -> Column:
+    """The key under which equal addresses meet; '' without an address.
 
-@F.pandas_udf(T.StringType())
-def norm_address(s: pd.Series) -> pd.Series:
-    return s.map(address_key, na_action="ignore")
+    Half-width digits, no white space, zip code or brackets, section and house number
+    in digits, "12-3號" as "12之3號", nothing behind the house number.
+    """
+    s = F.translate(F.coalesce(raw, F.lit("")), "０１２３４５６７８９", "0123456789")
+    s = no_space(tai(s))
+    s = F.regexp_replace(F.regexp_replace(s, "^[0-9]{3,6}", ""), "[（(][^）)]*[）)]?", "")
+    s = _first_numeral(s, "零〇一二三四五六七八九十", "段")
+    s = _first_numeral(s, "零〇一二三四五六七八九十百", "號")
+    s = replace_first(s, "([0-9]+)[-~]([0-9]+)號", "$2之$3號")
+    upto = F.regexp_extract(s, "^(.*?[0-9]+(?:之[0-9]+)?號)", 1)
+    return F.when(upto != "", upto).otherwise(s)

@@ -42,29 +42,48 @@ def tai(s: Column) -> Column:
     return F.replace(s, F.lit("台"), F.lit("臺"))
 
 
+#: The counties and cities that names start with.
+COUNTIES = ("臺北市", "新北市", "桃園市", "臺中市", "臺南市", "高雄市", "基隆市", "新竹市", "嘉義市", "新竹縣", "苗栗縣", "彰化縣", "南投縣", "雲林縣", "嘉義縣", "屏東縣", "宜蘭縣", "花蓮縣", "臺東縣", "澎湖縣", "金門縣", "連江縣")
+_COUNTY_PREFIX = "^(" + "|".join(COUNTIES) + ")"
+#: What schools and centres end with.
+SCHOOL_SUFFIXES = ("社區大學", "社大", "樂齡學習中心", "樂齡中心", "國民運動中心", "運動中心")
+
+
+def without_county(s: Column) -> Column:
+    return F.regexp_replace(s, _COUNTY_PREFIX, "")
+
+
+def county_of(s: Column) -> Column:
+    """A county's name, or null for anything else that stands in its place."""
+    name = trim_all(tai(s))
+    return F.when(name.isin(*COUNTIES), name)
+
+
 def norm_school(s: Column) -> Column:
-    """School key: half width, no spaces, county prefix and type suffix removed."""
+    """School key: half width, no spaces, without county and type; of a bare county school its place."""
     base = no_space(tai(to_half(F.coalesce(s, F.lit("")))))
-    bare = F.regexp_replace(base, "(社區大學|社大|運動中心|國民運動中心|學苑)$", "")
-    core = F.regexp_replace(bare, "^.{1,2}[縣市]", "")
-    return F.when(core != "", core).otherwise(F.regexp_replace(bare, "[縣市]$", ""))
+    typed = F.regexp_replace(base, "(" + "|".join(SCHOOL_SUFFIXES) + ")$", "")
+    core = F.regexp_replace(without_county(base), "(" + "|".join(SCHOOL_SUFFIXES) + ")$", "")
+    return F.when(core != "", core).otherwise(F.regexp_replace(typed, "[縣市]$", ""))
 
 
 def norm_title(s: Column) -> Column:
-    """Title key: no leading label block, no batch remarks, stars or punctuation."""
+    """Title key: no leading label block, no remarks on weeks, terms or classes, no stars or punctuation."""
     t = to_half(F.coalesce(s, F.lit("")))
-    t = F.regexp_replace(t, r"^\s*(【[^】]*】)", "")
-    t = F.regexp_replace(t, r"[(（][^()（）]*[週期班][)）]", "")
-    return F.regexp_replace(t, r"(?U)[\s★☆*·・,，.。:：;；!！?？'\"()（）\[\]「」『』_\-–—~～/]+", "")
+    t = F.regexp_replace(t, "^【[^】]*】", "")
+    t = F.regexp_replace(t, r"(?U)[（(][^）)]*[週期班]\s*[）)]", "")
+    return F.regexp_replace(t, r"(?U)[\s★☆◎※*，,。.、:：;；!！?？~～\-－—_]+", "")
 
 
 def term_key(year: Column, season: Column, raw: Column) -> Column:
-    return F.coalesce(F.concat(year.cast("string"), season), no_space(raw))
+    """Year and season if both are there, else the raw term without spaces ('' without one)."""
+    known = F.coalesce((year.cast("string") != "") & (year.cast("string") != "0") & (season != ""), F.lit(False))
+    return F.when(known, F.concat(year.cast("string"), season)).otherwise(no_space(F.coalesce(raw, F.lit(""))))
 
 
 def norm_venue_name(s: Column) -> Column:
     t = F.regexp_replace(tai(F.coalesce(s, F.lit(""))), r"(?U)[\s()（）]+", "")
-    return F.regexp_replace(t, "^(財團法人|社團法人|國立|市立|縣立|私立|公立)", "")
+    return F.regexp_replace(t, "^(國立|市立|縣立|私立|公立)", "")
 
 
 def hash8(s: Column) -> Column:
@@ -87,11 +106,40 @@ def strip_promo_prefix(s: Column) -> Column:
     return F.when(left != "", left).otherwise(last)
 
 
+MAX_TITLE = 20
+MAX_PROVIDER = 12
+
+
 def short_provider(s: Column) -> Column:
-    t = F.regexp_replace(s, "^(財團法人|社團法人)", "")
-    t = F.regexp_replace(t, "^.{2}[縣市]", "")
-    t = F.replace(F.replace(t, F.lit("社區大學"), F.lit("社大")), F.lit("國民運動中心"), F.lit("運動中心"))
-    return clip(t, 12)
+    """A provider without legal form and county, its type shortened, letters and digits only."""
+    t = tai(no_space(to_half(nfc(F.coalesce(s, F.lit(""))))))
+    t = without_county(F.regexp_replace(t, "^(財團法人|社團法人)", ""))
+    for long, short in (("社區大學", "社大"), ("樂齡學習中心", "樂齡中心"), ("國民運動中心", "運動中心")):
+        t = F.regexp_replace(t, f"{long}$", short)
+    t = F.regexp_replace(t, "(股份有限公司|有限公司|基金會附設|財團法人)$", "")
+    return clip(normalize_name(t), MAX_PROVIDER)
+
+
+def _or(s: Column, default: str) -> Column:
+    return F.when(s != "", s).otherwise(F.lit(default))
+
+
+def course_slug_base(title: Column, provider: Column) -> Column:
+    """Readable part of a course's address: title and provider."""
+    name = _or(clip(normalize_name(strip_promo_prefix(F.coalesce(title, F.lit("")))), MAX_TITLE), "課程")
+    by = short_provider(provider)
+    return F.when(by != "", F.concat_ws("-", name, by)).otherwise(name)
+
+
+def venue_slug_base(name: Column) -> Column:
+    bare = F.regexp_replace(no_space(nfc(F.coalesce(name, F.lit("")))), "^(財團法人|社團法人)", "")
+    return _or(clip(normalize_name(bare), MAX_TITLE), "場館")
+
+
+def teacher_slug_base(name: Column, provider: Column) -> Column:
+    who = _or(clip(normalize_name(F.coalesce(name, F.lit(""))), MAX_TITLE), "講師")
+    by = short_provider(provider)
+    return F.when(by != "", F.concat_ws("-", who, by)).otherwise(who)
 
 
 def html_text(s: Column) -> Column:

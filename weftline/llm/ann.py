@@ -25,9 +25,11 @@ of vectors; a query meets exactly the blocks of its own prefix.  Below the floor
 only the prefixes that such queries ask for are laid out again, in blocks of vectors
 and of queries.  Equal vectors are indexed once, with their smallest ids.
 
-Edge cases: vectors that are null, empty, zero, non-finite or shorter than the
-longest take no part, nor do null ids.  Rows equal in id and vector count once.
-Ties go to the smaller id.  With fewer candidates than k, all are returned.
+Edge cases: vectors that are null, empty, zero or non-finite take no part, nor do those
+whose length is not the one that most have (they have no inner product with the rest),
+nor null ids.  Rows equal in id and vector count once.  Ties go to the smaller id.  With
+fewer candidates than k, all are returned; an empty table gives an empty result.  Other
+columns of the table are not read.
 """
 
 from __future__ import annotations

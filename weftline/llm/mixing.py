@@ -2,7 +2,9 @@
 
 Documents hang under a tree of levels (domain, language, source).  A budget of
 tokens enters at the root and moves down: children share their parent's budget
-by weight.  A child whose whole subtree cannot supply its share (supply times
+by weight.  ``targets`` gives the shares of a level's values in thousandths of their
+parent's budget; values that it does not list share what is left, by default weights
+(the sum of a power of their leaves' supplies).  A child whose whole subtree cannot supply its share (supply times
 ``max_epochs``) takes what it can, and the shortage is shared out among its
 siblings, again by weight; only what all siblings together cannot take stays
 with the parent, whose own siblings then take it.  Since a child's capacity
@@ -11,7 +13,8 @@ counts its whole subtree, capped sharing from the root down does just that.
 A leaf reads its documents in epochs, each in its own seeded order; it takes
 whole epochs and then the longest prefix of the next one that its budget holds.
 
-All token sums are whole numbers, so the result is the same on every engine.
+All token sums are whole numbers, so the result is the same on every engine.  Shares
+are rounded down, which leaves at most one token a child unspent.
 
 A hot leaf is never sorted in one task: an epoch's order is by a hash, documents
 are counted by hash slices (as many slices as the leaf needs to hold about
@@ -21,11 +24,15 @@ the budget ends is ordered by row.
 Edge cases: null level values are a value of their own; a null or empty text has
 no tokens and is kept whenever its place in the order lies in the prefix; a
 leaf without tokens gets its documents once.  Rows with equal ids come together
-in the order, by text.  An empty table gives an empty result.
+in the order, by length.  Texts are counted whole.  Of the input only levels, id and
+tokens are read, so other columns cannot clash.  A target for a value that does not occur
+goes to nobody.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +43,8 @@ LEVELS = ("domain", "lang", "source")
 SEED = 17
 SLICE = 4096
 MAX_EPOCHS = 4
+#: What the query asks for, in thousandths: half of all tokens from the web, and so on.
+TARGETS = {"domain": {"web": 500, "books": 300}, "lang": {"en": 400}}
 
 
 def n_words(text: Column) -> Column:
@@ -66,12 +75,29 @@ def shares(children: DataFrame, parent_cols: list[str], name: str) -> DataFrame:
     return c.withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(share))
 
 
-def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], budget: Column, max_epochs: int) -> DataFrame:
-    """(levels.., supply, budget) from (levels.., supply, weight); a node's weight is its leaves' sum."""
+def targeted(children: DataFrame, parent_cols: list[str], name: str, shares_of: Mapping[str, int]) -> DataFrame:
+    """``children`` with weights such that listed values have their thousandths of the siblings' sum."""
+    if not shares_of:
+        return children
+    listed = sum(shares_of.values())
+    if listed > 1000 or min(shares_of.values()) < 1:
+        raise ValueError(f"target shares of {name} must be positive and add up to 1000 at most")
+    share = F.lit(None).cast("long")
+    for value, parts in shares_of.items():
+        share = F.when(F.col(name) == value, F.lit(parts).cast("long")).otherwise(share)
+    siblings = W.partitionBy(*parent_cols)
+    c = children.withColumn("share", share)
+    c = c.withColumn("others", F.greatest(F.coalesce(F.sum(F.when(F.col("share").isNull(), F.col("weight"))).over(siblings), F.lit(0)), F.lit(1)))
+    return c.withColumn("weight", F.greatest(F.coalesce(F.col("share") * F.col("others"), F.col("weight") * (1000 - listed)), F.lit(1))).drop("share", "others")
+
+
+def leaf_budgets(leaves: DataFrame, levels: tuple[str, ...], budget: Column, max_epochs: int, targets: Mapping[str, Mapping[str, int]] | None = None) -> DataFrame:
+    """(levels.., supply, budget) from (levels.., supply, weight); without targets a node's weight is its leaves' sum."""
     nodes = None
     for depth in range(1, len(levels) + 1):
         keys, name = list(levels[: depth - 1]), levels[depth - 1]
         mine = leaves.groupBy(*levels[:depth]).agg((F.sum("supply") * max_epochs).alias("capacity"), F.sum("weight").alias("weight"))
+        mine = targeted(mine, keys or [F.lit(0)], name, (targets or {}).get(name, {}))
         if nodes is None:
             mine = mine.withColumn("parent_budget", budget)
         else:
@@ -93,11 +119,13 @@ def mix_sources(
     power: float = 0.5,
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
+    targets: Mapping[str, Mapping[str, int]] | None = None,
 ) -> DataFrame:
     """(levels.., id, tokens, epoch): one row for each time a document is taken.
 
-    The budget is ``fraction`` of all tokens.  A leaf's weight is its supply to
-    the given power, in whole numbers: 1 keeps proportions, 0 evens them out.
+    The budget is ``fraction`` of all tokens.  ``targets`` are shares by level and value;
+    elsewhere a leaf's weight is its supply to the given power, in whole numbers: 1 keeps
+    proportions, 0 evens them out.
     """
     num, den = fraction
     d = cut(docs.select(*levels, F.col(id_col).alias("__id"), F.col(tokens_col).cast("long").alias("__t")), "lengths")
@@ -105,7 +133,7 @@ def mix_sources(
     total = leaves.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("t")).first()["t"]
     budget = F.lit(total * num // den).cast("long")
     weighed = leaves.withColumn("weight", F.greatest(F.round(F.pow("supply", F.lit(power))).cast("long"), F.lit(1)))
-    plan = leaf_budgets(weighed, levels, budget, max_epochs)
+    plan = leaf_budgets(weighed, levels, budget, max_epochs, targets)
     key = [f"l_{k}" for k in levels]
     plan = plan.join(leaves.select(*[F.col(k).alias(f"l_{k}") for k in levels], "n"), _same(levels, "l_"))
     whole = F.when(F.col("supply") > 0, F.least(F.floor(F.col("budget") / F.col("supply")), F.lit(max_epochs))).otherwise(1)
@@ -146,7 +174,7 @@ def domain_of(source: Column) -> Column:
 def op8_source_mixing(spark, sf_dir: str) -> DataFrame:
     """The documents (with epochs) that make up half of all tokens at target weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", n_words(F.col("text")).alias("n_tokens"))
-    return mix_sources(docs.withColumn("domain", domain_of(F.col("source")))).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+    return mix_sources(docs.withColumn("domain", domain_of(F.col("source"))), targets=TARGETS).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def _oracle() -> str:
@@ -158,9 +186,16 @@ def _oracle() -> str:
         order = f"ORDER BY capacity / weight, {keys[-1]} NULLS FIRST"
         parent = "(SELECT CAST(sum(supply) AS BIGINT) // 2 FROM leaves)" if depth == 1 else "p.budget"
         join = "" if depth == 1 else f" JOIN n{depth - 1} p ON " + " AND ".join(f"m.{k} IS NOT DISTINCT FROM p.{k}" for k in keys[:-1])
+        asked = TARGETS.get(keys[-1], {})
+        weighed = f"w{depth} AS (SELECT * FROM m{depth}),"
+        if asked:
+            cases = " ".join(f"WHEN {keys[-1]} = '{v}' THEN {n}" for v, n in asked.items())
+            weighed = f"""s{depth} AS (SELECT *, CASE {cases} END AS share FROM m{depth}),
+w{depth} AS (SELECT {by}, capacity, CAST(greatest(coalesce(share * greatest(coalesce(sum(CASE WHEN share IS NULL THEN weight END) OVER ({part}), 0), 1), weight * {1000 - sum(asked.values())}), 1) AS BIGINT) AS weight FROM s{depth}),"""
         return f"""
 m{depth} AS (SELECT {by}, CAST(sum(supply) * {MAX_EPOCHS} AS BIGINT) AS capacity, CAST(sum(weight) AS BIGINT) AS weight FROM leaves GROUP BY {by}),
-a{depth} AS (SELECT m.*, {parent} AS parent_budget FROM m{depth} m{join}),
+{weighed}
+a{depth} AS (SELECT m.*, {parent} AS parent_budget FROM w{depth} m{join}),
 b{depth} AS (SELECT *, parent_budget - coalesce(sum(capacity) OVER ({part} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
   sum(weight) OVER ({part} {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM a{depth}),
 c{depth} AS (SELECT *, min(CASE WHEN capacity::HUGEINT * weights <= lft::HUGEINT * weight THEN 1 ELSE 0 END) OVER ({part} {order} ROWS UNBOUNDED PRECEDING) = 1 AS is_full FROM b{depth}),

@@ -17,7 +17,9 @@ packed side by side, so neither a hot source nor a hot cluster gathers in one
 task; a bin never crosses shards, which leaves at most a few half-filled bins a
 shard.  Only ids, lengths, sources and cluster digests move, never texts.
 
-Edge cases: a document without tokens (or null text) gets one row without a bin.
+Edge cases: texts are measured whole; very long ones fill many bins of their own.  Other
+columns are left out.  A null cluster is no cluster: it conflicts with nothing.  An empty
+table gives an empty result.  A document without tokens (or null text) gets one row without a bin.
 Repeated rows are told apart by a copy number and share their cluster, so they
 land in different bins.  A null source is a source of its own.
 """
@@ -157,7 +159,10 @@ def pack_documents(
         last = np.flatnonzero(rest)
         last = last[np.argsort(-rest[last], kind="stable")]
         source = pd.factorize(pdf["source"].fillna("\0null").to_numpy()[last])[0] if len(last) else np.zeros(0, np.int64)
-        k = pack(rest[last], source, pdf["cluster"].fillna(0).to_numpy().astype(np.int64)[last], capacity, per_source)
+        # pieces without a cluster get a number that no other piece has
+        codes = pd.factorize(pdf["cluster"])[0]
+        codes = np.where(codes < 0, len(codes) + np.arange(len(codes)), codes)
+        k = pack(rest[last], source, codes[last], capacity, per_source)
         parts.append(pd.DataFrame({"row": last, "piece": full[last], "start": full[last] * capacity, "stop": n[last], "bin": [f"{name}{x}" for x in k]}))
         none = np.flatnonzero(n == 0)
         parts.append(pd.DataFrame({"row": none, "piece": 0, "start": 0, "stop": 0, "bin": [None] * len(none)}))

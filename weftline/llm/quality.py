@@ -18,7 +18,13 @@ between the two weights where true positive plus true negative rate peaks.
 The raw model and k cover every document.  Target model and cutoff come from at
 most ``max_labelled`` labelled rows (by hash of id), half for each.
 
-Edge cases: a null or empty text has weight 0 (log), like a document about which
+Texts are scored twice, once for the k-th key and once for the output: keeping the
+first scores would mean joining them back by id, which shuffles every text, or copying
+the table, and ids need not be unique.
+
+Edge cases: texts are scored whole, in runs whose memory follows the largest text.  Ids
+of any whole-number type draw alike.  Other columns stay; those of the three output names
+are replaced.  A null or empty text has weight 0 (log), like a document about which
 the models say nothing.  Without labels of both kinds nothing is rejected.  Rows
 with equal ids have equal keys and share their fate, as do ties at the k-th key:
 all are kept.  An empty table gives an empty result.
@@ -182,9 +188,9 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096, few: int = 20
     return part.orderBy(F.desc(col)).limit(k).agg(F.min(col)).first()[0]
 
 
-def draw_key(log_weight: Column, id_col: str, seed: int) -> Column:
+def draw_key(log_weight: Column, key: Column, seed: int) -> Column:
     """The log weight plus Gumbel noise from a hash of seed and id."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 12).cast("double") + 0.5) / float(1 << 52)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 12).cast("double") + 0.5) / float(1 << 52)
     return log_weight - F.log(-F.log(u))
 
 
@@ -195,7 +201,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     weight = weigher(spark, fit(rows, sample))
     keyed = rows.select("doc_id", weight("text").alias("log_weight"))
-    keyed = cut(keyed.withColumn("draw_key", draw_key(F.col("log_weight"), "doc_id", seed)), "keys")
+    keyed = cut(keyed.withColumn("draw_key", draw_key(F.col("log_weight"), F.col("doc_id"), seed)), "keys")
     if k is None:
         held = [(i, good) for i, (good, used) in sample.items() if not used]
         ids = spark.createDataFrame(held, "doc_id long, good boolean")
@@ -204,7 +210,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col:
         k = keyed.where(F.col("log_weight") > part).count()
     least = kth_largest(keyed, "draw_key", k)
     out = docs.withColumn(names[0], weight(F.col(text_col).cast("string")))
-    out = out.withColumn(names[1], draw_key(F.col(names[0]), id_col, seed))
+    out = out.withColumn(names[1], draw_key(F.col(names[0]), F.col(id_col).cast("long"), seed))
     return out.withColumn(names[2], F.col(names[1]) >= F.lit(least))
 
 

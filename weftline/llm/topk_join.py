@@ -18,9 +18,15 @@ every query a zero there.  In that space:
 Equal vectors count once, with their smallest ids, so a hot vector costs what
 any other does; queries with equal vectors are solved once.
 
-Edge cases: null, empty and non-finite vectors take no part, nor do null ids or
-vectors shorter than the longest.  Rows equal in id and vector count once.  A
-query whose table holds nothing else returns no rows.  Scores beyond a long wrap.
+Distances are computed in double precision from squares; ``slack`` bounds their error
+by the norms that occur, and every comparison with a bound leaves that much room, so
+rounding never prunes an answer.
+
+Edge cases: null, empty and non-finite vectors take no part, nor do null ids or vectors
+whose length is not the one that most have (they have no inner product with the rest).
+Rows equal in id and vector count once.  A query whose table holds nothing else returns
+no rows, and an empty table none.  Scores beyond a long wrap.  Other columns of the
+table are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +47,7 @@ K = 5
 BLOCK = 4096
 SAMPLE = 4096
 MOST_PIVOTS = 256
-SLACK = 1e-6
+EPS = 2.0**-52
 
 
 def pivots_of(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
@@ -58,6 +64,17 @@ def pivots_of(sample: np.ndarray, n: int, rounds: int = 4) -> np.ndarray:
     return centres
 
 
+def slack(pivots: np.ndarray, most: float) -> float:
+    """How far a computed distance can be from the true one.
+
+    A squared distance is a sum of at most 3 * dim products of numbers whose squares are
+    at most the largest squared norm; each rounds by EPS, and so do the sums.  The error
+    of the root is at most the root of the error.
+    """
+    largest = max(most, float((pivots**2).sum(axis=1).max()) if len(pivots) else 0.0)
+    return float(np.sqrt(16 * (pivots.shape[1] + 4) * EPS * largest))
+
+
 def lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
     last = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, most - (x * x).sum(axis=1)))
     return np.concatenate([x, last[:, None]], axis=1)
@@ -87,7 +104,7 @@ def _assign(rows: DataFrame, pivots: np.ndarray, most: float, query: bool, keep:
     return rows.select("vec", keep).mapInArrow(near, f"vec binary, {keep} {kind}, cell int, far double")
 
 
-def _plan(pivots: np.ndarray, data: list, groups: list, k: int) -> list[tuple]:
+def _plan(pivots: np.ndarray, data: list, groups: list, k: int, room: float) -> list[tuple]:
     """(group, cell, low, high, data blocks, query blocks) of all pairs that are needed."""
     apart = np.sqrt(np.maximum(0, ((pivots[:, None] - pivots[None]) ** 2).sum(-1)))
     out = []
@@ -97,11 +114,11 @@ def _plan(pivots: np.ndarray, data: list, groups: list, k: int) -> list[tuple]:
             near += [(g["radius"] + apart[g["cell"], d["cell"]] + x) for x in d["least"]]
         near.sort()
         reach = near[k - 1] if len(near) >= k else float("inf")
-        reach = reach * (1 + SLACK) + SLACK
+        reach = reach * (1 + 8 * EPS) + 3 * room
         for d in data:
             gap = apart[g["cell"], d["cell"]]
             low, high = gap - g["radius"] - reach, gap + g["radius"] + reach
-            low, high = float(low - SLACK * (1 + abs(low))), float(high + SLACK * (1 + abs(high)))
+            low, high = float(low - 3 * room - 8 * EPS * abs(low)), float(high + 3 * room + 8 * EPS * abs(high))
             if low <= d["far"] and high >= d["near"]:
                 out.append((g["cell"], d["cell"], low, high, -(-d["n"] // BLOCK), -(-g["n"] // BLOCK)))
     return out
@@ -128,7 +145,7 @@ def topk_join(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     least = {r["cell"]: sorted(r["least"]) for r in least.groupBy("cell").agg(F.collect_list("far").alias("least")).collect()}
     cells = [r.asDict() | {"least": least[r["cell"]]} for r in d.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("near"), F.max("far").alias("far")).collect()]
     groups = [r.asDict() for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()]
-    plan = spark.createDataFrame(_plan(pivots, cells, groups, k + 1), "g int, cell int, low double, high double, nd int, nq int")
+    plan = spark.createDataFrame(_plan(pivots, cells, groups, k + 1, slack(pivots, most)), "g int, cell int, low double, high double, nd int, nq int")
 
     near = d.withColumnRenamed("cell", "c").join(F.broadcast(plan), (F.col("c") == F.col("cell")) & F.col("far").between(F.col("low"), F.col("high")))
     near = near.withColumn("b", F.pmod(F.xxhash64("vec"), F.col("nd")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))

@@ -15,9 +15,12 @@ complete token are tried on every url.
 Rules are a driver-side argument, so their index is as small as that argument.
 The urls themselves are never shuffled: each is judged where it was read.
 
+Urls are judged whole, however long.
+
 Edge cases: a null url, or one without ``://``, has an empty host and path and
 fits no site rule; it is judged by the patterns that fit an empty text (none).
-Repeated rows are judged alike, one output row for each input row.  Columns of
+Repeated rows are judged alike, one output row for each input row; an empty table
+gives an empty result.  Columns of
 the input stay; ``out`` replaces a column of that name.
 """
 
@@ -130,10 +133,11 @@ def token_counts(df: DataFrame, url_col: str, rules: Sequence[Rule]) -> dict[str
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
+    spark = df.sparkSession
     text = F.lower(F.substring_index(F.concat(F.lit("://"), F.coalesce(F.col(url_col), F.lit(""))), "://", -1))
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)))
-    held = F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted]))
-    rows = df.select(F.explode(held).alias("token")).groupBy("token").count().collect()
+    listed = spark.createDataFrame([(t,) for t in wanted], "token string")
+    rows = df.select(F.explode(tokens).alias("token")).join(listed, "token").groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}
 
 
@@ -150,12 +154,22 @@ def index_rules(rules: Sequence[Rule], counts: dict[str, int]) -> tuple[dict[str
     return index, rest
 
 
-def judge(url, index, rest, default="allow") -> tuple:
-    """Host, path, site rule, pattern, verdict and how many expressions ran."""
+def judge(url, index, rest, default="allow", compiled: dict[str, re.Pattern] | None = None) -> tuple:
+    """Host, path, site rule, pattern, verdict and how many expressions ran.
+
+    ``compiled`` keeps the expressions of one task's rules, each compiled when first run.
+    """
+    compiled = {} if compiled is None else compiled
+
+    def fits_rule(r: Rule) -> bool:
+        if r.regex not in compiled:
+            compiled[r.regex] = re.compile(r.regex)
+        return compiled[r.regex].search(host + path if r.site else text) is not None
+
     host, path, text = split_url(url)
     found = [r for t in dict.fromkeys(_TOKEN.findall(text)) for r in index.get(t, ())]
     tried = found + rest
-    fits = [r for r in tried if re.search(r.regex, host + path if r.site else text)]
+    fits = [r for r in tried if fits_rule(r)]
     site = max((r for r in fits if r.site), key=lambda r: r.rank, default=None)
     pattern = max((r for r in fits if not r.site), key=lambda r: r.rank, default=None)
     verdict = site.verdict if site else pattern.verdict if pattern else default
@@ -176,8 +190,9 @@ def judge_urls(
 
     @F.pandas_udf(VERDICT)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled: dict[str, re.Pattern] = {}
         for urls in batches:
-            rows = [judge(u, index, rest, default) for u in urls]
+            rows = [judge(u, index, rest, default, compiled) for u in urls]
             yield pd.DataFrame(rows, columns=VERDICT.names).astype({"tried": "int32"})
 
     return df.withColumn(out, judged(F.col(url_col)))

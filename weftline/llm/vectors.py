@@ -48,9 +48,9 @@ def unpacked(blobs, kind: type = np.float64) -> np.ndarray:
 
 
 def same_length(rows: DataFrame) -> DataFrame:
-    """Only vectors as long as the longest: others have no inner product with it."""
-    longest = rows.agg(F.max(F.size("vec"))).first()[0]
-    return rows.where(F.size("vec") == F.lit(longest))
+    """Only vectors of the length that most have (ties: the longer); others have no inner product with them."""
+    common = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return rows.where(F.size("vec") == F.lit(common["size"] if common else 0))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -23,19 +23,26 @@ def suffix_join(df: DataFrame, id_col: str, col: str, dim: DataFrame, dim_col: s
     Equality comes first, then the dimension's order.  Rows without a match stay.
     """
     left, right = suffix_lengths(df, col, dim, dim_col)
-    met = left.join(F.broadcast(right.select("__key", dim_col, ordinal, *fields)), "__key", "left")
+    met = left.join(right.select("__key", dim_col, ordinal, *fields), "__key", "left")
     order = [F.when(F.col(col) == F.col(dim_col), 0).when(F.col(dim_col).isNotNull(), 1).otherwise(2), F.col(ordinal).asc_nulls_last()]
     best = met.withColumn("__nth", F.row_number().over(W.partitionBy(id_col).orderBy(*order))).where("__nth = 1")
     return best.select(*df.columns, *fields)
 
 
 def longest_contains(df: DataFrame, id_col: str, text: Column, dim: DataFrame, word: str, ordinal: str, on: list[str] | None = None) -> DataFrame:
-    """(id, word) of the longest word that a text contains; ties by the dimension's order."""
-    rows = df.select(id_col, *(on or []), text.alias("__text"))
-    if on:
-        met = rows.join(F.broadcast(dim), on).where(F.contains(F.col("__text"), F.col(word)))
-    else:
-        met = rows.join(F.broadcast(dim), F.contains(F.col("__text"), F.col(word)))
+    """(id, word) of the longest word that a text contains; ties by the dimension's order.
+
+    A text's parts of the lengths that words really have are joined with the words, so
+    this is an equi-join however many words there are.
+    """
+    lengths = [r[0] for r in dim.where(F.length(word) > 0).select(F.length(word).alias("n")).distinct().orderBy("n").collect()]
+    parts = F.array().cast("array<string>")
+    if lengths:
+        upto = lambda n: F.when(F.length("__text") >= n, F.transform(F.sequence(F.lit(1), F.length("__text") - n + 1), lambda i: F.substr("__text", i, F.lit(n))))
+        parts = F.array_distinct(F.flatten(F.array_compact(F.array(*[upto(n) for n in lengths]))))
+    rows = df.select(id_col, *(on or []), text.alias("__text")).withColumn("__part", F.explode(parts)).drop("__text")
+    words = dim.select(*(on or []), F.col(word).alias("__part"), F.col(word), ordinal)
+    met = rows.join(words, [*(on or []), "__part"])
     best = F.row_number().over(W.partitionBy(id_col).orderBy(F.length(word).desc(), F.col(ordinal)))
     return met.withColumn("__nth", best).where("__nth = 1").select(id_col, word)
 
@@ -69,11 +76,8 @@ def priority_lookup(df: DataFrame, id_col: str, tries: list[tuple[DataFrame, Col
 def successors(df: DataFrame, key: str, id_col: str, at: str, k: int) -> DataFrame:
     """(id, next_id, next_at, rank): the next k rows of the same key, by date, then id."""
     w = W.partitionBy(key).orderBy(at, id_col)
-    out = None
-    for n in range(1, k + 1):
-        step = df.select(F.col(id_col), F.lead(id_col, n).over(w).alias("next_id"), F.lead(at, n).over(w).alias("next_at"), F.lit(n).alias("rank")).where("next_id is not null")
-        out = step if out is None else out.unionByName(step)
-    return out
+    steps = [F.struct(F.lead(id_col, n).over(w).alias("next_id"), F.lead(at, n).over(w).alias("next_at"), F.lit(n).alias("rank")) for n in range(1, k + 1)]
+    return df.select(id_col, F.array(*steps).alias("steps")).select(id_col, F.inline("steps")).where("next_id is not null")
 
 
 def tiered_fill(df: DataFrame, id_col: str, tiers: list[list[str]], order: list[str], k: int) -> DataFrame:

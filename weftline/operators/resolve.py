@@ -3,117 +3,121 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import hash8, norm_school, norm_title, term_key
+from ..functions.text import county_of, hash8, norm_school, norm_title, term_key, without_county
 from .graph import components
+from .lineage import cut
 
 #: Rules by falling confidence.
-RULES = (("code+term", 1.0), ("code", 0.95), ("title+slot", 0.9), ("title+teacher+slot", 0.85), ("title+teacher", 0.8))
+RULES = (("school-course-code", 1.0), ("school-course-code-noterm", 0.95), ("title-slot", 0.9), ("title-teacher-slot", 0.85), ("title-teacher", 0.8))
+WEAK = 0.85
 
 
 def blocking_keys(obs: DataFrame) -> DataFrame:
     """``obs`` with its normalised fields and ``keys``: array of (key, rule, confidence).
 
-    Needs id, source, school, title, code, term_year, term_season, term_raw,
-    teacher, weekday, start.  Every key begins with the school, so keys never
-    cross schools; without a school there are none.
+    Needs id, source, school, title, code, term_year, term_season, term_raw, teacher,
+    weekday, start.  Every key begins with the school; without a school there are none.
+    Codes may meet without a term; titles need one, and a starting time or a teacher.
+    Classes of one teacher keep apart by their starting time, or by their weekday where
+    no time is known.
     """
-    o = obs.withColumns({"school_key": norm_school(F.col("school")), "title_key": norm_title(F.col("title")), "term": term_key(F.col("term_year"), F.col("term_season"), F.col("term_raw"))})
-    s, t, slot = F.col("school_key"), F.col("title_key"), F.concat_ws("-", "weekday", "start")
-    timed = F.col("weekday").isNotNull() & F.col("start").isNotNull()
-    some = lambda c: F.coalesce(c != "", F.lit(False))
-    has = some(s)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    year, season = text("term_year"), text("term_season")
+    o = obs.withColumns(
+        {
+            "school_key": norm_school(F.col("school")),
+            "title_key": norm_title(F.col("title")),
+            "teacher_key": norm_title(F.col("teacher")),
+            "term": term_key(F.col("term_year"), F.col("term_season"), F.col("term_raw")),
+            "fixed_term": F.when((year != "") & (year != "0") & (season != ""), F.concat(year, season)),
+        }
+    )
 
-    def key(rule: int, when: Column, *parts: Column) -> Column:
-        made = F.concat_ws("\x1f", F.lit(RULES[rule][0]), s, *parts)
-        return F.when(has & when, F.struct(made.alias("key"), F.lit(RULES[rule][0]).alias("rule"), F.lit(RULES[rule][1]).alias("confidence")))
+    def key(rule: int, needs: list[Column], *parts: Column) -> Column:
+        ok = F.col("school_key") != ""
+        for n in needs:
+            ok = ok & (n != "")
+        name, confidence = RULES[rule]
+        return F.when(ok, F.struct(F.concat_ws("\x1f", F.lit(name), "school_key", *parts).alias("key"), F.lit(name).alias("rule"), F.lit(confidence).alias("confidence")))
 
-    code, teacher, term = F.col("code"), F.col("teacher"), F.coalesce("term", F.lit(""))
+    code, term, title, teacher, day, start = text("code"), F.col("term"), F.col("title_key"), F.col("teacher_key"), text("weekday"), text("start")
     keys = F.array(
-        key(0, some(code) & some(F.col("term")), code, term),
-        key(1, some(code), code),
-        key(2, some(t) & timed, t, slot, term),
-        key(3, some(t) & some(teacher) & timed, t, teacher, slot),
-        key(4, some(t) & some(teacher) & ~timed, t, teacher),
+        key(0, [code, term], term, code),
+        key(1, [code], code),
+        key(2, [term, title, day, start], term, title, day, start),
+        key(3, [term, title, teacher, start], term, title, teacher, day, start),
+        F.when(start == "", key(4, [term, title, teacher], term, title, teacher, day)),
     )
     return o.withColumn("keys", F.filter(keys, lambda k: k.isNotNull()))
 
 
-@dataclass
-class _Group:
-    members: list[int]
-    term: str | None = None
-    codes: dict[str, set[str]] = field(default_factory=dict)
-    bare: set[str] = field(default_factory=set)
-    sources: set[str] = field(default_factory=set)
-
-
-def _vetoed(a: _Group, b: _Group, confidence: float) -> bool:
-    """Different terms, different codes within one source, or a weak rule within one source."""
-    if a.term and b.term and a.term != b.term:
-        return True
-    if any(len(a.codes[s] | b.codes[s]) > 1 for s in a.codes.keys() & b.codes.keys()):
-        return True
-    return confidence <= 0.85 and bool(a.bare & b.bare)
-
-
 def greedy_merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one school's observations, taken in id order.
+    """Clusters of observations that share keys, taken in id order.
 
-    A key belongs to the first row that shows it.  A later row joins that owner's
-    group unless a veto holds; confidence 1.0 is never vetoed.  The group's term
-    is the first one known, so a row without a term cannot bridge two terms.
+    A key belongs to the first row that shows it.  A later row joins that owner's group
+    unless its key is vetoed: owner and row come from one source with different codes;
+    both groups have a year and season and they differ; or the rule is weak and both
+    come from one source without a code.  The strongest rule is never vetoed.  A group's
+    term is the owner's, or else the row's, so a row without one cannot bridge two terms.
     """
     pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-    group: list[_Group] = []
-    evidence: list[tuple[str, float]] = []
+    some = lambda x: x if isinstance(x, str) and x else None
+    sources, codes = pdf["source"].tolist(), [some(x) for x in pdf["code"]]
+    group = [{"rows": [i], "term": some(t)} for i, t in enumerate(pdf["fixed_term"])]
+    best: list[tuple[float, str]] = [(0.0, "")] * len(pdf)
     owner: dict[str, int] = {}
-    for i, row in enumerate(pdf.itertuples()):
-        has_code = isinstance(row.code, str) and row.code != ""
-        one = _Group([i], row.term if isinstance(row.term, str) and row.term else None, {row.source: {row.code}} if has_code else {}, set() if has_code else {row.source}, {row.source})
-        group.append(one)
-        evidence.append(("seed", 1.0))
-        for k in row.keys if row.keys is not None else ():
-            if k["key"] not in owner:
-                owner[k["key"]] = i
-                continue
-            other = group[owner[k["key"]]]
-            mine = group[i]
-            if other is mine:
+    for i, keys in enumerate(pdf["keys"]):
+        for k in keys:
+            j = owner.setdefault(k["key"], i)
+            if j == i:
                 continue
-            if k["confidence"] < 1.0 and _vetoed(other, mine, k["confidence"]):
+            sure, first, mine = k["confidence"], group[j], group[i]
+            alike = sources[i] == sources[j]
+            veto = alike and codes[i] and codes[j] and codes[i] != codes[j]
+            veto = veto or (first["term"] and mine["term"] and first["term"] != mine["term"])
+            veto = veto or (sure <= WEAK and alike and not codes[i] and not codes[j])
+            if veto and sure < 1:
                 continue
-            other.members += mine.members
-            other.term = other.term or mine.term
-            for s, codes in mine.codes.items():
-                other.codes[s] = other.codes.get(s, set()) | codes
-            other.bare |= mine.bare
-            other.sources |= mine.sources
-            for m in mine.members:
-                group[m] = other
-            if evidence[i][0] == "seed" or evidence[i][1] < k["confidence"]:
-                evidence[i] = (k["rule"], k["confidence"])
+            if first is not mine:
+                small, large = sorted((first, mine), key=lambda g: len(g["rows"]))
+                large["term"] = first["term"] or mine["term"]
+                large["rows"] += small["rows"]
+                for r in small["rows"]:
+                    group[r] = large
+            for r in (i, j):
+                if best[r][0] < sure:
+                    best[r] = (sure, k["rule"])
     ids = pdf["id"].tolist()
-    roots = [min(ids[m] for m in g.members) for g in group]
-    cluster = ["crs_" + hashlib.sha256(str(r).encode()).hexdigest()[:8] for r in roots]
-    return pd.DataFrame({"id": ids, "cluster": cluster, "root": [str(r) for r in roots], "rule": [e[0] for e in evidence], "confidence": [e[1] for e in evidence]})
+    least = {id(g): ids[min(g["rows"])] for g in group}
+    roots = [least[id(g)] for g in group]
+    cluster = ["crs_" + hashlib.sha256(r.encode()).hexdigest()[:8] for r in roots]
+    return pd.DataFrame({"id": ids, "cluster": cluster, "root": roots, "rule": [rule or "singleton" for _, rule in best], "confidence": [sure or 1.0 for sure, _ in best]})
 
 
 def cluster_greedy(obs: DataFrame) -> DataFrame:
-    """(id, cluster, root, rule, confidence).  Keys never cross schools, so schools run side by side."""
-    keyed = blocking_keys(obs)
+    """(id, cluster, root, rule, confidence) of observations with unique ids.
+
+    Rows that no chain of keys connects can never meet, so Spark first finds the
+    components of shared keys; the order-dependent merging runs inside each component,
+    side by side.  A component is as large as the listings of one school that share codes
+    or titles; rows without a key of their own kind are clusters by themselves.
+    """
+    keyed = cut(blocking_keys(obs).select(F.col("id").cast("string").alias("id"), "source", F.col("code").cast("string").alias("code"), "fixed_term", "keys"), "keyed")
+    shown = keyed.select("id", F.explode("keys.key").alias("key"))
+    first = shown.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    comp = components(shown.join(first, "key").where("id <> owner").select(F.col("owner").alias("a"), F.col("id").alias("b")))
+    tagged = keyed.join(comp.withColumnRenamed("node", "id"), "id", "left")
     schema = "id string, cluster string, root string, rule string, confidence double"
-    cols = [F.col("id").cast("string").alias("id"), "source", "code", "term", "keys"]
-    grouped = keyed.where(F.size("keys") > 0).select("school_key", *cols).groupBy("school_key").applyInPandas(lambda pdf: greedy_merge(pdf.drop(columns=["school_key"])), schema)
-    alone = keyed.where(F.size("keys") == 0).select(F.col("id").cast("string").alias("id"))
-    alone = alone.select("id", F.concat(F.lit("crs_"), hash8(F.col("id"))).alias("cluster"), F.col("id").alias("root"), F.lit("seed").alias("rule"), F.lit(1.0).alias("confidence"))
-    return grouped.unionByName(alone)
+    met = tagged.where("component is not null").groupBy("component").applyInPandas(lambda pdf: greedy_merge(pdf.drop(columns=["component"])), schema)
+    alone = tagged.where("component is null")
+    alone = alone.select("id", F.concat(F.lit("crs_"), hash8(F.col("id"))).alias("cluster"), F.col("id").alias("root"), F.lit("singleton").alias("rule"), F.lit(1.0).alias("confidence"))
+    return met.unionByName(alone)
 
 
 def relaxed_components(edges: DataFrame) -> DataFrame:
@@ -121,41 +125,68 @@ def relaxed_components(edges: DataFrame) -> DataFrame:
     return components(edges)
 
 
+def registry_index(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry by address and by name, one row a key: the first with coordinates, else the first.
+
+    A name counts with and without its county.
+    """
+    r = registry.select("venue_id", F.col("city").alias("r_city"), F.col("address_key").alias("r_address"), F.col("name_key").alias("r_name"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    order = F.struct(F.when(_located(F.col("r_lat")), 0).otherwise(1), F.col("venue_id"))
+    one = lambda rows, key: rows.where(F.coalesce(F.col(key) != "", F.lit(False))).groupBy(F.col(key).alias("r_key")).agg(F.min_by(F.struct(*r.columns), order).alias("r")).select("r_key", "r.*")
+    names = r.withColumn("as", F.explode(F.array_distinct(F.array("r_name", without_county(F.col("r_name"))))))
+    return one(r, "r_address"), one(names, "as")
+
+
+def _located(lat: Column) -> Column:
+    return F.coalesce(lat != 0, F.lit(False))
+
+
 def resolve_venues(courses: DataFrame, registry: DataFrame, geocodes: DataFrame) -> DataFrame:
     """Each course's venue: (cluster, venue_id, method, confidence, lat, lng).
 
-    ``courses`` has cluster, city, address_key, venue_key, provider_key;
-    ``registry`` venue_id, city, address_key, name_key, lat, lng; ``geocodes``
-    address_key, lat, lng.  Candidates are the registry row at the address, then
-    the one of the venue's name, then the provider's, the names within the county.
-    The first with coordinates wins, then the address, then (unless the address
-    is geocoded) the first.  Otherwise a venue is derived from address or name;
-    what has neither stays a dangling relation.
+    ``courses`` has cluster, city, address_key, venue_key, provider_key; ``registry``
+    venue_id, city, address_key, name_key, lat, lng; ``geocodes`` address_key, lat, lng.
+    A derived name's id comes from ``venue_name``, if the courses have that, as written.
+    Candidates are the registry row at the address, then the one of the venue's name,
+    then the provider's; a name is tried as it stands and then without its county, and
+    counts only within one county where both are known.  The first with coordinates
+    wins, then the address, then (unless the address is geocoded) the first.  A registry
+    row without coordinates takes those of its own address, never the course's.
+    Otherwise a venue is derived from address or name; what has neither stays open.
     """
-    r = registry.select("venue_id", F.col("city").alias("r_city"), F.col("address_key").alias("r_address"), F.col("name_key").alias("r_name"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
-    c = courses.join(geocodes.select("address_key", F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng")), "address_key", "left")
-    same = F.col("city").isNull() | F.col("r_city").isNull() | (F.col("city") == F.col("r_city"))
-    found = None
-    for prio, (on, method) in enumerate(((F.col("address_key") == F.col("r_address"), "registry-address"), ((F.col("venue_key") == F.col("r_name")) & same, "registry-name"), ((F.col("provider_key") == F.col("r_name")) & same, "registry-name"))):
-        hit = c.join(r, on).select("cluster", F.lit(prio).alias("prio"), F.lit(method).alias("hit"), "venue_id", "r_lat", "r_lng", F.col("g_lat").isNotNull().alias("geocoded"))
-        found = hit if found is None else found.unionByName(hit)
-    has = F.coalesce(F.col("r_lat") != 0, F.lit(False))
-    rank = F.when(has, 0).when(F.col("prio") == 0, 1).when(F.col("geocoded"), 9).otherwise(2)
-    nth = F.row_number().over(W.partitionBy("cluster").orderBy("rank", "prio", "venue_id"))
-    best = found.withColumn("rank", rank).where("rank < 9").withColumn("nth", nth).where("nth = 1").select("cluster", "hit", "venue_id", "r_lat", "r_lng")
-    m = c.join(best, "cluster", "left")
+    by_address, by_name = registry_index(registry)
+    geo = geocodes.select(F.col("address_key").alias("g_key"), F.col("lat").alias("g_lat"), F.col("lng").alias("g_lng")).dropDuplicates(["g_key"])
+    c = cut(courses.join(geo, F.col("address_key") == F.col("g_key"), "left").drop("g_key"), "courses")
+    county = county_of(F.col("city").cast("string"))
+    other = county_of(F.col("r_city").cast("string"))
+    same = county.isNull() | other.isNull() | (county == other)
+
+    def hits(rows: DataFrame, key: Column, index: DataFrame, prio: int, method: str) -> DataFrame:
+        return rows.where(key != "").join(index, key == F.col("r_key")).select("cluster", F.lit(prio).alias("prio"), F.lit(method).alias("hit"), "venue_id", "r_address", "r_lat", "r_lng", F.col("g_lat").isNotNull().alias("geocoded"), same.alias("same"))
+
+    found = hits(c, F.col("address_key"), by_address, 0, "registry-address").withColumn("same", F.lit(True))
+    for n, col in ((1, "venue_key"), (2, "provider_key")):
+        # the whole name before the one without its county
+        both = hits(c, F.col(col), by_name, 10 * n, "registry-name").unionByName(hits(c, without_county(F.col(col)), by_name, 10 * n + 1, "registry-name"))
+        first = both.groupBy("cluster").agg(F.min_by(F.struct(*both.columns), "prio").alias("x")).select("x.*")
+        found = found.unionByName(first)
+    rank = F.when(_located(F.col("r_lat")), 0).when(F.col("prio") == 0, 1).when(F.col("geocoded"), 9).otherwise(2)
+    best = found.where("same").withColumn("rank", rank).where("rank < 9")
+    best = best.groupBy("cluster").agg(F.min_by(F.struct("hit", "venue_id", "r_address", "r_lat", "r_lng"), F.struct("rank", "prio")).alias("x")).select("cluster", "x.*")
+    own = geo.select(F.col("g_key").alias("r_address"), F.col("g_lat").alias("o_lat"), F.col("g_lng").alias("o_lng"))
+    m = c.join(best.join(own, "r_address", "left"), "cluster", "left")
     some = lambda n: F.coalesce(F.col(n) != "", F.lit(False))
     reg, addr, name = F.col("venue_id").isNotNull(), some("address_key"), some("venue_key")
     made = lambda s: F.concat(F.lit("ven_"), hash8(s))
-    with_lat = F.coalesce(F.col("r_lat") != 0, F.lit(False))
-    lat = F.when(reg & with_lat, F.col("r_lat")).otherwise(F.col("g_lat"))
+    listed = _located(F.col("r_lat"))
+    lat = F.when(listed, F.col("r_lat")).otherwise(F.col("o_lat"))
     return m.select(
         "cluster",
-        F.when(reg, F.col("venue_id")).when(addr, made(F.col("address_key"))).when(name, made(F.concat(F.lit("name:"), "venue_key"))).alias("venue_id"),
+        F.when(reg, F.col("venue_id")).when(addr, made(F.col("address_key"))).when(name, made(F.concat(F.lit("name:"), "venue_name" if "venue_name" in courses.columns else "venue_key"))).alias("venue_id"),
         F.when(reg, F.col("hit")).when(addr & F.col("g_lat").isNotNull(), "geocoded-address").when(addr, "derived-address").when(name, "derived-name").otherwise("none").alias("method"),
         F.when(reg, F.when(lat.isNotNull(), 0.95).otherwise(0.8)).when(addr, F.when(F.col("g_lat").isNotNull(), 0.95).otherwise(0.6)).when(name, 0.4).otherwise(0.0).alias("confidence"),
-        F.when(reg | addr, lat).alias("lat"),
-        F.when(reg | addr, F.when(reg & with_lat, F.col("r_lng")).otherwise(F.col("g_lng"))).alias("lng"),
+        F.when(reg, lat).when(addr, F.col("g_lat")).alias("lat"),
+        F.when(reg, F.when(listed, F.col("r_lng")).otherwise(F.col("o_lng"))).when(addr, F.col("g_lng")).alias("lng"),
     )
 
 

@@ -46,8 +46,12 @@ def same_county(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (a == b)
 
 
+#: What stands in a venue's place without naming one.
+NO_VENUE = ("其他", "戶外", "線上", "遠距", "視訊", "校外", "待定", "未定", "不定", "另行通知", "依公告")
+
+
 def is_placeholder(name: Column) -> Column:
-    return F.coalesce(name, F.lit("")).rlike("^$|^(其他|線上|待定|未定|詳)")
+    return F.coalesce(name, F.lit("")).rlike(r"(?U)^$|^\s*(" + "|".join(NO_VENUE) + ")")
 
 
 def is_bare_address(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions import text as X
 from ..operators import joins as J
 from ..operators import resolve as R
 from ..operators import windows as Wn
@@ -37,25 +38,28 @@ def components_relaxed(spark, d):
     return R.relaxed_components(edges)
 
 
+def order_listings(spark, d):
+    """Orders as listings: customers are schools, priorities titles, statuses teachers."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    return read(spark, d, "orders").select(
+        F.lpad(k.cast("string"), 12, "0").alias("id"),
+        F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"),
+        F.concat(F.lit("臺北市"), F.col("o_custkey").cast("string"), F.when(k % 2 == 0, "社區大學").otherwise("社大")).alias("school"),
+        F.concat(F.lit("【新】"), "o_orderpriority").alias("title"),
+        F.when(k % 5 < 2, F.concat(F.lit("k"), F.quarter(day).cast("string"))).alias("code"),
+        F.year(day).alias("term_year"),
+        F.when(k % 4 != 0, F.lit("年")).alias("term_season"),
+        F.when(k % 8 == 0, F.concat(F.year(day).cast("string"), F.lit(" 年"))).alias("term_raw"),
+        F.col("o_orderstatus").alias("teacher"),
+        F.when(k % 7 < 5, F.weekday(day) + 1).alias("weekday"),
+        F.when(k % 7 < 3, F.lit("09:00")).alias("start"),
+    )
+
+
 @query()
 def cluster_greedy(spark, d):
-    """Greedy clusters with vetoes: documents as observations, sharded by source."""
-    t = F.coalesce("text", F.lit(""))
-    word = lambda k: F.get(F.split(F.lower(F.substring(t, 1, 200)), " "), F.lit(k))
-    obs = read(spark, d, "documents").select(
-        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"),
-        F.col("lang").alias("source"),
-        F.concat_ws(":", "source", F.pmod(F.xxhash64("text"), F.lit(64)).cast("string")).alias("school"),
-        F.substring(F.sha2(t, 256), 1, 24).alias("title"),
-        F.when(F.col("doc_id") % 3 == 0, F.substring(F.sha2(t, 256), 1, 12)).alias("code"),
-        F.lit(2026).alias("term_year"),
-        F.when(F.col("doc_id") % 4 == 0, "spring").when(F.col("doc_id") % 4 == 1, "autumn").alias("term_season"),
-        F.lit(None).cast("string").alias("term_raw"),
-        word(0).alias("teacher"),
-        F.when(F.col("doc_id") % 2 == 0, F.pmod(F.xxhash64(t), F.lit(7)).cast("int") + 1).alias("weekday"),
-        F.when(F.col("doc_id") % 2 == 0, "09:00").alias("start"),
-    )
-    return R.cluster_greedy(obs)
+    """Greedy clusters with vetoes of all orders, as listings of their customers."""
+    return R.cluster_greedy(order_listings(spark, d))
 
 
 @query("""
@@ -117,11 +121,11 @@ def longest_contains(spark, d):
 
 
 @query("""
-WITH u AS (SELECT p_name, min(p_brand) AS b, max(p_brand) AS b2 FROM part GROUP BY 1) SELECT p_name, b AS p_brand FROM u WHERE b = b2
+WITH l AS (SELECT l_orderkey, l_returnflag AS f FROM lineitem), u AS (SELECT l_orderkey, min(f) AS b, max(f) AS b2 FROM l GROUP BY 1) SELECT l_orderkey, b AS l_returnflag FROM u WHERE b = b2
 """)
 def unique_lookup(spark, d):
-    """Names that lead to one brand only."""
-    return J.unique_lookup(read(spark, d, "part"), "p_name", "p_brand")
+    """Orders whose lines all lead to one return flag."""
+    return J.unique_lookup(read(spark, d, "lineitem").select("l_orderkey", "l_returnflag"), "l_orderkey", "l_returnflag")
 
 
 @query("""
@@ -172,23 +176,35 @@ def tm2_inverse(spark, d):
     return p.select(k, F.round(got["lat"], 6).alias("lat"), F.round(got["lng"], 6).alias("lng"))
 
 
-@query("""
-WITH r AS (SELECT s_suppkey AS id, 'a' || (s_suppkey % 40) AS ak, 'n' || (s_suppkey % 90) AS nk, s_nationkey AS city, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS lat FROM supplier),
-c AS (SELECT c_custkey, 'a' || (c_custkey % 70) AS ak, 'n' || (c_custkey % 130) AS nk, c_nationkey AS city FROM customer),
-h AS (SELECT c_custkey, 0 AS prio, 'registry-address' AS m, r.id, lat FROM c JOIN r ON c.ak = r.ak UNION ALL SELECT c_custkey, 1, 'registry-name', r.id, lat FROM c JOIN r ON c.nk = r.nk AND c.city = r.city),
-b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY CASE WHEN lat IS NOT NULL AND lat <> 0 THEN 0 WHEN prio = 0 THEN 1 ELSE 2 END, prio, 'ven' || lpad(id::VARCHAR, 9, '0')) AS k FROM h)
-SELECT c.c_custkey AS cluster, CASE WHEN b.id IS NOT NULL THEN 'ven' || lpad(b.id::VARCHAR, 9, '0') ELSE 'ven_' || left(sha256(c.ak), 8) END AS venue_id, coalesce(b.m, 'derived-address') AS method,
-  CASE WHEN b.id IS NULL THEN 0.6 WHEN b.lat IS NOT NULL AND b.lat <> 0 THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence
-FROM c LEFT JOIN b ON c.c_custkey = b.c_custkey AND b.k = 1
+_COUNTY = "list_extract([" + ", ".join(f"'{c}'" for c in X.COUNTIES) + "], CAST({0} % 22 AS INTEGER) + 1)"
+_BARE = "regexp_replace(nk, '^(" + "|".join(X.COUNTIES) + ")', '')"
+
+
+@query(f"""
+WITH r AS (SELECT 'ven' || lpad(s_suppkey::VARCHAR, 9, '0') AS id, 'a' || (s_suppkey % 40) AS ak, {_COUNTY.format("s_nationkey")} AS city, (CASE WHEN s_suppkey % 2 = 0 THEN {_COUNTY.format("s_nationkey")} ELSE '' END) || 'n' || (s_suppkey % 90) AS nk, CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS lat FROM supplier),
+c AS (SELECT c_custkey, 'a' || (c_custkey % 70) AS ak, {_COUNTY.format("c_nationkey")} AS city, (CASE WHEN c_custkey % 3 = 0 THEN {_COUNTY.format("c_nationkey")} ELSE '' END) || 'n' || (c_custkey % 130) AS nk FROM customer),
+g AS (SELECT 'a' || (n_nationkey * 3) AS ak, 23.0 + n_nationkey / 100.0 AS lat FROM nation),
+ra AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ak ORDER BY CASE WHEN lat <> 0 THEN 0 ELSE 1 END, id) AS k FROM r) WHERE k = 1),
+rn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY CASE WHEN lat <> 0 THEN 0 ELSE 1 END, id) AS k FROM (SELECT *, unnest(list_distinct([nk, {_BARE}])) AS key FROM r)) WHERE k = 1),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY prio) AS k FROM (
+  SELECT c_custkey, c.city AS c_city, 1 AS prio, rn.* EXCLUDE (k) FROM c JOIN rn ON c.nk = rn.key UNION ALL SELECT c_custkey, c.city, 2, rn.* EXCLUDE (k) FROM c JOIN rn ON regexp_replace(c.nk, '^({"|".join(X.COUNTIES)})', '') = rn.key)) WHERE k = 1 AND c_city = city),
+h AS (SELECT c_custkey, 0 AS prio, 'registry-address' AS m, ra.id, ra.ak, ra.lat FROM c JOIN ra ON c.ak = ra.ak UNION ALL SELECT c_custkey, 1, 'registry-name', id, ak, lat FROM n),
+b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY rank, prio) AS k FROM (SELECT h.*, CASE WHEN h.lat <> 0 THEN 0 WHEN prio = 0 THEN 1 WHEN g.ak IS NOT NULL THEN 9 ELSE 2 END AS rank FROM h JOIN c USING (c_custkey) LEFT JOIN g ON g.ak = c.ak) WHERE rank < 9)
+SELECT c.c_custkey AS cluster, coalesce(b.id, 'ven_' || left(sha256(c.ak), 8)) AS venue_id, coalesce(b.m, CASE WHEN g.ak IS NOT NULL THEN 'geocoded-address' ELSE 'derived-address' END) AS method,
+  (CASE WHEN b.id IS NOT NULL THEN CASE WHEN b.lat <> 0 OR o.ak IS NOT NULL THEN 0.95 ELSE 0.8 END WHEN g.ak IS NOT NULL THEN 0.95 ELSE 0.6 END)::DOUBLE AS confidence,
+  round(CASE WHEN b.id IS NOT NULL THEN CASE WHEN b.lat <> 0 THEN b.lat ELSE o.lat END ELSE g.lat END::DOUBLE, 6) AS lat
+FROM c LEFT JOIN b ON c.c_custkey = b.c_custkey AND b.k = 1 LEFT JOIN g ON g.ak = c.ak LEFT JOIN g o ON o.ak = b.ak
 """)
 def venue_resolution(spark, d):
-    """Courses to venues by address, then name within the county, then derived."""
-    s, c = read(spark, d, "supplier"), read(spark, d, "customer")
-    key = lambda p, col, n: F.concat(F.lit(p), (F.col(col) % n).cast("string"))
-    reg = s.select(F.concat(F.lit("ven"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("venue_id"), F.col("s_nationkey").alias("city"), key("a", "s_suppkey", 40).alias("address_key"), key("n", "s_suppkey", 90).alias("name_key"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("lat"), F.lit(120.0).alias("lng"))
-    courses = c.select(F.col("c_custkey").alias("cluster"), F.col("c_nationkey").alias("city"), key("a", "c_custkey", 70).alias("address_key"), key("n", "c_custkey", 130).alias("venue_key"), F.lit(None).cast("string").alias("provider_key"))
-    none = reg.where("false").select("address_key", "lat", "lng")
-    return R.resolve_venues(courses, reg, none).select("cluster", "venue_id", "method", "confidence")
+    """Courses to venues by address, then name within the county, then geocoded or derived."""
+    s, c, n = read(spark, d, "supplier"), read(spark, d, "customer"), read(spark, d, "nation")
+    key = lambda p, col, m: F.concat(F.lit(p), (F.col(col) % m).cast("string"))
+    county = lambda col: F.get(F.array(*[F.lit(x) for x in X.COUNTIES]), F.col(col) % 22)
+    named = lambda nation, col, every, m: F.concat(F.when(F.col(col) % every == 0, county(nation)).otherwise(F.lit("")), key("n", col, m))
+    reg = s.select(F.concat(F.lit("ven"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("venue_id"), county("s_nationkey").alias("city"), key("a", "s_suppkey", 40).alias("address_key"), named("s_nationkey", "s_suppkey", 2, 90).alias("name_key"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("lat"), F.lit(120.0).alias("lng"))
+    courses = c.select(F.col("c_custkey").alias("cluster"), county("c_nationkey").alias("city"), key("a", "c_custkey", 70).alias("address_key"), named("c_nationkey", "c_custkey", 3, 130).alias("venue_key"), F.lit("").alias("provider_key"))
+    geocodes = n.select(F.concat(F.lit("a"), (F.col("n_nationkey") * 3).cast("string")).alias("address_key"), (F.lit(23.0) + F.col("n_nationkey") / 100.0).alias("lat"), F.lit(121.0).alias("lng"))
+    return R.resolve_venues(courses, reg, geocodes).select("cluster", "venue_id", "method", "confidence", F.round("lat", 6).alias("lat"))
 
 
 @query("""

@@ -33,6 +33,14 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert set(packed.doc_id) == after
 
 
+def test_rows_with_one_id_are_judged_by_their_texts(spark):
+    base = " ".join(f"u{k}" for k in range(60))
+    rows = [(1, base), (2, base + " more"), (2, "another text of its own that nobody else has"), (3, None), (3, None), (None, base), (5, "x " * 300_000)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, "mine") for i, t in rows], DOCS)
+    got = sorted((r.doc_id or -1, len(r.text or "")) for r in cp.near_duplicates(spark, df, "").collect())
+    assert got == sorted([(1, len(base)), (2, len(rows[2][1])), (3, 0), (-1, len(base)), (5, 600_000)])
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -82,7 +82,7 @@ def test_small_and_empty_tables(spark, tmp_path):
 
 
 def test_a_longer_vector_takes_nothing_from_the_rest(spark, tmp_path):
-    rows = [(k, [1.0 * k, 2.0], 0) for k in range(5)] + [(50, [1.0, 2.0, 3.0], 0)]
+    rows = [(k, [1.0 + k, 2.0], 0) for k in range(5)] + [(50, [1.0, 2.0, 3.0], 0)]
     write(spark, tmp_path, rows)
     assert [r.vec_id for r in topk_join.op7_exact_topk(spark, str(tmp_path)).orderBy("rank").collect()] == [4, 3, 2, 1]
     assert [r.vec_id for r in ann.op5_ann_forest(spark, str(tmp_path)).orderBy("rank").collect()] == [4, 3, 2, 1]

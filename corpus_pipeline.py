@@ -14,7 +14,10 @@ columns of ``documents``.
 5. ``pack``: pieces of the documents in bins.
 
 Edge cases: null texts pass the first three stages as they are (nothing speaks
-against them) and are packed without a bin.  Rows with a null id form no group.
+against them) and are packed without a bin.  Rows with a null id form no group.  Rows
+with equal ids and different texts are judged each by its own text; of repeated rows one
+stays.  Texts of any length are taken whole.  Other columns than those of ``documents``
+stay as they are; names that start with ``__`` are taken.  Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -27,27 +30,31 @@ from weftline.llm.line_dedup import dedup_lines
 from weftline.llm.mixing import domain_of, mix_sources, n_words
 from weftline.llm.packing import measured, pack_documents
 from weftline.llm.quality import resample
-from weftline.llm.scratch import cut, table
+from weftline.llm.scratch import cut, short_batches, table
 
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     drawn = resample(docs, table(spark, sf_dir, "labels"), names=("__weight", "__key", "__drawn"))
     return drawn.where("__drawn").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     left = dedup_lines(docs, lines_col="__lines", removed_col="__removed")
     emptied = (F.col("__removed") > 0) & (n_words(F.col("text")) == 0)
     return left.where(~emptied).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs, n=5, percent=80)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    short_batches(spark)
+    rows = docs.where("doc_id is not null").withColumn("__row", F.xxhash64(*docs.columns))
+    found = jaccard_components(rows, n=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    first = found.join(rows.select("__row", "doc_id").distinct(), "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    kept = rows.join(first.select("first.__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

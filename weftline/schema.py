@@ -23,7 +23,7 @@ COURSE = (
 
 VENUE = (
     "_source string, _sourceRecordId string, _fetchedAt string, name string, kindRaw string, city string, district string, address string, "
-    "lat double, lng double, phone string, website string, facilities array<string>, usedByRaw array<string>, latestYear string"
+    "lat double, lng double, phone string, website string, facilities array<string>, usedByRaw array<string>, latestYear string, description string"
 )
 
 OBSERVATION = "id string, sourceRecordId string, entityKind string, contentHash string, firstObservedAt string, lastVerifiedAt string, lastChangedAt string, disappearedAt string, sourceUpdatedAt string"

@@ -121,8 +121,8 @@ def _window(opens: Column, closes: Column, today: str) -> Column:
     return F.when(closes < today, "closed").when(opens > today, "upcoming").when(opens.isNotNull() & closes.isNotNull(), "open").otherwise("unknown")
 
 
-def college_courses(raw: DataFrame, schools: DataFrame, fetched_at: str) -> DataFrame:
-    """The national college listing with its school dimension (school_id, region_name)."""
+def college_values() -> dict[str, Column]:
+    """What listing and detail records of the national colleges share."""
     clock = lambda c: F.when(text(c) != "00:00:00", F.substring(text(c), 1, 5))
     day = lambda c: F.when(number(c) == 0, 7).otherwise(number(c))
     date = lambda c: F.when(text(c) != "0000-00-00", text(c))
@@ -131,24 +131,30 @@ def college_courses(raw: DataFrame, schools: DataFrame, fetched_at: str) -> Data
     slots = F.array(F.when(one["startTime"].isNotNull() | one["weekday"].isNotNull(), one), F.when(cat.endswith("2") & two["startTime"].isNotNull(), two))
     topics = F.transform(F.split(F.coalesce(text("course_tag_id_arr"), F.lit("")), ";"), lambda x: code_map(x.try_cast("int"), COLLEGE_TOPICS))
     numbered = address.rlike(HOUSE_NUMBER)
-    df = raw.where(text("course_id").isNotNull()).join(F.broadcast(schools.select(F.col("school_id").cast("string").alias("school_id"), "region_name")), "school_id", "left")
     year = F.when(F.length(quarter) == 4, F.substring(quarter, 1, 3).try_cast("int"))
-    return course(df, "moe-cc-courses", text("course_id"), fetched_at, {
+    return {
         "title": text("course_name"), "provider.nameRaw": text("school_name"), "provider.kind": F.lit("community-college"),
         "schedule.recurrence": F.coalesce(code_map(cat, COLLEGE_RECURRENCE), F.lit("irregular")), "schedule.slots": F.array_compact(slots),
         "schedule.startDate": date("date_begin"), "schedule.endDate": date("date_end"), "schedule.timeInfoRaw": text("time_info"),
         "enrollment.status": F.lit("unknown"), "enrollment.statusRaw": F.when(text("teach_status") == "1", "正常開課").otherwise(text("teach_status")),
-        "location.venueNameRaw": address, "location.address": F.when(numbered, address), "location.city": F.col("region_name"),
+        "location.venueNameRaw": address, "location.address": F.when(numbered, address),
         "location.addressPrecision": F.when(address.isNull(), "none").when(numbered, "street").otherwise("venue-name-only"),
         "term.raw": F.when(year > 0, quarter), "term.year": F.when(year > 0, year), "term.season": F.when(year > 0, code_map(F.substring(quarter, 4, 1), COLLEGE_SEASONS)),
         "teachers": teacher(text("teacher_name")), "price": price, "isFree": price == 0, "credit": F.when(number("credit") > 0, number("credit")),
         "sourceUrl": F.when(text("course_url").startswith("http"), text("course_url")), "topicsRaw": F.when(F.size(F.array_compact(topics)) > 0, F.array_compact(topics)),
-    })
+    }
+
+
+def college_courses(raw: DataFrame, schools: DataFrame, fetched_at: str) -> DataFrame:
+    """The national college listing with its school dimension (school_id, region_name)."""
+    regions = schools.select(F.col("school_id").cast("string").alias("school_id"), "region_name")
+    df = raw.where(text("course_id").isNotNull()).withColumn("school_id", text("school_id")).join(regions, "school_id", "left")
+    return course(df, "moe-cc-courses", text("course_id"), fetched_at, college_values() | {"location.city": F.col("region_name")})
 
 
 def seat_bookings(raw: DataFrame, sites: DataFrame, fetched_at: str) -> DataFrame:
     """The booking system with free seats; sites (_site, venueName, city, district, host) are a dimension."""
-    df = raw.where(text("courseCode").isNotNull() & text("_site").isNotNull()).join(F.broadcast(sites), "_site", "left")
+    df = raw.where(text("courseCode").isNotNull() & text("_site").isNotNull()).join(sites, "_site", "left")
     name = F.coalesce(F.col("venueName"), F.col("_site"))
     weekday = code_map(text("weekday"), WEEKDAYS)
     free = number("available")

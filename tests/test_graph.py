@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from weftline.operators import skew
-from weftline.operators.graph import components
+from weftline.operators.graph import components, merged
 
 
 def test_components_of_chains_and_stars(spark):
@@ -39,6 +39,14 @@ def test_hot_nodes_are_spread(spark, monkeypatch):
     assert got == {n: find(n) for n in up}
 
 
+def test_merging_further_links(spark):
+    kind = "a long, b long"
+    comp = components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], kind))
+    got = {r.node: r.component for r in merged(comp, spark.createDataFrame([(3, 11), (30, 31), (31, 20), (1, 3)], kind)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20}
+    assert {r.node: r.component for r in merged(comp, spark.createDataFrame([], kind)).collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
+
+
 def test_spread_join_equals_a_join(spark, monkeypatch):
     monkeypatch.setattr(skew, "PER_SALT", 3)
     big = spark.createDataFrame([(k, k % 7 if k > 30 else 1) for k in range(60)] + [(99, None)], "v long, key long")

@@ -9,14 +9,18 @@ from .lineage import cut, drop
 from .skew import hot_keys, spread_join
 
 
+BY_NAME = 2  # rounds in which the smallest node comes first
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", report: list | None = None) -> DataFrame:
     """(node, component) of every node of ``edges``; component is its smallest node.
 
-    In each round every node hangs under the one of itself and its neighbours that a
-    hash, another one each round, puts first; edges are contracted along those
-    parents.  Whatever the graph looks like, a constant share of the nodes that still
-    have edges goes in each round, so the number of rounds grows with the logarithm of
-    the table.  Parents are then followed from the last round back to the first, and
+    In each round every node hangs under the first of itself and its neighbours; edges
+    are contracted along those parents.  In two rounds the smallest comes first, which
+    settles stars around small nodes at once.  From then on a hash, another one each
+    round, decides: whatever the graph looks like, a constant share of the nodes that
+    still have edges goes in each round, so the number of rounds grows with the logarithm
+    of the table.  Parents are then followed from the last round back to the first, and
     each tree takes its smallest node as its name.  Joins spread nodes with very many
     neighbours, so no step gathers a component in one task.  Null ends and self-loops
     join nothing.  ``report`` is given the number of edges of each round.
@@ -29,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", report: list | None
         if report is not None:
             report.append(n)
         ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
-        first = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("p"), c.alias("at"))  # noqa: B023, E731
+        first = lambda c: F.struct((F.xxhash64(F.lit(len(rounds)), c) if len(rounds) >= BY_NAME else F.lit(0)).alias("p"), c.alias("at"))  # noqa: B023, E731
         near = e.select(F.explode(ends).alias("x")).select("x.node", "x.other").groupBy("node").agg(F.min(first(F.col("other"))).alias("best"), F.count(F.lit(1)).alias("n"))
         up = cut(near.select("node", F.least(F.col("best"), first(F.col("node")))["at"].alias("up"), "n"), "parents")
         hot = hot_keys(up, "node") if n > 4096 else None
@@ -62,3 +66,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", report: list | None
     out = cut(spread_join(root, least.drop("n"), "up", hot, ["node"]).select("node", "component"), "components")
     drop(root, least)
     return out
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of what ``comp`` joins already and ``links`` (a, b) join further.
+
+    Only the links between components are worked through again.
+    """
+    name = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    new = joined.join(comp.select("node"), "node", "left_anti")
+    names = joined.select(F.col("node").alias("component"), F.col("component").alias("name"))
+    sizes = comp.join(names, "component").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    known = spread_join(comp, names, "component", hot_keys(sizes, "component"), ["node"], "left").select("node", F.coalesce("name", "component").alias("component"))
+    return cut(known.unionByName(new), "components")

@@ -7,7 +7,6 @@ import pytest
 
 from weftline.llm import jaccard_join as j
 from weftline.llm import lists
-from weftline.llm.graph import components
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -87,10 +86,42 @@ def test_empty_and_repeated_rows(spark):
     assert sorted(map(tuple, got)) == [(2, 2, 2), (5, 2, 2), (5, 2, 2)]
 
 
-def test_components_of_chains_and_stars(spark):
-    edges = [(k, k + 1) for k in range(40)] + [(100, 200 + k) for k in range(30)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(41)} | {k: 100 for k in [100, *range(200, 230)]}
+def test_heavy_shingles_meet_leaders_undivided_and_are_then_dealt(spark, monkeypatch):
+    """Every list counts as too long: leaders first, cells for what they leave."""
+    monkeypatch.setattr(j, "LIST_BLOCK", 4)
+    monkeypatch.setattr(lists, "SHORT_LIST", 3)
+    rows = corpus(7, groups=8, size=14)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, j.jaccard_components(df, 3, 90).collect())) == brute(rows, 3, 90)
+
+
+def test_null_ids_and_long_texts(spark):
+    text = " ".join(f"w{k % 5000}x{k}" for k in range(200_000))
+    rows = [(1, text), (2, text + " end"), (None, text), (None, "only here and nowhere else"), (None, None)]
+    got = j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == sorted([(1, 199_998, 1), (2, 199_999, 1), (-1, 199_998, 1), (-1, 3, -1), (-1, 0, -1)])
+
+
+def test_skipping_keeps_what_a_scan_finds():
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, 90, dtype=np.uint64) for _ in range(3)]
+    sets = []
+    for _ in range(120):
+        own = np.unique(np.concatenate([rng.choice(base[rng.integers(3)], rng.integers(60, 90), replace=False), rng.integers(0, 2**63, rng.integers(0, 4), dtype=np.uint64)]))
+        sets.append(own)
+    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), k % 7))
+    marks = np.zeros((len(sets), lists.WORDS * 64), bool)
+    for r, k in enumerate(order):
+        marks[r, (sets[k] & np.uint64(lists.WORDS * 64 - 1)).astype(np.int64)] = True
+    at = np.array([(len(sets[k]) << 32) + (k % 7) * 4 + 2 for k in order], np.int64)
+    cols = {"sid": np.arange(120), "comp": np.arange(120) % 50, "at": at, "marks": [m.tobytes() for m in np.packbits(marks, axis=1)]}
+    rows = lists._List(cols, 0, 120, 80)
+    for h in range(120):
+        j_ = np.arange(h + 1, 120)
+        j_ = j_[(cols["comp"][j_] != cols["comp"][h]) & lists._fits(rows.size[h], rows.pos[h], rows.size[j_], rows.pos[j_], 80)]
+        total = rows.size[h] + rows.size[j_]
+        want = j_[rows.distance(h, j_) <= total - 2 * lists.needed_overlap(total, 80)]
+        assert sorted(rows.likely(h, h + 1)) == sorted(want)
 
 
 def test_bounds():

@@ -48,10 +48,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.graph import components
+from ..operators.graph import components, merged
 from ..operators.skew import hot_keys, spread_join
 from . import hashing
-from .lists import met, whole_lists
+from .lists import dealt, met, whole_lists
 from .scratch import cut, drop, table
 from .sketch import IdFilter, id_filter
 
@@ -387,25 +387,6 @@ def _in_order(rows: DataFrame) -> DataFrame:
     return rows.repartition("list").sortWithinPartitions("list", "sid")
 
 
-def _dealt(dense: DataFrame, comp: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """(list, side, sid, comp, sketch): very long lists as cells of two blocks.
-
-    The leader's component fills blocks of its own, which never meet each other; so a
-    list that the leader has settled but for a few rows is copied only for those few.
-    """
-    rows = dense.join(comp.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    lead = rows.groupBy("key").agg(F.min_by("comp", "sid").alias("lead"))
-    rows = spread_join(rows, lead, "key", hot, ["sid"]).withColumn("main", F.col("comp") == F.col("lead"))
-    count = lambda c: F.ceil(F.count(F.when(c, 1)) / LIST_BLOCK).cast("int")
-    blocks = rows.groupBy("key").agg(count(F.col("main")).alias("p"), count(~F.col("main")).alias("q")).where("q > 0")
-    rows = spread_join(rows, blocks, "key", hot, ["sid"])
-    hashed = F.xxhash64("sid")
-    rows = rows.withColumn("mine", F.when(F.col("main"), F.pmod(hashed, F.col("p"))).otherwise(F.col("p") + F.pmod(hashed, F.col("q"))).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.when(F.col("main"), F.col("p")).otherwise(0), F.col("p") + F.col("q") - 1)))
-    side = F.when(F.col("mine") == F.col("with"), 2).when(F.col("mine") < F.col("with"), 0).otherwise(1)
-    return rows.select(F.xxhash64("key", F.least("mine", "with"), F.greatest("mine", "with")).alias("list"), side.alias("side"), "sid", "comp", *_MARKS)
-
-
 def line_components(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(node, component) of the distinct lines that link with another one."""
     signed = lines.where("sig is not null").select("h", "sig")
@@ -441,7 +422,7 @@ def line_components(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text
     long = lists.where("other is null").select("list", F.lit(2).alias("side"), "sid", *_MARKS)
     labelled = long.join(comp.select(F.col("node").alias("sid"), F.col("component").alias("comp")), "sid", "left").select("list", "side", "sid", F.coalesce("comp", "sid").alias("comp"), *_MARKS)
     if dense is not None:
-        labelled = labelled.unionByName(_dealt(dense, comp, hot))
+        labelled = labelled.unionByName(dealt(dense, comp, hot, LIST_BLOCK, _MARKS))
     left = cut(_in_order(labelled).mapInArrow(_open, "list long, side int, sid long, comp long, " + ", ".join(f"{m} long" for m in _MARKS)), "open")
     if left.isEmpty():
         return comp
@@ -449,7 +430,7 @@ def line_components(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text
         texts = texts_of(left.select(F.col("sid").alias("h")))
     rows = left.join(texts.withColumnRenamed("h", "sid"), "sid").select("list", "side", "sid", "comp", *_MARKS, "x")
     more = cut(_in_order(rows).mapInArrow(_solved, "a long, b long"), "links")
-    return components(links.unionByName(more))
+    return comp if more.isEmpty() else merged(comp, more)
 
 
 def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def _nth(df: DataFrame, keys: list[str], order: list[Column], name: str = "__nth") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
@@ -37,20 +39,23 @@ def collision_flag(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.withColumn(name, F.count(F.lit(1)).over(W.partitionBy(*keys)) > 1)
 
 
-def chunk_ids(df: DataFrame, order: list[Column], size: int, name: str, buckets: Column | None = None) -> DataFrame:
-    """Chunk number of each row in a total order, ``size`` rows to a chunk.
+def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Each row's place in a total order, from 1.
 
-    With ``buckets`` (a coarse key that follows the same order) rows are numbered
-    within buckets and bucket totals are added up, so no task sees all rows.
+    Rows are sorted in ranges that samples set; counts are added up over ranges, of which
+    there are as many as partitions, so no task sees all rows.
     """
-    if buckets is None:
-        return df.withColumn(name, F.ceil(F.row_number().over(W.orderBy(*order)) / size).cast("long"))
-    rows = df.withColumn("__b", buckets)
-    sums = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    rows = _nth(rows, ["__b"], order).join(F.broadcast(sums), "__b")
-    return rows.withColumn(name, F.ceil((F.col("__nth") + F.col("__before")) / size).cast("long")).drop("__b", "__nth", "__before")
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn("__range", F.shiftrightunsigned("__at", 33))
+    sums = rows.groupBy("__range").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    shift = sums.select("__range", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return rows.join(F.broadcast(shift), "__range").withColumn(name, F.col("__at") + F.col("__shift")).drop("__at", "__range", "__shift")
+
+
+def chunk_ids(df: DataFrame, order: list[Column], size: int, name: str) -> DataFrame:
+    """Chunk number of each row in a total order, ``size`` rows to a chunk."""
+    return row_numbers(df, order, "__nth").withColumn(name, F.ceil(F.col("__nth") / size).cast("long")).drop("__nth")
 
 
 def fill_down(df: DataFrame, keys: list[str], order: list[Column], col: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ def _orders_by_place(spark, d):
     o, c = read(spark, d, "orders"), read(spark, d, "customer")
     n, r = read(spark, d, "nation"), read(spark, d, "region")
     places = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    return o.join(c, o.o_custkey == c.c_custkey).join(places, F.col("c_nationkey") == F.col("n_nationkey"))
 
 
 @query("""
@@ -149,7 +149,7 @@ SELECT chunk, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS la
 def chunk_index(spark, d):
     """Files of 2,000 rows in key order, with their last date; numbered without one big sort."""
     o = read(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    c = Wn.chunk_ids(o, [F.col("o_orderkey")], 2000, "chunk", F.floor(F.col("o_orderkey") / 4096))
+    c = Wn.chunk_ids(o, [F.col("o_orderkey")], 2000, "chunk")
     return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.max("day").alias("lastmod"))
 
 
@@ -326,5 +326,5 @@ def sitemap_files(spark, d):
     from ..functions.text import encode_uri_component
 
     c = read(spark, d, "customer").select(F.concat(F.lit("https://x/c/"), encode_uri_component(F.col("c_name"))).alias("loc"), F.lit(None).cast("string").alias("lastmod"))
-    rows = Wn.chunk_ids(c, [F.col("loc")], 500, "file", F.substring("loc", 1, 26))
+    rows = Wn.chunk_ids(c, [F.col("loc")], 500, "file")
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("loc").alias("first_loc"), F.max("loc").alias("last_loc"))

@@ -24,9 +24,9 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path)
 
 
-def sitemap(urls: DataFrame, size: int = 20_000, buckets: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def sitemap(urls: DataFrame, size: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(entries, index): url elements in binary order of ``loc`` by file, and each file's last change."""
-    rows = chunk_ids(urls, [F.col("loc")], size, "file", buckets)
+    rows = chunk_ids(urls, [F.col("loc")], size, "file")
     entry = F.concat(F.lit("<url><loc>"), xml_escape(F.col("loc")), F.lit("</loc>"), F.when(F.col("lastmod").isNotNull(), F.concat(F.lit("<lastmod>"), F.col("lastmod"), F.lit("</lastmod>"))).otherwise(""), F.lit("</url>"))
     entries = rows.select("file", "loc", entry.alias("value"))
     return entries, rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.max("lastmod").alias("lastmod"))

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from ..operators.observe import DAY, HOUR, snapshot_merge
 
 
-def merge_stream(stream: DataFrame, load: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], key: str = "id"):
+def merge_stream(stream: DataFrame, load: Callable[[int], DataFrame], save: Callable[[DataFrame, int], None], key: str = "id"):
     """A writer that merges every micro-batch of listings into the stored history.
 
-    ``load`` reads the history and ``save`` stores the merged one under the batch
-    number, so a batch that runs again writes the same version.
+    A micro-batch is one whole snapshot of its sources (one landed file a trigger): what
+    it does not list has disappeared.  ``load`` reads the history as it was before a
+    batch and ``save`` stores the merged one under the batch's number, so a batch that
+    runs again, or a stream that starts again, reads and writes the same versions.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         today = F.date_format(F.current_timestamp(), "yyyy-MM-dd")
-        save(snapshot_merge(batch, load(), key, today).drop("change"), number)
+        save(snapshot_merge(batch, load(number), key, today).drop("change"), number)
 
     return stream.writeStream.foreachBatch(merge)
 
@@ -63,15 +65,27 @@ def schedule_stream(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").applyInPandasWithState(advance, OUT, STATE, "update", "NoTimeout")
 
 
-def versions(spark: SparkSession, path: str, schema: str) -> tuple[Callable[[], DataFrame], Callable[[DataFrame, int], None]]:
-    """``load`` and ``save`` over numbered Parquet folders; the highest number is current."""
-    state = {"current": None}
+def versions(spark: SparkSession, path: str, schema: str) -> tuple[Callable[[int | None], DataFrame], Callable[[DataFrame, int], None]]:
+    """``load`` and ``save`` over numbered Parquet folders.
 
-    def load() -> DataFrame:
-        return spark.createDataFrame([], schema) if state["current"] is None else spark.read.schema(schema).parquet(f"{path}/v={state['current']}")
+    ``load(number)`` reads the highest finished version below ``number``, ``load()`` the
+    highest of all; which versions there are is read from the folder, never remembered.
+    """
+
+    def finished() -> list[int]:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(root)]
+        done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+        return [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and done(n)]
+
+    def load(number: int | None = None) -> DataFrame:
+        below = [n for n in finished() if number is None or n < number]
+        return spark.read.schema(schema).parquet(f"{path}/v={max(below)}") if below else spark.createDataFrame([], schema)
 
     def save(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/v={number}")
-        state["current"] = number
 
     return load, save

@@ -297,14 +297,21 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: set[str] = set()
+        head = np.zeros(0, np.uint64)
         for batch in batches:
             ok = []
-            for b, x in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                own = shingles_of(x.as_py())
+            for b, own in zip(batch.column(2).to_pylist(), shingle_sets(batch.column(3)), strict=True):
                 if b is None:
                     head = own
-                ok.append(b is not None and similar(head, own))
+                    ok.append(False)
+                    continue
+                low, high = sorted((len(head), len(own)))
+                if 100 * low < PERCENT * high:
+                    ok.append(False)
+                    continue
+                at = np.searchsorted(head, own)
+                both = int((head[np.minimum(at, len(head) - 1)] == own).sum())
+                ok.append(100 * both >= PERCENT * (len(head) + len(own) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     hot = hot_keys(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
@@ -337,19 +344,44 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[c][at]) for c in ("list", "side", "sid", "comp", *_MARKS)], names=["list", "side", "sid", "comp", *_MARKS])
 
 
-def shingle_hashes(line: str, size: int = SHINGLE) -> np.ndarray:
-    """The distinct 64-bit hashes of a line's shingles, ascending."""
-    text = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(1, len(text) - size + 1)
-    h = np.full(n, len(text[:size]), np.uint64)
-    for k in range(min(size, len(text))):
-        h = hashing.mix(h + text[k : k + n])
-    return np.unique(h)
+def shingle_sets(lines: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The distinct 64-bit hashes of each line's shingles, ascending; lines of any length.
+
+    Lines are hashed in runs of about ``RUN_CHARS`` characters.
+    """
+    run, chars = [], 0
+    for x in lines:
+        run.append(x.as_py())
+        chars += len(run[-1])
+        if chars >= RUN_CHARS:
+            yield from _run_sets(run, size)
+            run, chars = [], 0
+    yield from _run_sets(run, size)
+
+
+def _run_sets(lines: list[str], size: int) -> Iterator[np.ndarray]:
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(text) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(size):  # a polynomial of the characters, then mixed
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += text[k : k + n]
+    h = hashing.mix(h)
+    at = 0
+    for x in lines:
+        if len(x) < size:  # its own shingle, told apart by its length
+            short = np.uint64(len(x))
+            for c in text[at : at + len(x)]:
+                short = np.uint64((int(short) * 0x9E3779B97F4A7C15 + int(c)) % 2**64)
+            yield hashing.mix(np.array([short]))
+        else:
+            yield np.unique(h[at : at + len(x) - size + 1])
+        at += len(x)
 
 
 def spanning_links(texts: list[str], side: np.ndarray, comp: np.ndarray, marks: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that join a list's lines as all links between agreeing ones would."""
-    sets = [shingle_hashes(x) for x in texts]
+    sets = list(shingle_sets(pa.array(texts, pa.string())))
     size = np.array([len(x) for x in sets], np.int64)
     flat, start = np.concatenate(sets), np.cumsum(size) - size
     comp = np.unique(comp, return_inverse=True)[1]

@@ -29,6 +29,7 @@ LIST_BLOCK = 4096
 SHORT_LIST = 24
 LEADERS = 12
 WORDS = 16  # of 64 bits in a set's bitmap
+RUN_ROWS, RUN_BYTES = 20_000, 8_000_000  # of lists that are worked through at a time
 CLOSE = 0.2  # of the bits of two sets: so near, one's distances tell the other's
 
 
@@ -68,19 +69,29 @@ def needed_overlap(total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Column arrays of whole lists, and the lists' bounds; rows come sorted by list."""
+    """Column arrays of whole lists, and the lists' bounds; rows come sorted by list.
+
+    Short batches are put together, up to ``RUN_ROWS`` rows or ``RUN_BYTES`` bytes.
+    """
     held: list[pa.RecordBatch] = []
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows < RUN_ROWS and size < RUN_BYTES:
+            continue
         keys = batch.column(0).to_numpy()
         starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if not len(starts) and (not held or held[-1].column(0)[-1].as_py() == keys[0]):
-            held.append(batch)
-            continue
-        at = int(starts[-1]) if len(starts) else 0
-        yield from _cut_lists([*held, batch.slice(0, at)])
+        if not len(starts):
+            if len(held) == 1 or held[-2].column(0)[-1].as_py() == keys[0]:
+                continue  # the last list goes on
+            starts = np.zeros(1, np.int64)
+        at = int(starts[-1])
+        yield from _cut_lists([*held[:-1], batch.slice(0, at)])
         held = [batch.slice(at)]
+        rows, size = held[0].num_rows, held[0].nbytes
     yield from _cut_lists(held)
 
 

@@ -39,6 +39,17 @@ def test_all_tokens_are_placed_once(spark):
     assert out[out.doc_id.isin([100, 101])].bin.isna().all()
 
 
+def test_null_clusters_conflict_with_nothing_and_long_texts_fill_bins(spark):
+    rows = [(k, "a" if k % 2 else "b", 30, None, "mine", 7) for k in range(4)] + [(10, "c", 30, 0, "mine", 7), (11, "d", 30, 0, "mine", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, cluster long, bin string, piece int")
+    out = m.pack_documents(docs, capacity=60).toPandas()
+    bins = {r.doc_id: r.bin for r in out.itertuples()}
+    assert len({bins[k] for k in range(4)}) == 2 and bins[10] != bins[11]  # nulls fill two bins, equal clusters stay apart
+    long = m.measured(spark.createDataFrame([(1, "s", "w " * 600_000)], "doc_id long, source string, text string"))
+    out = m.pack_documents(long).toPandas()
+    assert (out.stop - out.start).sum() == 600_000 and out.bin.nunique() == len(out) == -(-600_000 // m.CAPACITY)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert m.pack_documents(m.measured(docs)).count() == 0

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from weftline.functions import dates as D
+from weftline.functions import display as S
 from weftline.functions import geo as G
 from weftline.functions import numerals as N
 from weftline.functions import text as X
@@ -96,5 +97,21 @@ def test_geo(spark):
 
 def test_rules(spark):
     rules = [{"name": "yoga", "match": "瑜珈|yoga"}, {"name": "swim", "match": "泳", "exclude": "泳裝"}, {"name": "art", "match": "油畫", "category": "藝術", "category_match": "班"}]
-    got = val(spark, R.labels(L("YOGA 泳裝班"), L("藝術類"), rules), R.classify(L("泳池"), [("泳", "w"), ("池", "p")]), R.is_bare_address(L("中正路12號")), R.is_bare_address(L("館 12號")), R.is_free_now(L(True), L(None).cast("string")), R.is_free_now(L(None).cast("boolean"), L("open")), R.nearly_full(L("open"), L(3), L(20)), R.same_county(L(None), L("a")), R.place_like(L("臺北市")), R.noindex(L("<head><meta name=robots content=noindex></head>")), R.noindex(L("<head></head><meta name=robots content=noindex>")))
-    assert got == (["yoga", "art"], "w", True, False, True, False, True, True, False, True, False)
+    got = val(spark, R.labels(L("YOGA 泳裝班"), L("藝術類"), rules), R.classify(L("泳池"), [("泳", "w"), ("池", "p")]), S.is_bare_address(L("中正路12號")), S.is_bare_address(L("古坑鄉荷苞厝8號")), S.is_bare_address(L("館(12號")), R.is_free_now(L(True), L(None).cast("string")), R.is_free_now(L(None).cast("boolean"), L("open")), R.nearly_full(L("open"), L(3), L(20)), R.same_county(L(None), L("a")), R.place_like(L("臺北市")), R.noindex(L("<head><meta name=robots content=noindex></head>")), R.noindex(L("<head></head><meta name=robots content=noindex>")))
+    assert got == (["yoga", "art"], "w", True, True, False, True, False, True, True, False, True, False)
+
+
+def test_address_expressions_stay_small(spark):
+    from weftline.operators import geocode as C
+
+    row = spark.createDataFrame([("台中市西區五權路2-3號", "臺中市")], "a string, c string")
+    for made in (N.norm_address(F.col("a")), C.clean_address(F.col("a"), F.col("c")), C.place_candidates(F.col("a")), C.school_keys(F.col("a"))):
+        plan = row.select(made)._jdf.queryExecution().analyzed()
+        assert plan.expressions().apply(0).collectLeaves().size() < 200
+
+
+def test_title_keys_of_series(spark):
+    same = ["瑜珈", "瑜珈（第3期開課）", "瑜珈第3梯次", "【10/5開課】瑜珈", "瑜珈 第 ３ 期", "瑜珈(一梯)"]
+    got = spark.createDataFrame([(t,) for t in same], "t string").select(X.title_key(F.col("t"))).distinct().collect()
+    assert [r[0] for r in got] == ["瑜珈"]
+    assert val(spark, X.title_key(L("春季班A 三屆")), X.title_key(L(None).cast("string"))) == ("春季班a三屆", "")

@@ -53,11 +53,16 @@ def course_title(title: Column, provider: Column, city: Column, start: Column, s
     return F.concat(*[F.coalesce(x, F.lit("")) for x in parts])
 
 
+#: What a house number is written with, what ways and places end with, and what only names hold.
+_HOUSE = "[0-9０-９、,之至附－\\-]+號"
+_WAY_ENDS, _PLACE_ENDS = "路|街|大道|段|巷|弄|村|里|鄰", "縣市區鄉鎮村里鄰"
+_NAME_MARKS = "：:—（(【"
+
+
 def is_bare_address(name: Column) -> Column:
-    """A name that is only an address: a house number, no separators, a road or village before it."""
-    left = F.regexp_replace(name, r"臨?[0-9０-９、,之至附－\-]+號.*$", "")
-    road = left.rlike("(路|街|大道|段|巷|弄|村|里|鄰)$") | left.rlike("[縣市區鄉鎮村里鄰][^縣市區鄉鎮村里鄰]{1,4}$")
-    return F.coalesce(name.rlike("[0-9]+號") & ~name.rlike(r"[：:\-—（(【]") & road, F.lit(False))
+    """A name that is only an address: a house number behind a way, or up to four characters behind a place."""
+    before = f"(?:{_WAY_ENDS}|[{_PLACE_ENDS}][^{_PLACE_ENDS}]{{1,4}})"
+    return F.coalesce(name.rlike(f"^[^{_NAME_MARKS}\\-]*?{before}臨?{_HOUSE}[^{_NAME_MARKS}\\-]*$") & name.rlike("[0-9]+號"), F.lit(False))
 
 
 def venue_heading(name: Column, override: Column, providers: Column, total: Column, share: float = 0.6) -> Column:

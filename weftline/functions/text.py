@@ -166,7 +166,7 @@ def decode_entities(s: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition, which has no built-in function."""
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    return s.map(lambda x: x if x.isascii() else unicodedata.normalize("NFC", x), na_action="ignore")
 
 
 def normalize_name(s: Column) -> Column:
@@ -213,10 +213,16 @@ def describe(*parts: Column) -> Column:
     return F.concat_ws("，", *[F.when(p != "", p) for p in parts])
 
 
+#: Words that mark a bracket as a remark on a run of a course, and the units runs are numbered by.
+_RUN_REMARKS = ("開課", "期", "梯")
+_RUN = "第?(?U:\\s*)[0-9０-９一二三四五六七八九十]+(?U:\\s*)(?:期|梯)次?"
+
+
 def title_key(s: Column) -> Column:
-    """Series key of a title: no term or batch marks, punctuation, symbols or space."""
-    t = F.regexp_replace(F.lower(F.coalesce(s, F.lit(""))), r"第?[0-9一二三四五六七八九十]+[期梯班季屆]", "")
-    return F.regexp_replace(t, r"(?U)[\s\p{P}\p{S}]+", "")
+    """Series key of a title: no remarks or numbers of its runs, no punctuation, symbols or space."""
+    remark = rf"[【\[(（][^】\])）]*(?:{'|'.join(_RUN_REMARKS)})[^】\])）]*[】\])）]"
+    t = F.regexp_replace(F.coalesce(s, F.lit("")), f"{remark}|{_RUN}", "")
+    return F.lower(F.regexp_replace(t, r"(?U)[\s\p{P}\p{S}]+", ""))
 
 
 def obs_key(source: Column, record: Column) -> Column:

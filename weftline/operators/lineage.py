@@ -14,20 +14,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: list[tuple[SparkSession, str]] = []
+_OWN: dict[str, str] = {}  # folders of local sessions that name none, by application
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
-    Only a local session may leave it unset, and gets a temporary one; on a cluster a
-    folder of one machine would be lost with it, so there it is an error.
+    Only a local session may leave it unset, and gets a temporary one for its program's
+    time; on a cluster a folder of one machine would be lost with it, so there it is an
+    error.  The setting itself is fixed when a session starts and is left as it is.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        name = spark.sparkContext.applicationId
+        if name not in _OWN:
+            _OWN[name] = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        where = _OWN[name]
     return where.rstrip("/")
 
 

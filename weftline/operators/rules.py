@@ -54,12 +54,6 @@ def is_placeholder(name: Column) -> Column:
     return F.coalesce(name, F.lit("")).rlike(r"(?U)^$|^\s*(" + "|".join(NO_VENUE) + ")")
 
 
-def is_bare_address(name: Column) -> Column:
-    """A name that is only an address: a house number, no separators, a road or village left."""
-    left = F.regexp_replace(name, r"[0-9]+(之[0-9]+)?號.*$", "")
-    return name.rlike("[0-9]+(之[0-9]+)?號") & ~name.rlike("[ 、,，/()（）]") & left.rlike("[路街巷弄段里村鄰]$")
-
-
 def place_like(name: Column) -> Column:
     return (F.char_length(name) >= 4) & ~name.rlike("^.{1,3}[縣市區鄉鎮村里]$")
 

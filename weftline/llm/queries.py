@@ -1,10 +1,11 @@
 """The subpackage's queries, and SQL for those that SQL can express."""
 
-from . import ann, jaccard_join, line_dedup, mixing, packing, quality, quotes, secrets, topk_join, url_filter
+from . import ann, jaccard_join, line_dedup, mixing, packing, quality, quality_rules, quotes, secrets, topk_join, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op10_quote_linking": quotes.op10_quote_linking,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
     "op2_fuzzy_line_dedup": line_dedup.op2_fuzzy_line_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_secret_scan": secrets.op4_secret_scan,

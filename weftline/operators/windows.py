@@ -28,6 +28,21 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return out if rank else out.drop(name)
 
 
+def top_k_spread(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str, by: list[str], per_task: int = 100_000) -> DataFrame:
+    """``top_k`` for large k and groups of any size.
+
+    While a group has more than ``per_task`` rows, its rows are dealt out by the hash of
+    ``by`` and only the first k of each part go on; ``order`` has to be total.
+    """
+    at_most = lambda rows: rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    largest = at_most(df)
+    while largest > max(per_task, 2 * k):
+        parts = -(-largest // max(per_task // 2, 2 * k))
+        df = cut(top_k(df.withColumn("__part", F.pmod(F.xxhash64(*by), F.lit(parts))), [*keys, "__part"], order, k).drop("__part"), "top")
+        largest = at_most(df)
+    return top_k(df, keys, order, k, rank)
+
+
 def capped_pick(df: DataFrame, dedupe: list[str], per: list[str], order: list[Column], each: int, most: int) -> DataFrame:
     """At most ``each`` rows of each group and ``most`` in all, duplicates left out first."""
     first = keep_first(df, dedupe, order)

@@ -74,10 +74,13 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     Only the links between components are worked through again.
     """
     name = lambda end: comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-    ends = links.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left")
-    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    met = links.select("a", "b")
+    for end, other in (("a", "b"), ("b", "a")):
+        sizes = met.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
+        met = spread_join(met, name(end), end, hot_keys(sizes, end), [other], "left")
+    joined = components(met.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     new = joined.join(comp.select("node"), "node", "left_anti")
     names = joined.select(F.col("node").alias("component"), F.col("component").alias("name"))
-    sizes = comp.join(names, "component").groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n"))  # counted inside tasks first
     known = spread_join(comp, names, "component", hot_keys(sizes, "component"), ["node"], "left").select("node", F.coalesce("name", "component").alias("component"))
     return cut(known.unionByName(new), "components")

@@ -41,6 +41,15 @@ def test_rows_with_one_id_are_judged_by_their_texts(spark):
     assert got == sorted([(1, len(base)), (2, len(rows[2][1])), (3, 0), (-1, len(base)), (5, 600_000)])
 
 
+def test_mixing_keeps_its_budget_whatever_the_ids(spark):
+    for ids in ([None] * 40, [7] * 40, list(range(40))):
+        rows = [(i, f"w{k} three words", "en", "web1", 1, "mine") for k, i in enumerate(ids)]
+        kept = cp.mix(spark, spark.createDataFrame(rows, DOCS), "").count()
+        assert kept == 36
+    same = spark.createDataFrame([(None, "three equal words", "en", "web1", 1, "mine")] * 40, DOCS)
+    assert cp.mix(spark, same, "").count() in (0, 40)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")

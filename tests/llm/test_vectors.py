@@ -81,11 +81,37 @@ def test_small_and_empty_tables(spark, tmp_path):
     assert ann.op5_ann_forest(spark, str(tmp_path / "b")).count() == 0
 
 
-def test_a_longer_vector_takes_nothing_from_the_rest(spark, tmp_path):
-    rows = [(k, [1.0 + k, 2.0], 0) for k in range(5)] + [(50, [1.0, 2.0, 3.0], 0)]
+def test_vectors_of_three_lengths_are_searched_among_their_own(spark, tmp_path):
+    rows = [(k, [1.0 + k, 2.0], 0) for k in range(4)] + [(k, [1.0, 2.0, k / 50], 0) for k in (50, 100, 101)] + [(200, [1.0], 0)]
     write(spark, tmp_path, rows)
-    assert [r.vec_id for r in topk_join.op7_exact_topk(spark, str(tmp_path)).orderBy("rank").collect()] == [4, 3, 2, 1]
-    assert [r.vec_id for r in ann.op5_ann_forest(spark, str(tmp_path)).orderBy("rank").collect()] == [4, 3, 2, 1]
+    want = {0: [3, 2, 1], 50: [101, 100], 100: [101, 50]}
+    for found, every in ((topk_join.op7_exact_topk, 50), (ann.op5_ann_forest, 20)):
+        got = {}
+        for r in found(spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: w for q, w in want.items() if q % every == 0}
+
+
+def test_too_many_lengths_are_named(spark):
+    df = spark.createDataFrame([(k, [1.0] * (k + 1)) for k in range(70)], "id long, vec array<double>")
+    with pytest.raises(ValueError, match="more than 64 lengths"):
+        ann.search(df, df.id % 20 == 0)
+
+
+def test_a_prefix_with_most_queries_is_dealt_out(spark, monkeypatch):
+    """Nearly equal vectors share their prefixes: blocks of queries meet blocks of vectors."""
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = 1 + rng.normal(size=(300, 6)) * 0.01
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]]) for k in range(300)], "id long, vec array<double>")
+    got = ann.search(df, df.id % 2 == 0, k=5).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {q: 5 for q in range(0, 300, 2)}
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:5]) & set(part.id))
+    assert hits >= 0.9 * 5 * 150
 
 
 def test_topk_of_large_and_nearly_equal_vectors(spark, monkeypatch):

@@ -21,13 +21,14 @@ a small share of the table; on vectors without structure no hash helps, and the
 floor comes up until recall holds.
 
 A tree's sorted strings are laid out by floor prefix, in blocks of a fixed number
-of vectors; a query meets exactly the blocks of its own prefix.  Below the floor
+of vectors, and one that many queries have in blocks of queries; a query meets exactly
+the blocks of its own prefix.  Below the floor
 only the prefixes that such queries ask for are laid out again, in blocks of vectors
 and of queries.  Equal vectors are indexed once, with their smallest ids.
 
-Edge cases: vectors that are null, empty, zero or non-finite take no part, nor do those
-whose length is not the one that most have (they have no inner product with the rest),
-nor null ids.  Rows equal in id and vector count once.  Ties go to the smaller id.  With
+Edge cases: vectors that are null, empty, zero or non-finite take no part, nor do null
+ids.  Vectors of several lengths are searched length by length, as they have no inner
+product with others.  Rows equal in id and vector count once.  Ties go to the smaller id.  With
 fewer candidates than k, all are returned; an empty table gives an empty result.  Other
 columns of the table are not read.
 """
@@ -44,7 +45,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import cut, table
-from .vectors import chunks, distinct_vectors, finite, matrix, packed, same_length, unpacked
+from .vectors import by_length, chunks, distinct_vectors, finite, matrix, packed, unpacked
 
 K = 20
 TREES = 24
@@ -168,8 +169,12 @@ def _below_floor(ask: DataFrame, sizes: DataFrame, floor: int, budget: int, k: i
 
 def search(rows: DataFrame, is_query: Column, k: int = K, trees: int = TREES, target: float = TARGET) -> DataFrame:
     """(query_id, rank, id, score) from (id, vec)."""
-    rows = same_length(rows.where("id is not null"))
-    rows = rows.where(F.exists("vec", lambda x: x != 0))
+    rows = rows.where(F.col("id").isNotNull() & F.exists("vec", lambda x: x != 0))
+    return by_length(rows, lambda part: _among(part, is_query, k, trees, target))
+
+
+def _among(rows: DataFrame, is_query: Column, k: int, trees: int, target: float) -> DataFrame:
+    """``search`` of vectors of one length."""
     data = cut(distinct_vectors(rows, k + 1), "vectors")
     asked = cut(rows.where(is_query).select("id", "vec").distinct().withColumn("vkey", F.xxhash64("vec")), "asked")
     queries = asked.select("vec", "vkey").distinct()
@@ -180,10 +185,11 @@ def search(rows: DataFrame, is_query: Column, k: int = K, trees: int = TREES, ta
     index = cut(_laid_out(data, normals, most, False, floor, "ids"), "index")
     # a prefix with many strings is cut in blocks
     sizes = cut(index.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nb"), F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("n_ids")), "sizes")
-    blocks = sizes.select("tree", "prefix", "nb")
     every, asking = index, cut(_laid_out(queries, normals, most, True, floor, "vkey"), "ask")
-    index = index.join(blocks, ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("vec"), F.col("nb")).cast("int"))
-    ask = asking.join(blocks, ["tree", "prefix"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks = asking.groupBy("tree", "prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nq")).join(sizes.select("tree", "prefix", "nb"), ["tree", "prefix"])
+    # as is one with many queries: each task meets a block of both
+    index = index.join(blocks, ["tree", "prefix"]).withColumn("b", F.pmod(F.xxhash64("vec"), F.col("nb")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    ask = asking.join(blocks, ["tree", "prefix"]).withColumn("part", F.pmod(F.xxhash64("vkey"), F.col("nq")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
 
     # ascend: how many strings share at least each number of bits, in all trees
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +200,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, trees: int = TREES, ta
             out.append((vkey, got))
         return pd.DataFrame(out, columns=["vkey", "met"])
 
-    key = ["tree", "prefix", "b"]
+    key = ["tree", "prefix", "b", "part"]
     q_key = [F.col(c).alias(f"q_{c}") for c in key]
     q_names = [f"q_{c}" for c in key]
     met = ask.select(*q_key, "code", "vkey").groupBy(*q_names).cogroup(index.select(*key, "code").groupBy(*key)).applyInPandas(count, "vkey long, met array<long>")

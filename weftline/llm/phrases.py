@@ -253,18 +253,23 @@ def op11_phrase_collocations(spark, sf_dir: str, most: int = 2000) -> DataFrame:
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_GRAMS = " UNION ALL ".join(f"SELECT lang, {n} AS size, array_to_string(ws[i:i + {n - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM pieces)" for n in (1, 2, 3))
 ORACLE = rf"""
 WITH pieces AS MATERIALIZED (
-  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws
-  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
-f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM ({_GRAMS}) GROUP BY 1, 2, 3),
+  SELECT row_number() OVER () AS p, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces)),
+windows AS MATERIALIZED (SELECT lang, w, lead(w) OVER b AS w2, lead(w, 2) OVER b AS w3 FROM words WINDOW b AS (PARTITION BY p ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS size, w AS phrase FROM windows UNION ALL SELECT lang, 2, w || ' ' || w2 FROM windows WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM windows WHERE w3 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY 1, 2, 3),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
 candidates AS MATERIALIZED (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 10),
+parts AS MATERIALIZED (SELECT lang, phrase, size, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+often AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+heads AS MATERIALIZED (SELECT c.*, x.f AS l FROM parts c JOIN often x ON x.lang = c.lang AND x.phrase = c.head),
 cuts AS (
-  SELECT c.lang, c.phrase, c.size, c.a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
-  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+  SELECT c.lang, c.phrase, c.size, c.a, k, l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l::HUGEINT * y.f))::BIGINT AS score
+  FROM heads c JOIN often y ON y.lang = c.lang AND y.phrase = c.rest),
 scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 held AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a AS longer FROM candidates WHERE size = 3),
 kept AS (SELECT s.* FROM scored s LEFT JOIN (SELECT lang, phrase, max(longer) AS longer FROM held GROUP BY 1, 2) h USING (lang, phrase) WHERE s.size = 3 OR h.longer IS NULL OR 100 * h.longer < 50 * s.a)

@@ -27,7 +27,8 @@ of any whole-number type draw alike.  Other columns stay; those of the three out
 are replaced.  A null or empty text has weight 0 (log), like a document about which
 the models say nothing.  Without labels of both kinds nothing is rejected.  Rows
 with equal ids have equal keys and share their fate, as do ties at the k-th key:
-all are kept.  An empty table gives an empty result.
+all are kept; so do rows with a null id, which share one draw and teach nothing.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text_col:
     if k is None:
         held = [(i, good) for i, (good, used) in sample.items() if not used]
         ids = spark.createDataFrame(held, "doc_id long, good boolean")
-        found = keyed.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("log_weight").alias("w"), F.first("good").alias("g")).collect()
+        found = keyed.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("log_weight").alias("w"), F.min("good").alias("g")).collect()
         part = cutoff(np.array([r["w"] for r in found]), np.array([r["g"] for r in found], bool))
         k = keyed.where(F.col("log_weight") > part).count()
     least = kth_largest(keyed, "draw_key", k)

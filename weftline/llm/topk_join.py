@@ -22,8 +22,8 @@ Distances are computed in double precision from squares; ``slack`` bounds their
 by the norms that occur, and every comparison with a bound leaves that much room, so
 rounding never prunes an answer.
 
-Edge cases: null, empty and non-finite vectors take no part, nor do null ids or vectors
-whose length is not the one that most have (they have no inner product with the rest).
+Edge cases: null, empty and non-finite vectors take no part, nor do null ids.  Vectors of
+several lengths are searched length by length, as they have no inner product with others.
 Rows equal in id and vector count once.  A query whose table holds nothing else returns
 no rows, and an empty table none.  Scores beyond a long wrap.  Other columns of the
 table are not read.
@@ -41,7 +41,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import cut, table
-from .vectors import chunks, distinct_vectors, finite, matrix, packed, same_length, unpacked
+from .vectors import by_length, chunks, distinct_vectors, finite, matrix, packed, unpacked
 
 K = 5
 BLOCK = 4096
@@ -126,8 +126,12 @@ def _plan(pivots: np.ndarray, data: list, groups: list, k: int, room: float) ->
 
 def topk_join(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, id, score) from (id, vec) with whole-number vectors."""
+    return by_length(rows.where("id is not null"), lambda part: _among(part, is_query, k))
+
+
+def _among(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """``topk_join`` of vectors of one length."""
     spark = rows.sparkSession
-    rows = same_length(rows.where("id is not null"))
     data = cut(distinct_vectors(rows, k + 1), "vectors")
     asked = cut(rows.where(is_query).select("id", "vec").distinct().withColumn("vkey", F.xxhash64("vec")), "asked")
     queries = asked.select("vec", "vkey").distinct()

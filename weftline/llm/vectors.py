@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,21 @@ def unpacked(blobs, kind: type = np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
-def same_length(rows: DataFrame) -> DataFrame:
-    """Only vectors of the length that most have (ties: the longer); others have no inner product with them."""
-    common = rows.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return rows.where(F.size("vec") == F.lit(common["size"] if common else 0))
+MOST_LENGTHS = 64
+
+
+def by_length(rows: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` among the vectors of each length, which have inner products only with each other.
+
+    Raises an error that names the lengths if there are more than ``MOST_LENGTHS``.
+    """
+    sizes = [r["size"] for r in rows.groupBy(F.size("vec").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(MOST_LENGTHS + 1).collect()]
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths, among them {sorted(sizes)[:10]}")
+    if len(sizes) <= 1:
+        return search(rows)
+    found = [search(rows.where(F.size("vec") == n)) for n in sizes]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ columns of ``documents``.
 3. ``near_duplicates``: components of documents whose five-word shingle sets are
    at least 0.8 similar; the one with the smallest id stays.
 4. ``mix``: budgets by domain, language and source; the chosen prefix stays (one
-   epoch, so no document is repeated).
+   epoch, so no document is repeated); rows that are equal in all columns count and
+   stay together, so a budget is never passed.
 5. ``pack``: pieces of the documents in bins.
 
 Edge cases: null texts pass the first three stages as they are (nothing speaks
@@ -58,10 +59,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.select("doc_id", "lang", "source", n_words(F.col("text")).alias("n_tokens"))
-    taken = mix_sources(sized.withColumn("domain", domain_of(F.col("source"))), fraction=(9, 10), power=0.8, max_epochs=1)
-    ids = taken.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
+    row = F.xxhash64(*docs.columns).alias("__row")
+    rows = docs.select(row, "lang", "source", n_words(F.col("text")).alias("n"))
+    units = rows.groupBy("__row", "lang", "source").agg(F.sum("n").alias("n_tokens"))
+    taken = mix_sources(units.withColumn("domain", domain_of(F.col("source"))), id_col="__row", fraction=(9, 10), power=0.8, max_epochs=1)
+    kept = taken.select("__row").distinct()
+    return docs.withColumn("__row", row).join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,38 @@ def test_greedy_clusters_equal_a_walk_over_all_orders(spark):
     assert len({v[0] for v in got.values()}) < len(got) and {v[1] for v in got.values()} >= {"school-course-code", "title-slot", "singleton"}
 
 
+def random_listings(seed, n=260):
+    """Few values, so keys are shared widely; raw terms that read like year and season cross terms."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        year, season = rng.choice([(115, "春"), (115, "秋"), (None, None), (115, None)])
+        raw = rng.choice([None, "115春", "115秋", "115 春"])
+        out.append((f"r{k:04}", rng.choice("st"), rng.choice(["甲社大", "乙社大"]), rng.choice("畫琴"), rng.choice([None, "A", "B"]), year, season, raw, rng.choice([None, "王"]), rng.choice([None, 1, 2]), rng.choice([None, "09:00"])))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_kinds_end_where_their_first_row_ends(spark, seed):
+    df = spark.createDataFrame(random_listings(seed), OBS)
+    want = R.greedy_merge(R.blocking_keys(df).select("id", "source", "code", "fixed_term", "keys").toPandas())
+    got = R.cluster_greedy(df).toPandas().sort_values("id").reset_index(drop=True)
+    assert got[["id", "cluster", "root", "rule", "confidence"]].equals(want)
+
+
+def test_terms_that_cross_are_merged_row_by_row():
+    links = [[], [(0, "title-slot", 0.9)], [], [(2, "school-course-code", 1.0), (0, "title-slot", 0.9)], [(2, "school-course-code", 1.0)]]
+    roots, _, crossed = R.greedy(list("abcde"), [None] * 5, ["x", None, "y", "x", "x"], links)
+    assert roots == [0, 0, 2, 2, 2] and crossed == [3, 4]
+
+
+def test_one_hot_key_makes_few_kinds(spark):
+    rows = [(f"h{k:06}", f"s{k % 5}", "甲社大", "瑜珈", None, 115, "春", None, "李", 2, "09:00") for k in range(3000)]
+    got = R.cluster_greedy(spark.createDataFrame(rows, OBS)).collect()
+    want = R.greedy_merge(R.blocking_keys(spark.createDataFrame(rows, OBS)).select("id", "source", "code", "fixed_term", "keys").toPandas())
+    assert {(r.id, r.root) for r in got} == set(zip(want["id"], want["root"], strict=True))
+
+
 def test_clusters_do_not_depend_on_row_order(spark):
     rows = list(ROWS)
     want = clusters(spark, rows)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import county_of, hash8, norm_school, norm_title, term_key, without_county
 from .graph import components
 from .lineage import cut
+from .skew import hot_keys, spread_join
 
 #: Rules by falling confidence.
 RULES = (("school-course-code", 1.0), ("school-course-code-noterm", 0.95), ("title-slot", 0.9), ("title-teacher-slot", 0.85), ("title-teacher", 0.8))
@@ -57,67 +60,130 @@ def blocking_keys(obs: DataFrame) -> DataFrame:
     return o.withColumn("keys", F.filter(keys, lambda k: k.isNotNull()))
 
 
-def greedy_merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of observations that share keys, taken in id order.
+class _Group:
+    __slots__ = ("rows", "term")
+
+    def __init__(self, row: int, term: str | None):
+        self.rows, self.term = [row], term
+
 
-    A key belongs to the first row that shows it.  A later row joins that owner's group
-    unless its key is vetoed: owner and row come from one source with different codes;
-    both groups have a year and season and they differ; or the rule is weak and both
-    come from one source without a code.  The strongest rule is never vetoed.  A group's
-    term is the owner's, or else the row's, so a row without one cannot bridge two terms.
+def greedy(sources: list, codes: list, terms: list, links: list[list[tuple[int, str, float]]]) -> tuple[list[int], list[tuple[float, str]], list[int]]:
+    """Each row's first group member, its best (confidence, rule), and rows that joined two different terms.
+
+    Rows come in order; ``links`` are, in order, (owner, rule, confidence) of each row's
+    keys, an owner being the first row that shows the key.  A row joins the owner's group
+    unless the key is vetoed: owner and row come from one source with different codes;
+    both groups have a year and season and they differ; or the rule is weak and both come
+    from one source without a code.  The strongest rule is never vetoed.  A group's term
+    is the owner's, or else the row's, so a row without one cannot bridge two terms.
     """
-    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-    some = lambda x: x if isinstance(x, str) and x else None
-    sources, codes = pdf["source"].tolist(), [some(x) for x in pdf["code"]]
-    group = [{"rows": [i], "term": some(t)} for i, t in enumerate(pdf["fixed_term"])]
-    best: list[tuple[float, str]] = [(0.0, "")] * len(pdf)
-    owner: dict[str, int] = {}
-    for i, keys in enumerate(pdf["keys"]):
-        for k in keys:
-            j = owner.setdefault(k["key"], i)
-            if j == i:
-                continue
-            sure, first, mine = k["confidence"], group[j], group[i]
-            alike = sources[i] == sources[j]
-            veto = alike and codes[i] and codes[j] and codes[i] != codes[j]
-            veto = veto or (first["term"] and mine["term"] and first["term"] != mine["term"])
-            veto = veto or (sure <= WEAK and alike and not codes[i] and not codes[j])
-            if veto and sure < 1:
-                continue
+    group = [_Group(i, t or None) for i, t in enumerate(terms)]
+    best: list[tuple[float, str]] = [(0.0, "")] * len(terms)
+    crossed = []
+    for i, mine_links in enumerate(links):
+        for j, rule, sure in mine_links:
+            first, mine = group[j], group[i]
+            apart = bool(first.term and mine.term and first.term != mine.term)
+            if sure < 1:
+                alike = sources[i] == sources[j]
+                if apart or (alike and codes[i] and codes[j] and codes[i] != codes[j]) or (sure <= WEAK and alike and not codes[i] and not codes[j]):
+                    continue
+            elif apart and first is not mine:
+                crossed.append(i)
             if first is not mine:
-                small, large = sorted((first, mine), key=lambda g: len(g["rows"]))
-                large["term"] = first["term"] or mine["term"]
-                large["rows"] += small["rows"]
-                for r in small["rows"]:
+                small, large = sorted((first, mine), key=lambda g: len(g.rows))
+                large.term = first.term or mine.term
+                large.rows += small.rows
+                for r in small.rows:
                     group[r] = large
             for r in (i, j):
                 if best[r][0] < sure:
-                    best[r] = (sure, k["rule"])
+                    best[r] = (sure, rule)
+    least = {id(g): min(g.rows) for g in set(group)}
+    return [least[id(g)] for g in group], best, crossed
+
+
+def greedy_merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The definition of the clusters: all observations in id order, one after the other."""
+    pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+    owner: dict[str, int] = {}
+    links = [[(j, k["rule"], k["confidence"]) for k in keys if (j := owner.setdefault(k["key"], i)) != i] for i, keys in enumerate(pdf["keys"])]
+    some = [[x if isinstance(x, str) and x else None for x in pdf[c]] for c in ("source", "code", "fixed_term")]
+    roots, best, _ = greedy(*some, links)
     ids = pdf["id"].tolist()
-    least = {id(g): ids[min(g["rows"])] for g in group}
-    roots = [least[id(g)] for g in group]
-    cluster = ["crs_" + hashlib.sha256(r.encode()).hexdigest()[:8] for r in roots]
-    return pd.DataFrame({"id": ids, "cluster": cluster, "root": roots, "rule": [rule or "singleton" for _, rule in best], "confidence": [sure or 1.0 for sure, _ in best]})
+    cluster = ["crs_" + hashlib.sha256(ids[r].encode()).hexdigest()[:8] for r in roots]
+    return pd.DataFrame({"id": ids, "cluster": cluster, "root": [ids[r] for r in roots], "rule": [rule or "singleton" for _, rule in best], "confidence": [sure or 1.0 for sure, _ in best]})
+
+
+_SOLVED = "id string, component string, root string, rule string, confidence double, crossed boolean"
+
+
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Clusters of rows (id, source, code, fixed_term, links, component) sorted by component and id, many components at a time."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        ids, component = rows["id"].to_pylist(), rows["component"].to_pylist()
+        place = {x: k for k, x in enumerate(ids)}
+        links = [[(place[x["owner"]], x["rule"], x["confidence"]) for x in row if x["owner"] is not None] for row in rows["links"].to_pylist()]
+        roots, best, crossed = greedy(rows["source"].to_pylist(), rows["code"].to_pylist(), rows["fixed_term"].to_pylist(), links)
+        torn = {component[i] for i in crossed}
+        made = [ids, component, [ids[r] for r in roots], [rule or "singleton" for _, rule in best], [sure or 1.0 for sure, _ in best], [c in torn for c in component]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["id", "component", "root", "rule", "confidence", "crossed"])
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= 20_000:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            last = pc.index(whole["component"], whole["component"][-1]).as_py()
+            if last:
+                yield solve(whole.slice(0, last))
+                held, n = whole.slice(last).to_batches(), len(whole) - last
+    if n:
+        yield solve(pa.Table.from_batches(held).combine_chunks())
 
 
 def cluster_greedy(obs: DataFrame) -> DataFrame:
     """(id, cluster, root, rule, confidence) of observations with unique ids.
 
-    Rows that no chain of keys connects can never meet, so Spark first finds the
-    components of shared keys; the order-dependent merging runs inside each component,
-    side by side.  A component is as large as the listings of one school that share codes
-    or titles; rows without a key of their own kind are clusters by themselves.
+    A key's owner is its smallest id, so a join finds every row's links at once.  Rows
+    alike in source, code, term and links, and no key's owner, are of one kind: after the
+    first of a kind the others change nothing and end where it ends, since a group's term
+    changes once at most, from none to one.  So only the first row of each kind goes
+    through the order-dependent merging, inside its component of links, many components
+    to a task; the rows of a kind are joined back, spread where they are many.
+
+    A group's term can change again only where a key of the strongest rule joins groups of
+    two different terms.  Components where the merging meets that are merged once more,
+    row by row.  A task holds the kinds of a component, of such a one its rows.
     """
-    keyed = cut(blocking_keys(obs).select(F.col("id").cast("string").alias("id"), "source", F.col("code").cast("string").alias("code"), "fixed_term", "keys"), "keyed")
-    shown = keyed.select("id", F.explode("keys.key").alias("key"))
-    first = shown.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    comp = components(shown.join(first, "key").where("id <> owner").select(F.col("owner").alias("a"), F.col("id").alias("b")))
-    tagged = keyed.join(comp.withColumnRenamed("node", "id"), "id", "left")
-    schema = "id string, cluster string, root string, rule string, confidence double"
-    met = tagged.where("component is not null").groupBy("component").applyInPandas(lambda pdf: greedy_merge(pdf.drop(columns=["component"])), schema)
-    alone = tagged.where("component is null")
-    alone = alone.select("id", F.concat(F.lit("crs_"), hash8(F.col("id"))).alias("cluster"), F.col("id").alias("root"), F.lit("singleton").alias("rule"), F.lit(1.0).alias("confidence"))
-    return met.unionByName(alone)
+    keyed = cut(blocking_keys(obs).select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), F.col("code").cast("string").alias("code"), "fixed_term", "keys"), "keyed")
+    shown = keyed.select("id", F.posexplode("keys").alias("pos", "k")).select("id", "pos", "k.key", "k.rule", "k.confidence")
+    owners = cut(shown.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"), "owners")
+    met = spread_join(shown, owners.drop("n"), "key", hot_keys(owners, "key"), ["id"])
+    link = F.struct("pos", F.when(F.col("owner") != F.col("id"), F.col("owner")).alias("owner"), "rule", "confidence")
+    rows = keyed.drop("keys").join(met.groupBy("id").agg(F.sort_array(F.collect_list(link)).alias("links")), "id")
+    own = F.exists("links", lambda x: x["owner"].isNull())
+    rows = cut(rows.withColumn("kind", F.md5(F.to_json(F.struct("source", "code", "fixed_term", "links", F.when(own, F.col("id")).alias("own"))).cast("binary"))), "linked")
+    whole = F.struct("id", "source", "code", "fixed_term", "links")
+    kinds = cut(rows.groupBy("kind").agg(F.min(whole).alias("x"), F.count(F.lit(1)).alias("n")).select("kind", "n", "x.*"), "kinds")
+    pairs = kinds.select("id", F.explode("links.owner").alias("owner")).where("owner is not null")
+    comp = components(pairs.select(F.col("owner").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
+
+    columns = ["id", "source", "code", "fixed_term", "links", "component"]
+    in_order = lambda df: df.select(*columns).repartition("component").sortWithinPartitions("component", "id")
+    solved = cut(in_order(kinds.join(comp, "id")).mapInArrow(_solve, _SOLVED), "solved")
+    of_kind = kinds.select("id", "kind", "n").join(solved, "id").drop("id")
+    out = spread_join(rows.select("id", "kind"), of_kind.drop("n"), "kind", hot_keys(kinds, "kind"), ["id"])
+    torn = cut(solved.where("crossed").select("component").distinct(), "torn")
+    if not torn.isEmpty():
+        again = out.join(torn, "component", "left_semi").select("id", "component").join(rows, "id")
+        out = out.join(torn, "component", "left_anti").select("id", "root", "rule", "confidence").unionByName(in_order(again).mapInArrow(_solve, _SOLVED).select("id", "root", "rule", "confidence"))
+    alone = keyed.join(rows.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"), F.lit("singleton").alias("rule"), F.lit(1.0).alias("confidence"))
+    out = out.select("id", "root", "rule", "confidence").unionByName(alone)
+    return out.select("id", F.concat(F.lit("crs_"), hash8(F.col("root"))).alias("cluster"), "root", "rule", "confidence")
 
 
 def relaxed_components(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .scan import running
 
 
 def _nth(df: DataFrame, keys: list[str], order: list[Column], name: str = "__nth") -> DataFrame:
@@ -74,21 +75,19 @@ def chunk_ids(df: DataFrame, order: list[Column], size: int, name: str) -> DataF
 
 
 def fill_down(df: DataFrame, keys: list[str], order: list[Column], col: str, name: str) -> DataFrame:
-    """The last value that is there, in order."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(col, ignorenulls=True).over(w))
+    """The last value that is there, in a total order; groups may have any size."""
+    return running(df, keys, order, {name: ("last", F.col(col))})
 
 
 def first_known(df: DataFrame, keys: list[str], order: list[Column], col: str, name: str) -> DataFrame:
     """The first value that is there up to this row: state as of the row."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn(name, F.first(col, ignorenulls=True).over(w))
+    return running(df, keys, order, {name: ("first", F.col(col))})
 
 
 def drop_ratio(df: DataFrame, keys: list[str], order: list[Column], col: str, name: str) -> DataFrame:
     """How far a value fell against the one before, as a share of that one."""
-    last = F.lag(col).over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, F.when(last > 0, (last - F.col(col)) / last))
+    last = F.col("__before")
+    return running(df, keys, order, {"__before": ("previous", F.col(col))}).withColumn(name, F.when(last > 0, (last - F.col(col)) / last)).drop("__before")
 
 
 def rows_of_max(df: DataFrame, keys: list[str], col: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import windows as Wn
+from ..operators.scan import running
 from .registry import read, registrar
 
 QUERIES: dict = {}
@@ -213,8 +214,8 @@ def running_state(spark, d):
     """State as of each event: the last mark carried forward, and the first one known."""
     e = read(spark, d, "events").withColumn("a", F.when(F.col("event_type") == "purchase", F.col("event_id"))).withColumn("b", F.when(F.col("value") > 50, F.col("event_id")))
     order = [F.col("ts"), F.col("event_id")]
-    e = Wn.fill_down(e, ["user_id"], order, "a", "last_mark")
-    return Wn.first_known(e, ["user_id"], order, "b", "first_mark").select("event_id", "user_id", "last_mark", "first_mark")
+    state = running(e, ["user_id"], order, {"last_mark": ("last", F.col("a")), "first_mark": ("first", F.col("b"))})
+    return state.select("event_id", "user_id", "last_mark", "first_mark")
 
 
 @query("""

@@ -17,11 +17,11 @@ def test_merge_by_micro_batch(spark, tmp_path):
     for k, rows in enumerate(([(1, "a", "h1"), (2, "b", "h2")], [(2, "b", "h9"), (3, "c", "h3")])):
         spark.createDataFrame(rows, "id long, payload string, content_hash string").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema("id long, payload string, content_hash string").parquet(src)
-        run(live.merge_stream(stream, load, save).option("checkpointLocation", str(tmp_path / "cp")))
+        run(live.merge_stream(stream, load, save, lambda batch, n: F.lit(f"2026-01-0{n + 1}")).option("checkpointLocation", str(tmp_path / "cp")))
     load, save = live.versions(spark, str(tmp_path / "v"), KIND)  # as after a restart
     assert {r.id for r in load(1).collect()} == {1, 2} and load(0).count() == 0
     got = {r.id: r for r in load().collect()}
-    assert set(got) == {1, 2, 3} and got[1].disappeared is not None and got[2].content_hash == "h9"
+    assert set(got) == {1, 2, 3} and got[1].disappeared == "2026-01-02" and got[3].first_observed == "2026-01-02" and got[2].content_hash == "h9"
 
 
 def test_windowed_counts_and_schedules(spark, tmp_path):

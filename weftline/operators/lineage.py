@@ -38,14 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    _KEPT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted with the program."""
+    path = f"{shared_dir(spark)}/weftline-{label}-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    return path
+
+
 def drop(*cuts: DataFrame | None) -> None:
     """Delete the files of ``cut`` tables that no later step reads."""
     for df in cuts:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from .joins import nearest_within
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -16,6 +17,35 @@ def content_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]), 256)
 
 
+def nested_hash(json: Column, volatile: tuple[str, ...] = (), depth: int = 6) -> Column:
+    """SHA-256 of a nested JSON payload that does not depend on how it is written.
+
+    Keys may come in any order at every level and null fields count as absent;
+    ``volatile`` keys are left out wherever they are; array order counts.  Text that is
+    no JSON is hashed as it is, null stays null.  Levels below ``depth`` are hashed as
+    they are written.
+    """
+    drop = F.array(*[F.lit(k) for k in volatile]) if volatile else F.array().cast("array<string>")
+    quoted = lambda k: F.substring(F.to_json(F.struct(k.alias("k"))), F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6)  # noqa: E731  {"k":"name"}
+
+    def canon(v: Column, left: int) -> Column:
+        if left == 0:
+            return F.to_json(v)
+
+        def of_object(m: Column) -> Column:
+            kept = F.filter(F.array_sort(F.map_keys(m)), lambda k: ~F.coalesce(F.is_variant_null(F.element_at(m, k)), F.lit(True)) & ~F.array_contains(drop, k))
+            return F.transform(kept, lambda k: F.struct(F.concat(quoted(k), F.lit(":")).alias("name"), F.element_at(m, k).alias("value")))
+
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.struct(F.lit("").alias("name"), x.alias("value")))
+        children = F.coalesce(let(F.try_variant_get(v, "$", "map<string,variant>"), of_object), items)
+        texts = F.transform(children, lambda c: F.concat(c["name"], F.coalesce(let(c["value"], lambda x: canon(x, left - 1)), F.lit("null"))))
+        nested = lambda t: F.concat(F.substring(t, 1, 1), F.array_join(texts, ","), F.substring(t, -1, 1))
+        return let(F.to_json(v), lambda t: F.when(t.rlike(r"^[\[{]"), nested(t)).otherwise(t))
+
+    parsed = F.try_parse_json(json)
+    return F.sha2(F.coalesce(F.when(parsed.isNotNull(), let(parsed, lambda v: canon(v, depth))), json), 256)
+
+
 def struct_hash(payload: Column) -> Column:
     """SHA-256 of a struct's JSON; null fields are left out of it."""
     return F.sha2(F.to_json(payload), 256)
@@ -26,9 +56,10 @@ def snapshot_merge(new: DataFrame, old: DataFrame, key: str, today: Column) -> D
 
     ``new`` has key, payload and content_hash; ``old`` also has first_observed,
     last_verified, last_changed and disappeared.  What is no longer listed keeps
-    its row and gets a date of disappearance; what reappears loses that date.
+    its row and gets a date of disappearance; what reappears loses that date.  Keys are
+    unique on both sides; rows with a null key are no listings and take no part.
     """
-    n, o = new.alias("n"), old.alias("o")
+    n, o = new.where(F.col(key).isNotNull()).alias("n"), old.where(F.col(key).isNotNull()).alias("o")
     m = n.join(o, F.col(f"n.{key}") == F.col(f"o.{key}"), "full_outer")
     is_new, gone = F.col(f"o.{key}").isNull(), F.col(f"n.{key}").isNull()
     same = F.col("n.content_hash") == F.col("o.content_hash")

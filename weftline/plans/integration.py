@@ -9,6 +9,8 @@ from ..operators import observe as O
 from ..operators import quality as Q
 from ..operators import slugs as S
 from ..operators import windows as Wn
+from ..operators.history import merge_snapshot, read_history
+from ..operators.lineage import scratch
 from .registry import read, registrar
 
 QUERIES: dict = {}
@@ -38,6 +40,44 @@ def snapshot_merge(spark, d):
     return O.snapshot_merge(new, old, "id", F.lit("2026-02-01")).drop("payload")
 
 
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS source, o_orderstatus AS payload, o_custkey AS c FROM orders WHERE o_orderpriority IS NOT NULL),
+first AS (SELECT * FROM o WHERE id % 10 <> 4),
+second AS (SELECT id, source, payload, CASE WHEN id % 7 = 0 THEN c + 1 ELSE c END AS c FROM o WHERE source = '1-URGENT' AND id % 10 <> 3),
+third AS (SELECT id, c + 2 AS c FROM o WHERE id % 100 = 5),
+a AS (SELECT coalesce(first.id, second.id) AS id, coalesce(first.source, second.source) AS source, coalesce(second.c, first.c) AS c,
+  CASE WHEN first.id IS NULL THEN '2026-02-01' ELSE '2026-01-01' END AS first_observed,
+  CASE WHEN second.id IS NULL THEN '2026-01-01' ELSE '2026-02-01' END AS last_verified,
+  CASE WHEN second.id IS NULL OR second.c = first.c THEN '2026-01-01' ELSE '2026-02-01' END AS last_changed,
+  CASE WHEN second.id IS NULL AND coalesce(first.source, second.source) = '1-URGENT' THEN '2026-02-01' END AS disappeared
+  FROM first FULL JOIN second USING (id))
+SELECT a.id, a.source, a.first_observed, CASE WHEN third.id IS NULL THEN a.last_verified ELSE '2026-03-01' END AS last_verified,
+  CASE WHEN third.id IS NULL OR third.c = a.c THEN a.last_changed ELSE '2026-03-01' END AS last_changed, CASE WHEN third.id IS NULL THEN a.disappeared END AS disappeared
+FROM a LEFT JOIN third USING (id)
+""")
+def history_merge(spark, d):
+    """Three snapshots merged in place: all sources, one source as a whole, and single listings of several."""
+    o = read(spark, d, "orders").where("o_orderpriority is not null").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("payload"), F.col("o_custkey").alias("c"))
+    hashed = lambda rows, c: rows.select("id", "source", "payload", O.content_hash(c).alias("content_hash"))
+    path = scratch(spark, "history")
+    merge_snapshot(path, hashed(o.where("id % 10 <> 4"), F.col("c")), F.lit("2026-01-01"), buckets=8)
+    merge_snapshot(path, hashed(o.where("source = '1-URGENT' and id % 10 <> 3"), F.when(F.col("id") % 7 == 0, F.col("c") + 1).otherwise(F.col("c"))), F.lit("2026-02-01"), buckets=8)
+    known = read_history(spark, path).select("id")
+    merge_snapshot(path, hashed(o.where("id % 100 = 5").join(known, "id", "left_semi"), F.col("c") + 2), F.lit("2026-03-01"), buckets=8, whole=False)
+    return read_history(spark, path).select("id", "source", "first_observed", "last_verified", "last_changed", "disappeared")
+
+
+@query("""
+SELECT event_id, sha256('{"a":{"type":"' || event_type || '","value":' || (user_id % 5) || '},"list":[{"k":1,"x":' || (event_id % 3) || '},null],"props":' || json(props) || '}') AS nested_hash FROM events
+""")
+def nested_hash(spark, d):
+    """A payload's hash, however its keys are ordered, with absent and volatile fields left out."""
+    e = read(spark, d, "events")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    one = text('{"list": [{"x":', F.col("event_id") % 3, ', "k": 1}, null], "fetched": "', F.col("ts"), '", "props": ', F.col("props"), ', "a": {"value": ', F.col("user_id") % 5, ', "none": null, "type": "', F.col("event_type"), '", "fetched": 7}}')
+    return e.select("event_id", O.nested_hash(one, volatile=("fetched",)).alias("nested_hash"))
+
+
 @query("""SELECT c_custkey, sha256(concat_ws(chr(31), c_name, c_nationkey::VARCHAR, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, c_mktsegment)) AS content_hash, left(sha256(c_name), 8) AS short_hash FROM customer""")
 def content_hash(spark, d):
     """A row's content hash over its fields in a fixed order."""

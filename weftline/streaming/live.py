@@ -5,24 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.observe import DAY, HOUR, snapshot_merge
 
 
-def merge_stream(stream: DataFrame, load: Callable[[int], DataFrame], save: Callable[[DataFrame, int], None], key: str = "id"):
+def merge_stream(stream: DataFrame, load: Callable[[int], DataFrame], save: Callable[[DataFrame, int], None], today: Callable[[DataFrame, int], Column], key: str = "id"):
     """A writer that merges every micro-batch of listings into the stored history.
 
     A micro-batch is one whole snapshot of its sources (one landed file a trigger): what
     it does not list has disappeared.  ``load`` reads the history as it was before a
     batch and ``save`` stores the merged one under the batch's number, so a batch that
     runs again, or a stream that starts again, reads and writes the same versions.
+    ``today`` gives a batch's date from what the batch itself says, never from the clock,
+    so that a batch that runs again writes the same dates.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        today = F.date_format(F.current_timestamp(), "yyyy-MM-dd")
-        save(snapshot_merge(batch, load(number), key, today).drop("change"), number)
+        save(snapshot_merge(batch, load(number), key, today(batch, number)).drop("change"), number)
 
     return stream.writeStream.foreachBatch(merge)
 

@@ -207,8 +207,6 @@ def test_ties_and_thresholds(spark):
     assert {r.k: r.m for r in A.mode_tie(df, ["k"], "v", "m").collect()} == {1: "b", 2: "c"}
     loc = spark.createDataFrame([(1, 1, ("district", "", "d", "c")), (1, 2, ("street", "x", "", "")), (1, 3, ("street", "x", "", ""))], "k int, o int, location struct<addressPrecision:string,address:string,district:string,city:string>")
     assert A.best_location(loc, "k", "o").first().location.addressPrecision == "street"
-    m = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)], "v double")
-    assert m.agg(A.half_up_median(F.col("v"))).first()[0] == 3
 
 
 def test_joins(spark):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_median
+
 
 def mode_tie(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """The most frequent value of each key; ties go to the larger label."""
@@ -33,24 +35,26 @@ def facet_rollup(df: DataFrame, levels: list[str], least: list[int], open_flag:
     return grouped.where(keep).withColumn("level", level).drop("__g")
 
 
-def half_up_median(value: Column) -> Column:
-    """Median, rounded half up to a whole number."""
-    return F.floor(F.median(value) + 0.5).cast("long")
-
-
 def price_facts(df: DataFrame, keys: list[str], price: str, is_free: Column, is_current: Column) -> DataFrame:
-    """Counts of free, priced and unpriced current rows, with least, median and most price."""
+    """Counts of free, priced and unpriced current rows, with least, median and most price.
+
+    The median is exact, rounded half up, and no task gathers a group for it.
+    """
     priced = is_current & ~is_free & F.col(price).isNotNull()
     p = F.when(priced, F.col(price))
-    return df.groupBy(*keys).agg(
+    facts = df.groupBy(*keys).agg(
         F.count_if(is_current).alias("n_current"),
         F.count_if(is_current & is_free).alias("n_free"),
         F.count_if(priced).alias("n_priced"),
         (F.count_if(is_current) - F.count_if(is_current & is_free) - F.count_if(priced)).alias("n_unpriced"),
         F.min(p).alias("min_price"),
         F.max(p).alias("max_price"),
-        half_up_median(p).alias("median_price"),
     )
+    middle = exact_median(df, keys, p, "__median").select(*[F.col(k).alias(f"__m_{k}") for k in keys], F.floor(F.col("__median") + 0.5).cast("long").alias("median_price"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__m_{k}"))
+    return facts.join(middle, same, "left").drop(*[f"__m_{k}" for k in keys])
 
 
 def collapse(df: DataFrame, keys: list[str], order: str, first: list[str], sets: list[str], largest: list[str]) -> DataFrame:

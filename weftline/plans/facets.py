@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import windows as Wn
+from ..operators.files import file_numbers
 from ..operators.scan import running
 from .registry import read, registrar
 
@@ -154,6 +155,21 @@ def chunk_index(spark, d):
     return c.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.max("day").alias("lastmod"))
 
 
+@query("""
+WITH RECURSIVE c AS (SELECT c_custkey AS k, length(c_name) + (c_custkey % 37) * 3 AS bytes FROM customer),
+r AS (SELECT k, bytes, row_number() OVER (ORDER BY k) AS nth, sum(bytes) OVER (ORDER BY k)::BIGINT AS upto FROM c),
+j AS MATERIALIZED (SELECT nth, greatest(least(max(nth) OVER (ORDER BY upto RANGE BETWEEN UNBOUNDED PRECEDING AND 2000 - bytes FOLLOWING) + 1, nth + 30), nth + 1) AS next FROM r),
+s AS (SELECT 1::BIGINT AS nth UNION ALL SELECT j.next FROM s JOIN j USING (nth) WHERE j.next <= (SELECT max(nth) FROM r)),
+f AS (SELECT r.*, count(s.nth) OVER (ORDER BY r.nth) AS file FROM r LEFT JOIN s USING (nth))
+SELECT file, count(*) AS n, sum(bytes)::BIGINT AS bytes, min(k) AS first_key, max(k) AS last_key FROM f GROUP BY file
+""")
+def file_limits(spark, d):
+    """Files of at most 30 rows and 2,000 bytes in key order; both limits bind."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.length("c_name") + (F.col("c_custkey") % 37) * 3).cast("long").alias("bytes"))
+    rows = file_numbers(c, [F.col("k")], F.col("bytes"), 30, 2000)
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("k").alias("first_key"), F.max("k").alias("last_key"))
+
+
 @query("""
 SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal > 0) AS n_open FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1 HAVING count(*) >= 8
 """)

@@ -11,6 +11,7 @@ from ..operators import slugs as S
 from ..operators import windows as Wn
 from ..operators.history import merge_snapshot, read_history
 from ..operators.lineage import scratch
+from ..operators.paths import project_paths
 from .registry import read, registrar
 
 QUERIES: dict = {}
@@ -78,6 +79,35 @@ def nested_hash(spark, d):
     return e.select("event_id", O.nested_hash(one, volatile=("fetched",)).alias("nested_hash"))
 
 
+@query("""
+WITH m AS (SELECT l_orderkey AS k, l_returnflag AS source, concat_ws('|', l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d'), CAST(l_quantity AS BIGINT)) AS r, l_discount AS conf,
+  CASE WHEN l_linenumber % 3 <> 0 THEN strftime(l_shipdate, '%Y-%m-%d') END AS s, CASE WHEN l_linenumber % 4 <> 1 THEN strftime(l_shipdate + INTERVAL 20 DAY, '%Y-%m-%d') END AS e,
+  CASE WHEN l_quantity > 10 THEN l_quantity END AS price, CASE WHEN l_linestatus = 'O' THEN '' ELSE l_linestatus END AS city FROM lineitem),
+w AS (SELECT *, -conf AS c1, CASE source WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c2 FROM m),
+s AS (SELECT k, s, source FROM w WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY c1, c2, source, r) = 1),
+e AS (SELECT w.k, w.e, w.source FROM w LEFT JOIN s ON w.k = s.k WHERE w.e IS NOT NULL AND (s.s IS NULL OR w.e >= s.s) QUALIFY row_number() OVER (PARTITION BY w.k ORDER BY c1, c2, w.source, r) = 1),
+p AS (SELECT k, price, source FROM w WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY c1, c2, source, r) = 1),
+t AS (SELECT k, city, source FROM w WHERE city <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY c1, c2, source, r) = 1),
+lost AS (SELECT k, count(DISTINCT price) - 1 AS n FROM w WHERE price IS NOT NULL GROUP BY 1)
+SELECT o.k AS l_orderkey, s.s AS starts, e.e AS ends, p.price AS price, t.city AS city, s.source AS starts_from, e.source AS ends_from, p.source AS price_from, CASE WHEN lost.n > 0 THEN lost.n END AS prices_lost
+FROM (SELECT DISTINCT k FROM w) o LEFT JOIN s ON s.k = o.k LEFT JOIN e ON e.k = o.k LEFT JOIN p ON p.k = o.k LEFT JOIN t ON t.k = o.k LEFT JOIN lost ON lost.k = o.k
+WHERE s.s IS NOT NULL OR e.e IS NOT NULL OR p.price IS NOT NULL OR t.city IS NOT NULL
+""")
+def nested_projection(spark, d):
+    """One nested payload an order from JSON of its lines: the best value of each path, spans never inverted."""
+    l, day = read(spark, d, "lineitem"), lambda c: F.date_format(c, "yyyy-MM-dd")
+    n = F.col("l_linenumber")
+    schedule = F.struct(F.when(n % 3 != 0, day("l_shipdate")).alias("startDate"), F.when(n % 4 != 1, day(F.date_add("l_shipdate", 20))).alias("endDate"))
+    json = F.to_json(F.struct(schedule.alias("schedule"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("price"), F.struct(F.when(F.col("l_linestatus") == "O", "").otherwise(F.col("l_linestatus")).alias("city")).alias("place")))
+    kind = "schedule struct<startDate:string,endDate:string>, price double, place struct<city:string>"
+    rank = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    record = F.concat_ws("|", n.cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), day("l_shipdate"), F.col("l_quantity").cast("long").cast("string"))
+    members = l.select("l_orderkey", F.col("l_returnflag").alias("source"), record.alias("record"), F.col("l_discount").alias("confidence"), rank.alias("priority"), F.from_json(json, kind).alias("payload"))
+    best = project_paths(members, "l_orderkey", "payload", "source", "record", "confidence", "priority", spans=[("schedule.startDate", "schedule.endDate")])
+    p, of = F.col("payload"), lambda path: F.element_at("sources", path)
+    return best.select("l_orderkey", p["schedule"]["startDate"].alias("starts"), p["schedule"]["endDate"].alias("ends"), p["price"].alias("price"), p["place"]["city"].alias("city"), of("schedule.startDate").alias("starts_from"), of("schedule.endDate").alias("ends_from"), of("price").alias("price_from"), F.element_at("lost", "price").alias("prices_lost"))
+
+
 @query("""SELECT c_custkey, sha256(concat_ws(chr(31), c_name, c_nationkey::VARCHAR, CAST(c_acctbal AS DECIMAL(18,2))::VARCHAR, c_mktsegment)) AS content_hash, left(sha256(c_name), 8) AS short_hash FROM customer""")
 def content_hash(spark, d):
     """A row's content hash over its fields in a fixed order."""

@@ -58,5 +58,19 @@ def test_document_problems(spark):
     for r in P.course_ld_problems(df, "id", "j").collect():
         got.setdefault(r.id, set()).add(r.problem)
     assert got.get(1) is None and got[2] == {"long description", "no provider", "availability", "price is no number", "price without currency", "day", "start date", "frequency", "coordinates"} and got[3] == {"provider without a name"}
+    typed = [{"offers": {"price": "100", "priceCurrency": "TWD"}}, {"hasCourseInstance": {"offers": {"availability": "maybe"}}}, {"offers": {"price": True, "priceCurrency": "TWD"}}, {"offers": {"price": 1.5e3, "priceCurrency": "TWD"}}]
+    df = spark.createDataFrame([(k, json.dumps({"provider": {"name": "a"}} | x)) for k, x in enumerate(typed)], "id long, j string")
+    assert {(r.id, r.problem) for r in P.course_ld_problems(df, "id", "j").collect()} == {(0, "price is no number"), (1, "availability"), (2, "price is no number")}
+    trail = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 3), ("c", None), ("d", 1), ("d", 1)], "l string, position int")
+    assert {r.l for r in P.crumb_ld_problems(trail, "l").collect()} == {"b", "c", "d"}
     items = spark.createDataFrame([("a", 1, "u"), ("a", 2, "v"), ("a", 3, "w"), ("b", 1, "u"), ("b", 3, "u"), ("c", 1, None), ("c", 2, "u"), ("c", 3, "v")], "l string, position int, url string")
     assert {(r.l, r.problem) for r in P.list_ld_problems(items, "l").collect()} == {("b", "too short"), ("b", "positions"), ("b", "repeated address"), ("c", "no address")}
+
+
+def test_main_venues(spark):
+    rows = [("A", 1, True)] * 3 + [("A", 2, True)] * 1 + [("B", 1, True)] * 1 + [("B", 3, False)] * 2 + [("C", 4, False)] * 2 + [(None, 4, True)] * 2 + [("D", 5, True), ("D", 6, True), ("E", None, True)]
+    df = spark.createDataFrame(rows, "c string, v int, now boolean")
+    every = df.select(F.col("v").alias("venue"))
+    got = {(r.college, r.venue, r.n, r.share) for r in P.main_venues(df, "c", "v", F.col("now"), every).collect()}
+    assert got == {("A", 1, 3, 0.75), ("D", 5, 1, 1.0)}  # C has half of its venue, B's current one belongs to A
+    assert P.main_venues(df, "c", "v", F.col("now"), every.where("venue > 1")).where("college = 'A'").count() == 0

@@ -55,6 +55,28 @@ def college_hubs(df: DataFrame, provider: str, city: str, current: Column, open_
     return hubs.select(F.when(twice, F.concat("at", "name")).otherwise(F.col("name")).alias("name"), F.col("at").alias("city"), "n", "n_current", "n_open")
 
 
+MAIN_SHARE = 0.6
+
+
+def main_venues(df: DataFrame, college: str, venue: str, current: Column, indexed: DataFrame, share: float = MAIN_SHARE) -> DataFrame:
+    """(college, venue, n, share): the venue where a college teaches most, if most of what it shows is the college's.
+
+    Current listings count, or all of them where none is current and placed; of equals the
+    smaller venue.  ``share`` is the college's part of all the venue's listings; a venue
+    below it, or not among ``indexed`` (venue), is nobody's main one, so no venue is the
+    main one of two colleges.
+    """
+    rows = df.where(F.col(venue).isNotNull()).select(F.col(college).alias("college"), F.col(venue).alias("venue"), F.coalesce(current, F.lit(False)).cast("long").alias("now"))
+    counts = rows.groupBy("college", "venue").agg(F.sum("now").alias("now"), F.count(F.lit(1)).alias("n"))
+    size = counts.groupBy("venue").agg(F.sum("n").alias("of"))
+    named = counts.where("college is not null")
+    best = named.groupBy("college").agg(F.max("now").alias("top_now"), F.max("n").alias("top_n"))
+    first = named.join(best, "college").where(F.when(F.col("top_now") > 0, F.col("now") == F.col("top_now")).otherwise(F.col("n") == F.col("top_n")))
+    first = first.groupBy("college").agg(F.min_by(F.struct("venue", "n"), "venue").alias("v")).select("college", "v.venue", "v.n")
+    out = first.join(size, "venue").withColumn("share", F.col("n") / F.col("of")).where(F.col("share") >= share)
+    return out.join(indexed.select("venue").distinct(), "venue", "left_semi").select("college", "venue", "n", "share")
+
+
 def crumbs(section: str | None, *levels: tuple[Column, Column | None]) -> Column:
     """Array of (name, href) from the home page down; levels without a name are left out, the last has no address."""
     item = lambda n, h: F.struct(n.alias("name"), h.alias("href"))
@@ -97,36 +119,56 @@ def sitemap_problems(entries: DataFrame, pages: DataFrame, site: str, most: int
     return rows.unionByName(long).unionByName(missing)
 
 
-#: What course documents hold, as far as it is checked.
+#: What course documents hold, as far as it is checked; a price keeps the type it is written with.
+_OFFER = "struct<availability:string,price:variant,priceCurrency:string>"
 COURSE_LD = (
-    "description string, provider struct<name:string>, offers struct<availability:string,price:string,priceCurrency:string>, "
-    "hasCourseInstance struct<courseSchedule:struct<byDay:array<string>,startDate:string,repeatFrequency:string>,location:struct<geo:struct<latitude:double,longitude:double>>>"
+    f"description string, provider struct<name:string>, offers {_OFFER}, "
+    f"hasCourseInstance struct<offers:{_OFFER},courseSchedule:struct<byDay:array<string>,startDate:string,repeatFrequency:string>,location:struct<geo:struct<latitude:double,longitude:double>>>"
 )
 
 
 def course_ld_problems(documents: DataFrame, id_col: str, json: str) -> DataFrame:
-    """(id, problem) of course documents: lengths, required names, enumerations, prices, dates, coordinates."""
+    """(id, problem) of course documents: lengths, required names, enumerations, prices, dates, coordinates.
+
+    Both the course's offer and its instance's are checked; a price written as text is no
+    number.  A problem that a document has twice is named once.
+    """
     d = documents.select(id_col, F.from_json(json, COURSE_LD).alias("d"))
-    o, s, geo = F.col("d.offers"), F.col("d.hasCourseInstance.courseSchedule"), F.col("d.hasCourseInstance.location.geo")
+    s, geo = F.col("d.hasCourseInstance.courseSchedule"), F.col("d.hasCourseInstance.location.geo")
     bad = lambda name, when: F.when(F.coalesce(when, F.lit(False)), F.lit(name))
     url = lambda names: [f"https://schema.org/{n}" for n in names]
-    found = F.array_compact(
+
+    def offer(o: Column) -> list[Column]:
+        numeric = F.schema_of_variant(o["price"]).rlike("(?i)^(bigint|tinyint|smallint|int|decimal|double|float)")
+        return [
+            bad("availability", ~o["availability"].isin(*url(AVAILABILITY))),
+            bad("price is no number", o["price"].isNotNull() & ~numeric),
+            bad("price without currency", o["price"].isNotNull() & (F.coalesce(o["priceCurrency"], F.lit("")) == "")),
+        ]
+
+    found = F.array_distinct(F.array_compact(
         F.array(
             bad("long description", F.length("d.description") > 300),
             bad("no provider", F.col("d.provider").isNull()),
             bad("provider without a name", F.col("d.provider").isNotNull() & (F.coalesce("d.provider.name", F.lit("")) == "")),
-            bad("availability", ~o["availability"].isin(*url(AVAILABILITY))),
-            bad("price is no number", o["price"].isNotNull() & o["price"].try_cast("double").isNull()),
-            bad("price without currency", o["price"].isNotNull() & (F.coalesce(o["priceCurrency"], F.lit("")) == "")),
+            *offer(F.col("d.offers")),
+            *offer(F.col("d.hasCourseInstance.offers")),
             bad("day", F.exists(s["byDay"], lambda x: ~x.isin(*url(DAYS)))),
             bad("start date", ~s["startDate"].rlike(r"^\d{4}-\d{2}-\d{2}")),
             bad("frequency", ~s["repeatFrequency"].startswith("P")),
             bad("coordinates", ~(geo["latitude"].between(20, 27) & geo["longitude"].between(118, 123))),
         )
-    )
+    ))
     return d.select(id_col, F.explode(found).alias("problem"))
 
 
+def crumb_ld_problems(items: DataFrame, list_col: str) -> DataFrame:
+    """(list, problem) of breadcrumbs (list, position): positions run from 1 without gaps or repeats."""
+    g = items.groupBy(list_col).agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.count_distinct("position").alias("places"))
+    wrong = (F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("places") != F.col("n"))
+    return g.where(F.coalesce(wrong, F.lit(True))).select(list_col, F.lit("positions").alias("problem"))
+
+
 def list_ld_problems(items: DataFrame, list_col: str, least: int = 3) -> DataFrame:
     """(list, problem) of item lists (list, position, url): length, gaps, missing and repeated addresses."""
     g = items.groupBy(list_col).agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("lo"), F.max("position").alias("hi"), F.count_distinct("position").alias("places"), F.count_if(F.coalesce(F.col("url"), F.lit("")) == "").alias("blank"), F.count_distinct("url").alias("urls"), F.count("url").alias("with_url"))

@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import facets, hubs, integration, matching, pages, sources, texts
+from . import facets, hubs, integration, matching, pages, reports, sources, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (facets, hubs, integration, matching, pages, sources, texts):
+for _module in (facets, hubs, integration, matching, pages, reports, sources, texts):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

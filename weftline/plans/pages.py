@@ -64,3 +64,35 @@ def sitemap_problems(spark, d):
     entries = o.where("k % 11 <> 0").select(F.floor(F.col("k") / 1000).alias("file"), loc.alias("loc"), told(17, "x", "2026-01-01").alias("lastmod"), told(19, "often", "daily").alias("changefreq"), told(23, "2", "0.5").alias("priority"))
     pages = o.where("k % 7 <> 0").select(F.concat(F.lit("o/"), name).alias("path"), (F.col("k") % 5 != 0).alias("indexed"))
     return P.sitemap_problems(entries, pages, "https://x.tw")
+
+
+@query("""
+WITH c AS (SELECT c_mktsegment || (c_custkey % 12) AS college, c_nationkey * 100 + c_custkey % 12 * (c_custkey % 5 > 0)::INTEGER AS venue, c_acctbal > 4000 AS now FROM customer),
+k AS (SELECT college, venue, count(*) AS n, count(*) FILTER (now) AS n_now FROM c GROUP BY 1, 2), s AS (SELECT venue, count(*) AS size FROM c GROUP BY 1),
+t AS (SELECT *, max(n_now) OVER (PARTITION BY college) AS top_now, max(n) OVER (PARTITION BY college) AS top FROM k),
+b AS (SELECT college, min(venue) AS venue FROM t WHERE CASE WHEN top_now > 0 THEN n_now = top_now ELSE n = top END GROUP BY 1)
+SELECT b.college, b.venue, k.n, round(k.n / s.size, 6) AS share FROM b JOIN k ON k.college = b.college AND k.venue = b.venue JOIN s ON s.venue = b.venue WHERE k.n / s.size >= 0.2 AND b.venue % 3 <> 0
+""")
+def main_venues(spark, d):
+    """The venue where a college teaches most, if it has enough of what the venue shows."""
+    k = F.col("c_custkey")
+    rows = read(spark, d, "customer").select(F.concat("c_mktsegment", (k % 12).cast("string")).alias("college"), (F.col("c_nationkey") * 100 + F.when(k % 5 > 0, k % 12).otherwise(0)).alias("venue"), (F.col("c_acctbal") > 4000).alias("now"))
+    found = P.main_venues(rows, "college", "venue", F.col("now"), rows.where("venue % 3 <> 0").select("venue"), share=0.2)
+    return found.withColumn("share", F.round("share", 6))
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k FROM orders)
+SELECT k, 'price is no number' AS problem FROM o WHERE k % 3 = 0 OR k % 7 = 0 UNION ALL SELECT k, 'price without currency' FROM o WHERE k % 5 = 0
+UNION ALL SELECT k, 'availability' FROM o WHERE k % 11 = 0 UNION ALL SELECT k, 'provider without a name' FROM o WHERE k % 13 = 0 UNION ALL SELECT k, 'coordinates' FROM o WHERE k % 17 = 0
+""")
+def document_checks(spark, d):
+    """Problems of course documents: prices written as text, offers of the instance, coordinates."""
+    k = F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    price = F.when(k % 3 == 0, '"100"').otherwise((k % 90).cast("string"))
+    offer = text('{"price":', price, F.when(k % 5 == 0, "").otherwise(',"priceCurrency":"TWD"'), ',"availability":"https://schema.org/InStock"}')
+    inner = text('{"price":', F.when(k % 7 == 0, '"free"').otherwise("1.5"), ',"priceCurrency":"TWD","availability":"', F.when(k % 11 == 0, "soon").otherwise("https://schema.org/InStock"), '"}')
+    where = text('{"geo":{"latitude":', F.when(k % 17 == 0, "2").otherwise("24.5"), ',"longitude":121}}')
+    json = text('{"provider":{"name":"', F.when(k % 13 == 0, "").otherwise("x"), '"},"offers":', offer, ',"hasCourseInstance":{"offers":', inner, ',"location":', where, "}}")
+    return P.course_ld_problems(read(spark, d, "orders").select(k.alias("k"), json.alias("json")), "k", "json")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.lineage import scratch
 from ..sources import normalize as N
+from ..sources.landed import observed
 from .registry import read, registrar
 
 QUERIES: dict = {}
@@ -223,3 +225,32 @@ def source_city_sports_centers(spark, d):
     s, k = read(spark, d, "supplier"), F.col("s_suppkey")
     raw = s.select(k.alias("at"), F.concat(F.lit("c"), F.col("s_nationkey").cast("string")).alias("名稱"), _pick(k, "臺北市信義區1號", "別處").alias("地址"), _pick(k, "25.03", "0", "25.03").alias("緯度"), _pick(k, "121.5", "0", "").alias("經度"), F.lit("").alias("電話"), F.lit("").alias("網址"))
     return _flat(N.city_sports_centers(raw, AT, "at"), district="district", lat="lat", lng="lng")
+
+
+@query(f"""
+WITH {_O}
+SELECT 'l:' || id AS record, o_orderpriority AS title, 'day' || year(o_orderdate) AS landed, CASE WHEN k % 4 = 0 THEN 'cancelled' ELSE 'open' END AS status, CASE WHEN k % 5 <> 4 THEN 20 - k % 15 END AS available FROM o WHERE year(o_orderdate) >= 1996
+""")
+def landed_source(spark, d):
+    """Records landed as JSON lines by day, read back by the data source from some days on, and mapped."""
+    o, k = _orders(spark, d), F.col("k")
+    raw = o.select(
+        F.concat(F.lit("day"), F.year("o_orderdate").cast("string")).alias("day"), F.col("id").alias("courseId"), F.col("o_orderpriority").alias("courseName"), F.lit("l").alias("_semester"), F.concat(F.lit("day"), F.year("o_orderdate").cast("string")).alias("school"),
+        F.when(k % 4 == 0, "停開").otherwise("公布").alias("statusText"), F.when(k % 5 != 4, 20).alias("capacity"), (k % 15).cast("string").alias("enrolled"), F.lit("星期一").alias("timeText"),
+    )
+    root = scratch(spark, "landed")
+    raw.repartition("day").write.partitionBy("day").json(f"{root}/raw")
+    _by_day(spark, f"{root}/raw", f"{root}/hualien-cc")
+    found = observed(spark, root, "hualien-cc", AT, since="day1996")
+    return _flat(found, title="title", landed="provider.nameRaw", status="enrollment.status", available="enrollment.available")
+
+
+def _by_day(spark, made: str, where: str) -> None:
+    """Partition folders "day=x" renamed to the layout of landed files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(made).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(where))
+    for s in fs.listStatus(path(made)):
+        name = s.getPath().getName()
+        if name.startswith("day="):
+            fs.rename(s.getPath(), path(f"{where}/{name[4:]}"))

@@ -60,3 +60,15 @@ def test_repeated_rows_and_clashing_names(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, domain string, lang string, source string, n_tokens long")
     assert m.mix_sources(df).count() == 0
+
+
+def test_rows_of_one_id_are_counted_before_they_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(m, "SLICE", 8)
+    rows = [(None, "a", "x", "s", t) for t in [3] * 40 + [2] * 25 + [0] * 9] + [(5, "a", "x", "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, domain string, lang string, source string, n_tokens long")
+    mixed = m.mix_sources(df, fraction=(1, 2), max_epochs=1)
+    got = mixed.toPandas()
+    total = 40 * 3 + 25 * 2 + 4
+    assert total // 2 - 4 < got.n_tokens.sum() <= total // 2
+    assert (got.n_tokens == 0).sum() in (0, 9)
+    assert all(n <= {3: 40, 2: 25, 0: 9, 4: 1}[t] for t, n in got.n_tokens.value_counts().items())

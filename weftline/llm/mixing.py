@@ -19,7 +19,8 @@ are rounded down, which leaves at most one token a child unspent.
 A hot leaf is never sorted in one task: an epoch's order is by a hash, documents
 are counted by hash slices (as many slices as the leaf needs to hold about
 ``SLICE`` documents each), sums run over slices, and only the one slice in which
-the budget ends is ordered by row.
+the budget ends is ordered by row.  There, rows equal in id and length count as one,
+so rows that all have one id (or none) are no hot group either.
 
 Edge cases: null level values are a value of their own; a null or empty text has
 no tokens and is kept whenever its place in the order lies in the prefix; a
@@ -148,16 +149,34 @@ def mix_sources(
     part = part.withColumnRenamed("epochs", "epoch")
     sums = part.groupBy(*levels, "slice").agg(F.sum("__t").alias("t"), F.first("rest").alias("rest"))
     run = W.partitionBy(*levels).orderBy("slice").rowsBetween(W.unboundedPreceding, 0)
-    upto = sums.withColumn("upto", F.sum("t").over(run)).select(*[F.col(k).alias(f"s_{k}") for k in levels], F.col("slice").alias("s_slice"), "upto", (F.col("upto") - F.col("t")).alias("before"))
-    placed = part.join(upto, _same(levels, "s_") & (F.col("slice") == F.col("s_slice"))).drop(*[f"s_{k}" for k in levels], "s_slice")
-    inside = placed.where("upto <= rest")
-    edge = placed.where("before <= rest and upto > rest")
-    rows = W.partitionBy(*levels, "slice").orderBy("order", "__id", "__t").rowsBetween(W.unboundedPreceding, 0)
-    edge = edge.withColumn("at", F.col("before") + F.sum("__t").over(rows)).where("at <= rest")
+    passed = sums.withColumn("upto", F.sum("t").over(run)).where("upto > rest")
+    ends = passed.groupBy(*[F.col(k).alias(f"s_{k}") for k in levels]).agg(F.min(F.struct(F.col("slice"), (F.col("upto") - F.col("t")).alias("before"))).alias("end"))
+    placed = part.join(cut(ends, "ends"), _same(levels, "s_"), "left").drop(*[f"s_{k}" for k in levels])
+    inside = placed.where("end is null or slice < end.slice")
+    edge = _prefix(placed.where("slice = end.slice"), levels)
     cols = [*levels, F.col("__id").alias(id_col), F.col("__t").alias(tokens_col), F.col("epoch").cast("int").alias("epoch")]
     return full.select(*cols).unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
 
 
+def _prefix(edge: DataFrame, levels: tuple[str, ...]) -> DataFrame:
+    """The rows of each leaf's last slice that its budget still holds, in the slice's order.
+
+    Rows that are equal in leaf, id and length are counted before they are ordered, so very
+    many of them are one row of the window; as many as fit are then written out again, in
+    chunks that are dealt out over the tasks.
+    """
+    same = edge.groupBy(*levels, "order", "__id", "__t", "epoch").agg(F.count(F.lit(1)).alias("many"), F.first("end.before").alias("before"), F.first("rest").alias("rest"))
+    each = F.coalesce(F.col("__t"), F.lit(0))
+    rows = W.partitionBy(*levels).orderBy("order", F.col("__id").asc_nulls_first(), F.col("__t").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    room = F.col("rest") - F.col("before") - (F.sum(each * F.col("many")).over(rows) - each * F.col("many"))
+    fit = F.when(F.col("room") < 0, 0).when(each == 0, F.col("many")).otherwise(F.least("many", F.floor(F.col("room") / each)))
+    taken = same.withColumn("room", room).withColumn("fit", fit.cast("long")).where("fit > 0").select(*levels, "__id", "__t", "epoch", "fit")
+    chunks = taken.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("fit") - 1) / SLICE))))
+    dealt = chunks.repartition(*levels, "__id", "__t", "chunk")
+    here = F.least(F.lit(SLICE).cast("long"), F.col("fit") - F.col("chunk") * SLICE)
+    return dealt.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), here))).drop("__n", "fit", "chunk")
+
+
 def _same(levels: tuple[str, ...], prefix: str) -> Column:
     on = F.lit(True)
     for k in levels:

@@ -139,6 +139,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(r.text for r in got) == ["", "same line here\nother", "same line here\nother"]
 
 
+def test_rows_without_id_lose_lines_each_by_its_own_text(spark):
+    own = [f"a line that only text {k} holds, with some more words" for k in range(300)]
+    rows = [(None, f"{x}\nshared by all of them, and long enough") for x in own] + [(None, "one more first\nanother second")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = m.removals(df.union(spark.createDataFrame([(7, own[3])], df.schema)), "text", "doc_id")
+    assert [(r.doc_id, len(r.gone)) for r in gone.collect()] == [(7, 1)]  # without an id, the same place is the same line
+    late = spark.createDataFrame([(None, f"{x}\n{own[0]}") for x in own[1:]] + [(None, own[0])], "doc_id long, text string")
+    gone = m.removals(late, "text", "doc_id").collect()
+    assert max(len(r.gone) for r in gone) == 1 and len(gone) == 299
+
+
 def test_pairs_just_similar_enough_share_a_band():
     rng = random.Random(12)
     pairs = []

@@ -28,7 +28,8 @@ Lines shorter than one shingle are their own shingle, so only equal ones link.
 Only lines that take part in a comparison have their text fetched.  The id filters
 that are broadcast are sized by what they hold, up to 16 MB; beyond that they let more
 rows pass to the join behind them.  Very frequent lines, heads and components are
-spread over partitions.
+spread over partitions.  A document's removed lines are gathered by id and hash of its
+text, so many rows with one id (or none) do not meet in one row.
 
 Edge cases: a null text stays null, an empty one empty; texts and lines of any length
 are taken whole.  Rows with equal ids (repeated rows) count as one document and lose
@@ -144,7 +145,7 @@ def _hashes(text: str | None) -> list[tuple[int, str]]:
     return [(k, x) for k, line in enumerate((text or "").split("\n")) if (x := normal(line))]
 
 
-_LINES = "doc_id long, line int, h long, sig binary"
+_LINES = "doc_id long, row long, line int, h long, sig binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,19 +169,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has[signed] = True
         ends = np.concatenate([[0], np.cumsum(has * _BYTES)]).astype(np.int32)
         sig = pa.Array.from_buffers(pa.binary(), len(texts), [pa.py_buffer(np.packbits(has, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), sig], names=["doc_id", "line", "h", "sig"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), sig], names=["doc_id", "row", "line", "h", "sig"])
 
-    ids, places, texts, size = [], [], [], 0
+    ids, rows, places, texts, size = [], [], [], [], 0
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for i, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             for k, x in _hashes(text.as_py()):
                 ids.append(i)
+                rows.append(row)
                 places.append(k)
                 texts.append(x)
                 size += len(x)
                 if size >= RUN_CHARS:
                     yield flush()
-                    ids, places, texts, size = [], [], [], 0
+                    ids, rows, places, texts, size = [], [], [], [], 0
     if texts:
         yield flush()
 
@@ -466,8 +468,9 @@ def line_components(docs: DataFrame, lines: DataFrame, distinct: DataFrame, text
 
 
 def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(doc_id, gone): for each document that loses lines, array of (line, h)."""
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    """(doc_id, row, gone): for each text (hashed as ``row``) of a document that loses lines, array of (line, h)."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long"), F.xxhash64(text), text)
     lines = cut(rows.mapInArrow(_signed, _LINES), "lines")
     place = F.struct(F.col("doc_id").alias("doc"), F.col("line").alias("line"))
     distinct = cut(lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
@@ -476,9 +479,9 @@ def removals(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     label = cut(label, "label")
     kept = cut(label.where("component is not null").groupBy("component").agg(F.min("first").alias("keep"), F.count(F.lit(1)).alias("many")), "kept")
     label = cut(spread_join(label, kept.drop("many"), "component", hot_keys(kept, "component", "many"), ["h"], "left").select("h", "n", F.coalesce("keep", "first").alias("keep")), "keep")
-    seen = spread_join(lines.select("doc_id", "line", "h"), label.drop("n"), "h", hot_keys(label, "h"), ["doc_id", "line"])
+    seen = spread_join(lines.select("doc_id", "row", "line", "h"), label.drop("n"), "h", hot_keys(label, "h"), ["doc_id", "line"])
     gone = seen.where(~(F.col("doc_id").eqNullSafe(F.col("keep.doc")) & (F.col("line") == F.col("keep.line"))))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h")).alias("gone"))
+    return gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("line", "h")).alias("gone"))
 
 
 _LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
@@ -486,8 +489,9 @@ _LEFT = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_li
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """``docs`` with the text that is left and how many (not blank) lines there were and are removed."""
-    gone = removals(docs, text_col, id_col).select(F.col("doc_id").alias("__dedup_id"), F.col("gone").alias("__dedup_gone"))
-    rows = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__dedup_id")), "left").drop("__dedup_id")
+    gone = removals(docs, text_col, id_col).select(F.col("doc_id").alias("__dedup_id"), F.col("row").alias("__dedup_row"), F.col("gone").alias("__dedup_gone"))
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("__dedup_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__dedup_row"))
+    rows = docs.join(gone, own, "left").drop("__dedup_id", "__dedup_row")
 
     @F.arrow_udf(_LEFT)
     def left(texts: pa.Array, gone: pa.Array) -> pa.Array:

@@ -369,16 +369,21 @@ def _run_sets(lines: list[str], size: int) -> Iterator[np.ndarray]:
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += text[k : k + n]
     h = hashing.mix(h)
-    at = 0
-    for x in lines:
+    ends = np.cumsum([len(x) for x in lines])
+    for e, x in zip(ends, lines, strict=True):
+        h[e - len(x) : max(e - len(x), e - size + 1)].sort()
+    new = np.ones(n, bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    for e, x in zip(ends, lines, strict=True):
+        at = e - len(x)
         if len(x) < size:  # its own shingle, told apart by its length
             short = np.uint64(len(x))
-            for c in text[at : at + len(x)]:
+            for c in text[at:e]:
                 short = np.uint64((int(short) * 0x9E3779B97F4A7C15 + int(c)) % 2**64)
             yield hashing.mix(np.array([short]))
         else:
-            yield np.unique(h[at : at + len(x) - size + 1])
-        at += len(x)
+            new[at] = True
+            yield h[at : e - size + 1][new[at : e - size + 1]]
 
 
 def spanning_links(texts: list[str], side: np.ndarray, comp: np.ndarray, marks: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:

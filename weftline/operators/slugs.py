@@ -11,10 +11,10 @@ from .lineage import cut
 LENGTHS = (5, 6, 7, 8)
 
 
-def assign_slugs(items: DataFrame, ledger: DataFrame) -> DataFrame:
+def assign_slugs(items: DataFrame, ledger: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     """(id, slug, length) for items (id, base) that the ledger (id, slug) does not hold.
 
-    A slug is the base and the first 5 to 8 hex digits of a hash of the id.  Items
+    A slug is the base and the first hex digits (``lengths``) of a hash of the id.  Items
     are served in id order; one whose shortest slug is taken (ignoring case) by
     the ledger, or by an item before it at any length tried so far, tries the next
     length.  Items that run out of lengths stay without a slug.
@@ -22,7 +22,7 @@ def assign_slugs(items: DataFrame, ledger: DataFrame) -> DataFrame:
     todo = cut(items.join(ledger.select("id"), "id", "left_anti").withColumn("seed", F.sha2("id", 256)))
     taken = ledger.select(F.lower("slug").alias("folded")).distinct()
     done = None
-    for n in LENGTHS:
+    for n in lengths:
         made = todo.withColumn("slug", F.concat_ws("-", "base", F.substring("seed", 1, n))).withColumn("folded", F.lower("slug"))
         first = F.row_number().over(W.partitionBy("folded").orderBy("id"))
         free = cut(made.join(taken, "folded", "left_anti").withColumn("nth", first).where("nth = 1").select("id", "slug", "folded", F.lit(n).alias("length")))

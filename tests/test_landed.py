@@ -48,3 +48,33 @@ def test_a_schema_is_what_the_mapping_reads(spark, tmp_path):
     land(tmp_path, "taichung-cc", "2026-09-13", "a.json", json.dumps([{"courseId": 5, "courseName": "書法", "_semester": "114-1", "timeText": "星期三 晚上", "capacity": 20, "enrolled": 20, "statusText": "招生中", "extra": 1}]))
     got = L.observed(spark, f"file://{tmp_path}", "taichung-cc", AT, since="2026-09-13").collect()
     assert [(r._sourceRecordId, r.title, r.enrollment.status, r.schedule.slots[0].weekday) for r in got] == [("114-1:5", "書法", "full", 3)]
+
+
+def test_files_are_read_piece_by_piece(tmp_path):
+    import io
+
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            got = super().read(n)
+            self.most = max(self.most, len(got))
+            return got
+
+        read1 = read
+
+    rows = [{"x": k, "s": "臺" * (k % 50), "n": {"y": [k, None, "]}"]}} for k in range(20_000)]
+    lines = [json.dumps(r, ensure_ascii=False) for r in rows]
+    made = {"a.json": json.dumps(rows), "b.json": "\n".join(lines) + "\n", "c.json": " [" + ",\n ".join(lines) + "]\n", "d.ndjson": "\r\n".join(lines), "e.json": "[]", "f.json": " \n", "g.json": '{"x": 1}'}
+    for name, text in made.items():
+        f = Counted(("\ufeff" + text).encode())
+        assert L.encoding_of(f, "cp950") == "utf-8-sig"
+        f.seek(0)
+        assert list(L.records(f, name, "utf-8-sig")) == ([] if name in ("e.json", "f.json") else [{"x": 1}] if name == "g.json" else rows), name
+        assert f.most <= 4 * L.CHUNK
+    items = "<rss>" + "".join(f"<item id='{k}'><t>{'x' * (k % 900)}{k}</t></item>\n" for k in range(2000)) + "</rss>"
+    assert [r["t"].lstrip("x") for r in L.records(io.BytesIO(items.encode()), "a.rss", "utf-8-sig")] == [str(k) for k in range(2000)]
+    assert L.encoding_of(io.BytesIO("臺灣".encode("cp950")), "cp950") == "cp950" and L.encoding_of(io.BytesIO("臺".encode()[:2]), "cp950") == "cp950"
+    for bad in ("this is no JSON", '[{"x": 1}', '[{"x": 1} {"x": 2}]', '{"x": 1} {"x": 2}', '[{"x": 1},]', "[1] 2"):
+        with pytest.raises(json.JSONDecodeError):
+            list(L.records(io.BytesIO(bad.encode()), "a.json", "utf-8-sig"))

@@ -239,7 +239,7 @@ def landed_source(spark, d):
         F.when(k % 4 == 0, "停開").otherwise("公布").alias("statusText"), F.when(k % 5 != 4, 20).alias("capacity"), (k % 15).cast("string").alias("enrolled"), F.lit("星期一").alias("timeText"),
     )
     root = scratch(spark, "landed")
-    raw.repartition("day").write.partitionBy("day").json(f"{root}/raw")
+    raw.write.partitionBy("day").json(f"{root}/raw")
     _by_day(spark, f"{root}/raw", f"{root}/hualien-cc")
     found = observed(spark, root, "hualien-cc", AT, since="day1996")
     return _flat(found, title="title", landed="provider.nameRaw", status="enrollment.status", available="enrollment.available")

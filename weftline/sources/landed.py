@@ -2,8 +2,9 @@
 
     spark.read.format("weftline").schema(..).option("path", root).option("source", id).load()
 
-Files lie as ``<root>/<source>/<landed day>/<name>``, as JSON (an array), JSON lines, CSV
-(UTF-8, else the fallback encoding) or RSS by their ending.  Every record becomes a row of
+Files lie as ``<root>/<source>/<landed day>/<name>``, as JSON (an array, or values on lines),
+JSON lines, CSV (UTF-8, else the fallback encoding) or RSS by their ending.  They are read
+piece by piece, so a task holds a record and a batch, not a file.  Every record becomes a row of
 the schema's columns; fields it lacks are null, values that do not fit too.  Columns
 ``_file`` and ``_landed`` say where a row comes from.  The options ``since``, ``until``
 (days, both inclusive) and ``file`` leave out whole files before any is opened.  They are
@@ -17,6 +18,7 @@ by analysing the mapping on an empty table, so the two cannot drift apart.
 
 from __future__ import annotations
 
+import codecs
 import csv
 import inspect
 import io
@@ -24,6 +26,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO, TextIO
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -60,30 +63,117 @@ def _plain(x, kind: T.DataType):
         return None
 
 
-def records(raw: bytes, name: str, fallback: str) -> Iterator[dict]:
-    """The records of a file's bytes, by the file's ending; what is no record is left out."""
+CHUNK = 1 << 16
+
+
+def _json_values(f: TextIO) -> Iterator:
+    """The values of a JSON text that is read piece by piece: one, or one after the other on lines; arrays give their elements."""
+    decoder, text, at, ended = json.JSONDecoder(), "", 0, False
+
+    def more() -> None:
+        nonlocal text, at, ended
+        # as much again as is left, so that a long value is read a few times only
+        new = f.read(max(CHUNK, len(text) - at))
+        text, at, ended = text[at:] + new, 0, not new
+
+    def blank() -> str:
+        """White space up to the next character, which stays unread; none of it is left at the end."""
+        nonlocal at
+        passed = ""
+        while True:
+            m = _BLANK.match(text, at)
+            passed += m[0]
+            at = m.end()
+            if at < len(text) or ended:
+                return passed
+            more()
+
+    def value():
+        nonlocal at
+        while True:
+            try:
+                found, end = decoder.raw_decode(text, at)
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            else:
+                if end < len(text) or ended:  # a number may go on
+                    at = end
+                    return found
+            more()
+
+    def expect(chars: str) -> str:
+        nonlocal at
+        blank()
+        c = text[at : at + 1]
+        if not c or c not in chars:
+            raise json.JSONDecodeError(f"Expecting one of {chars}", text, at)
+        at += 1
+        return c
+
+    blank()
+    while at < len(text):
+        if text[at] == "[":
+            at += 1
+            blank()
+            if text[at : at + 1] == "]":
+                at += 1
+            else:
+                while True:
+                    blank()
+                    yield value()
+                    if expect(",]") == "]":
+                        break
+        else:
+            yield value()
+        if "\n" not in blank() and at < len(text):
+            raise json.JSONDecodeError("Extra data", text, at)
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+
+
+def _items(f: TextIO) -> Iterator[dict]:
+    """The items of RSS that is read piece by piece."""
+    text, done = "", 0
+    while True:
+        new = f.read(max(CHUNK, len(text)))
+        text += new
+        for m in re.finditer(r"(?is)<item[^>]*>(.*?)</item>", text):
+            yield {k: re.sub(r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", r"\1", v).strip() for k, v in re.findall(r"(?is)<([\w:]+)[^>]*>(.*?)</\1>", m[1])}
+            done = m.end()
+        if not new:
+            return
+        begun = re.search(r"(?i)<item", text[done:])
+        text, done = text[done + begun.start() :] if begun else text[max(done, len(text) - 8) :], 0
+
+
+def encoding_of(f: BinaryIO, fallback: str) -> str:
+    """UTF-8 if all bytes of a file are, else the fallback."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        text = raw.decode("utf-8-sig")
+        while piece := f.read(CHUNK):
+            decoder.decode(piece)
+        decoder.decode(b"", True)
     except UnicodeDecodeError:
-        text = raw.decode(fallback, "replace")
+        return fallback
+    return "utf-8-sig"
+
+
+def records(f: BinaryIO, name: str, encoding: str) -> Iterator[dict]:
+    """The records of a file, by its ending, read piece by piece: no file is held whole.  What is no record is left out."""
     end = name.rsplit(".", 1)[-1].lower()
+    text = io.TextIOWrapper(f, encoding, "strict" if encoding == "utf-8-sig" else "replace", newline="" if end == "csv" else "\n")
     if end == "csv":
-        yield from ({(k or "").strip(): v or "" for k, v in row.items() if isinstance(v, str) or v is None} for row in csv.DictReader(io.StringIO(text, newline="")) if any(isinstance(v, str) and v.strip() for v in row.values()))
+        yield from ({(k or "").strip(): v or "" for k, v in row.items() if isinstance(v, str) or v is None} for row in csv.DictReader(text) if any(isinstance(v, str) and v.strip() for v in row.values()))
     elif end in ("ndjson", "jsonl"):
-        for line in text.split("\n"):
+        for line in text:
             if line.strip():
                 yield json.loads(line)
     elif end in ("xml", "rss"):
-        for item in re.findall(r"(?is)<item[^>]*>(.*?)</item>", text):
-            yield {k: re.sub(r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", r"\1", v).strip() for k, v in re.findall(r"(?is)<([\w:]+)[^>]*>(.*?)</\1>", item)}
-    elif text.strip():
-        try:
-            found = json.loads(text)
-        except json.JSONDecodeError as e:
-            if e.msg != "Extra data":
-                raise
-            found = [json.loads(line) for line in text.split("\n") if line.strip()]  # JSON lines
-        yield from (found if isinstance(found, list) else [found])
+        yield from _items(text)
+    else:
+        yield from _json_values(text)
 
 
 class LandedReader(DataSourceReader):
@@ -109,8 +199,9 @@ class LandedReader(DataSourceReader):
         from pyarrow import fs
 
         where, _ = fs.FileSystem.from_uri(self.options["path"])
+        # two passes over the bytes, the first for the encoding alone
         with where.open_input_stream(part.path) as f:
-            raw = f.read()
+            encoding = encoding_of(f, self.options.get("fallback", "cp950"))
         arrow = to_arrow_schema(self.schema)
         held: list[dict] = []
 
@@ -119,12 +210,13 @@ class LandedReader(DataSourceReader):
             columns = [[own[f.name]] * len(held) if f.name in own else [_plain(r.get(f.name), f.dataType) for r in held] for f in self.schema]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow)
 
-        for r in records(raw, part.file, self.options.get("fallback", "cp950")):
-            if isinstance(r, dict):
-                held.append(r)
-            if len(held) == ROWS:
-                yield batch()
-                held = []
+        with where.open_input_stream(part.path) as f:
+            for r in records(f, part.file, encoding):
+                if isinstance(r, dict):
+                    held.append(r)
+                if len(held) == ROWS:
+                    yield batch()
+                    held = []
         if held:
             yield batch()
 

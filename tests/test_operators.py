@@ -249,3 +249,16 @@ def test_projection_and_people(spark):
     assert P.same_name(people, "p").count() == 2
     got = P.categorised(df, F.lit("k"), F.col("t"), {"z": "Z"}, [("李", "L")]).orderBy("id").first()
     assert (got.category, got.categoryFrom) == ("L", "title")
+
+
+def test_tiers_are_taken_from_lists_not_from_joined_candidates(spark):
+    rows = [(k, k % 2 or None, k % 3, (k * 7) % 5) for k in range(60)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, price int")
+    found = J.tiered_fill(df, "id", [["a", "b"], ["a"], ["b"]], ["price"], 4)
+    want = set()
+    for i, a, b, _ in rows:
+        tier = lambda o: 0 if a and (o[1], o[2]) == (a, b) else 1 if a and o[1] == a else 2 if o[2] == b else None  # noqa: B023, E731
+        best = sorted((tier(o), o[3], o[0]) for o in rows if o[0] != i and tier(o) is not None)[:4]
+        want |= {(i, o, t, n + 1) for n, (t, _, o) in enumerate(best)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert "Aggregate [id" not in found._jdf.queryExecution().optimizedPlan().toString()

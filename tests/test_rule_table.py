@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.operators import page_dates as D
 from weftline.operators import reports as R
 from weftline.operators import rules as Ru
-from weftline.operators.rule_table import label_texts, needed_literals
+from weftline.operators.rule_table import filed, label_texts, needed_literals
 
 
 def test_literals_that_every_match_needs():
@@ -42,6 +42,16 @@ def test_a_plan_does_not_grow_with_the_rules(spark):
         label_texts(texts, spark.range(100).select(F.col("id").alias("ord"), F.lit("[a-z]+").alias("pattern")))
 
 
+def test_no_table_of_rules_or_texts_is_broadcast_and_short_literals_are_filed_whole(spark):
+    texts = spark.range(200).select("id", F.concat(F.lit("no "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("text"))
+    rules = spark.range(100, 200).select(F.col("id").alias("ord"), F.concat(F.lit("NO 0*1"), F.col("id").cast("string"), F.lit("$")).alias("pattern"))
+    found = label_texts(texts.withColumn("text", F.concat(F.lit("no 00001"), F.col("id").cast("string"))), rules)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(k, k) for k in range(100, 200)]
+    filing = filed(spark.createDataFrame([(1, "12345"), (2, "123456789")], "ord long, pattern string"))
+    assert sorted((r.ord, r.run) for r in filing.collect()) == [(1, "12345"), (2, "12345678"), (2, "23456789")]
+
+
 def test_labels_and_classes_read_patterns_as_sql_does(spark):
     import duckdb
 

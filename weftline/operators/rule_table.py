@@ -1,9 +1,11 @@
 """Rule tables as data: patterns filed under literals that every match needs.
 
 A rule's pattern is read once for literals: of each alternative one must be in any text
-that the pattern matches.  Literals are filed under one of their character runs of up to
-three; a text fetches, by its own runs, only the rules it may match, and only those are
-tried.  A plan does not grow with the table, which may hold any number of rules.
+that the pattern matches.  Literals of up to eight characters are filed as they are, longer
+ones under one of their runs of eight; a text fetches, by its own runs of the lengths that
+are filed, only the rules it may match, and only those are tried.  A plan does not grow
+with the table, which may hold any number of rules: no side of a join that may be large
+is broadcast, whatever its files weigh.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ try:
 except ImportError:  # before Python 3.11
     import sre_parse as _sre  # type: ignore[no-redef]
 
-RUN = 3
+RUN = 8
 MOST_UNFILED = 64
 
 
@@ -72,10 +74,15 @@ def filed(rules: DataFrame) -> DataFrame:
     return rules.select(F.col("ord").cast("long").alias("ord"), "pattern").mapInPandas(read, "ord long, option int, literal string, run string")
 
 
-def runs_of(text: Column) -> Column:
-    """The distinct runs of one to three characters of a text, in time proportional to its length."""
-    at = lambda n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
-    return F.array_distinct(F.flatten(F.array(*[at(n) for n in range(1, RUN + 1)])))
+def runs_of(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, run): the distinct runs of each text (id, text) of some lengths, in time proportional to its length."""
+    if not lengths:
+        return texts.select("id", F.lit(None).cast("string").alias("run")).where("false")
+    at = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    found = at(lengths[0])
+    for n in lengths[1:]:
+        found = F.when(F.col("n") == n, at(n)).otherwise(found)
+    return texts.withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths]))).select("id", F.explode(F.array_distinct(found)).alias("run"))
 
 
 def label_texts(texts: DataFrame, rules: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -88,14 +95,17 @@ def label_texts(texts: DataFrame, rules: DataFrame, id_col: str = "id", text_col
     rules = cut(rules.where("pattern is not null").select(F.col("ord").cast("long").alias("ord"), "pattern"), "rules")
     index = cut(filed(rules), "index")
     runs = index.where("run is not null").select("run").distinct()
-    own = cut(t.select("id", F.explode(runs_of(F.lower("text"))).alias("run")).join(runs, "run"), "runs")
+    lengths = sorted(r[0] for r in runs.select(F.char_length("run")).distinct().collect())  # RUN numbers at most
+    own = cut(runs_of(t.withColumn("text", F.lower("text")), lengths).join(runs.hint("shuffle_merge"), "run"), "runs")
     # each literal under its rarest run, each rule under the rarest of its literal sets
     counts = own.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    rarest = index.where("run is not null").join(counts, "run", "left").groupBy("ord", "option", "literal").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
+    rarest = index.where("run is not null").join(counts.hint("shuffle_merge"), "run", "left").groupBy("ord", "option", "literal").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
     options = rarest.groupBy("ord", "option").agg(F.sum("best.n").alias("n"), F.collect_set(F.struct(F.col("best.run").alias("run"), "literal")).alias("under"))
     chosen = options.groupBy("ord").agg(F.min_by("under", F.struct("n", "option")).alias("under")).select("ord", F.explode("under").alias("u")).select("ord", "u.run", "u.literal")
-    fetched = own.join(chosen, "run").select("id", "ord", "literal").join(t, "id").where(F.contains(F.lower("text"), F.col("literal")))
-    tried = fetched.join(rules, "ord").where(F.expr("text rlike concat('(?iu)', pattern)")).select("id", "ord").distinct()
+    # the pattern comes along, so that what is fetched is joined with the rules no more
+    chosen = cut(chosen.join(rules.hint("shuffle_merge"), "ord"), "chosen")
+    fetched = own.join(chosen.hint("shuffle_merge"), "run").join(t.hint("shuffle_merge"), "id").where(F.contains(F.lower("text"), F.col("literal")))
+    tried = fetched.where(F.expr("text rlike concat('(?iu)', pattern)")).select("id", "ord").distinct()
     rest = [r["pattern_ord"] for r in index.where("run is null").select(F.col("ord").alias("pattern_ord")).limit(MOST_UNFILED + 1).collect()]
     if len(rest) > MOST_UNFILED:
         raise ValueError(f"more than {MOST_UNFILED} rules have no literal that every match needs, such as rule {min(rest)}")

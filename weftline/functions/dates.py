@@ -33,12 +33,11 @@ def roc_date(s: Column) -> Column:
 
 def ymd(s: Column) -> Column:
     """'2026/3/7', '2026-03-07' or '20260307' to an ISO date; zero dates to null."""
-    loose = r"^\s*(\d{4})[./\-](\d{1,2})[./\-](\d{1,2})"
-    tight = r"^\s*(\d{4})(\d{2})(\d{2})\s*$"
+    loose = r"^\s*(?!0000)(\d{4})[./\-](\d{1,2})[./\-](\d{1,2})"
+    tight = r"^\s*(?!0000)(\d{4})(\d{2})(\d{2})\s*$"
     part = lambda p, k: F.regexp_extract(s, p, k)
     iso = lambda p: F.concat_ws("-", part(p, 1), F.lpad(part(p, 2), 2, "0"), F.lpad(part(p, 3), 2, "0"))
-    out = F.when(s.rlike(loose), iso(loose)).when(s.rlike(tight), iso(tight))
-    return F.when(~out.startswith("0000"), out)
+    return F.when(s.rlike(loose), iso(loose)).when(s.rlike(tight), iso(tight))
 
 
 def status_of(opens: Column, closes: Column, today: Column) -> Column:

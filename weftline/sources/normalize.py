@@ -233,8 +233,11 @@ def job_training(raw: DataFrame, fetched_at: str) -> DataFrame:
 
 def pre_job_training(raw: DataFrame, fetched_at: str) -> DataFrame:
     """Pre-job training: dates padded and split at a tilde, the student's own share as the price."""
-    ends = lambda c, n: D.ymd(trim_all(F.get(F.split(F.coalesce(text(c), F.lit("")), "[~～]"), F.lit(n))))
-    start, end, opens, closes = ends("訓練期間", 0), ends("訓練期間", 1), ends("報名期間", 0), ends("報名期間", 1)
+    # what is read many times is a column of its own, so that no expression repeats another's
+    ends = {"__start": ("訓練期間", 0), "__end": ("訓練期間", 1), "__opens": ("報名期間", 0), "__closes": ("報名期間", 1)}
+    raw = raw.withColumns({name: trim_all(F.get(F.split(F.coalesce(text(c), F.lit("")), "[~～]"), F.lit(n))) for name, (c, n) in ends.items()})
+    raw = raw.withColumns({name: D.ymd(F.col(name)) for name in ends})
+    start, end, opens, closes = (F.col(name) for name in ends)
     city, district, street = text("訓練縣市"), text("訓練區域"), text("訓練地址")
     address = F.when(street.startswith(F.coalesce(city, F.lit(""))), street).otherwise(F.concat(F.coalesce(city, F.lit("")), F.coalesce(district, F.lit("")), street))
     numbered = F.coalesce(address.rlike(HOUSE_NUMBER + r"|[0-9]+\s*樓"), F.lit(False))

@@ -71,3 +71,19 @@ def test_best_value_of_each_path_and_spans_never_inverted(spark):
     assert got[2].payload.schedule.endDate == "2026-01-01" and got[2].payload.price is None
     assert got[4].payload.schedule.endDate is None and got[4].payload.schedule.startDate == "2026-05-01"
     assert project_paths(df.limit(0), "k", "payload", "source", "record", "conf", "prio").count() == 0
+
+
+def test_members_of_a_key_meet_in_one_row_and_large_keys_are_grouped(spark):
+    rng = random.Random(5)
+    day = lambda: rng.choice([None, " ", "2026-01-01", "2026-01-01 10:00", "2026-02-01", "2026-03-01"])
+    rows = [(rng.choice([None, 1, 2, 2, 2, 3, 4]), rng.choice("st"), f"r{n:03}", rng.choice([0.5, 0.9]), rng.choice([1, 2]), ((day(), day()), rng.choice([None, 1.0, 2.0, float("nan")]), rng.choice([None, ["x"], ["x", None]]))) for n in range(120)]
+    df = spark.createDataFrame(rows, MEMBER)
+    args = ("k", "payload", "source", "record", "conf", "prio")
+    spans = [("schedule.startDate", "schedule.endDate")]
+    found = project_paths(df, *args, spans=spans)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    shown = lambda df: sorted(str(r) for r in df.collect())
+    want = shown(found)
+    assert len(want) == 4  # members without a key make none
+    assert shown(project_paths(df, *args, spans=spans, many=1)) == shown(project_paths(df, *args, spans=spans, many=25)) == want

@@ -1,7 +1,9 @@
 """Histories merged in place: which files change, what a replay does, null keys; hashes of nested payloads."""
 
 import hashlib
+import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -65,3 +67,30 @@ def test_hashes_of_nested_payloads(spark):
     assert got[0] == hashlib.sha256('{"a":1,"b":{"x":[1,{"p":1}],"y":"é\\""}}'.encode()).hexdigest()
     leaves = lambda depth: df.select(O.nested_hash(F.col("j"), depth=depth))._jdf.queryExecution().analyzed().expressions().apply(0).collectLeaves().size()
     assert leaves(4) - leaves(2) == leaves(6) - leaves(4)
+
+
+def test_shallow_payloads_are_settled_in_their_text_and_all_as_by_hand(spark):
+    rng = random.Random(3)
+    words = ["at", "a", "b,c", "x\":null,", "{", "]\\", ":null", "é", "\U0001f600", "", ""]
+
+    def value(left):
+        kind = rng.randrange(7 if left else 4)
+        if kind > 4:
+            return {rng.choice(words): value(left - 1) for _ in range(rng.randrange(5))}
+        return [None, rng.randrange(-5, 99), rng.choice(words), True, [value(left - 1) for _ in range(rng.randrange(4))] if left else None][kind]
+
+    def canon(v, left):
+        if isinstance(v, dict):
+            kept = sorted(v.items(), key=lambda x: x[0].encode() if left else x[0].encode("utf-16-be"))
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canon(x, max(left - 1, 0))}" for k, x in kept if not left or (x is not None and k not in ("at", "b,c"))) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(canon(x, max(left - 1, 0)) for x in v) + "]"
+        return json.dumps(v, ensure_ascii=False)
+
+    made = [value(5) for _ in range(600)] + [{"a": {"at": [1], "b": None}}, {"at": 1}, {"a": None, "at": "x", "b": 1}, {"b": 1, "at": {}, "é": None}]
+    df = spark.createDataFrame([(n, json.dumps(v, ensure_ascii=n % 2 > 0)) for n, v in enumerate(made)], "n int, j string").repartition(4)
+    for depth in (3, 6):
+        found = df.select("n", O.nested_hash(F.col("j"), volatile=("at", "b,c"), depth=depth).alias("h"))
+        assert "regexp_replace" in found._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.n: r.h for r in found.collect()}
+        assert [n for n, v in enumerate(made) if got[n] != hashlib.sha256(canon(v, depth).encode()).hexdigest()] == []

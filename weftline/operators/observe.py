@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from json import dumps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,32 @@ def content_hash(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\0")) for c in cols]), 256)
 
 
+#: Patterns of JSON as Spark writes it, without blanks.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_SCALAR = rf'(?:{_STRING}|[^\[\]{{}}",]++)'
+
+
+def _plain(drop: str, depth: int) -> str:
+    """Pattern of texts at most ``depth`` levels deep, without surrogates and with scalars only under dropped keys."""
+    token = _STRING.replace(r"[^", r"[^\x{10000}-\x{10FFFF}")
+    if drop:
+        token = rf"(?!{drop}:[\[{{]){token}"
+    token = rf'{token}|[^\[\]{{}}"]++'
+    p = f"(?:{token})*+"
+    for _ in range(depth):
+        p = rf"(?:{token}|[\[{{]{p}[\]}}])*+"
+    return f"^{p}$"
+
+
+def _pruned(text: Column, drop: str) -> Column:
+    """``text`` without null fields and without dropped keys, whose values are scalars.
+
+    Every string is matched as a whole and put back, so no match begins inside of one.
+    """
+    gone = rf"(?:{_STRING}:null(?=[,}}])" + (rf"|{drop}:{_SCALAR})" if drop else ")")
+    return F.regexp_replace(text, rf"(?<=\{{)(?:{gone}(?:,|(?=\}})))++|,{gone}|({_STRING})", "$1")
+
+
 def nested_hash(json: Column, volatile: tuple[str, ...] = (), depth: int = 6) -> Column:
     """SHA-256 of a nested JSON payload that does not depend on how it is written.
 
@@ -24,6 +53,11 @@ def nested_hash(json: Column, volatile: tuple[str, ...] = (), depth: int = 6) ->
     ``volatile`` keys are left out wherever they are; array order counts.  Text that is
     no JSON is hashed as it is, null stays null.  Levels below ``depth`` are hashed as
     they are written.
+
+    Parsed payloads are written with sorted keys, so most are settled by leaving fields
+    out of that text.  Walked level by level, to the same text, are only those that are
+    deeper than ``depth``, have a volatile key with an array or object, or characters that
+    sort in another order as UTF-8 than as UTF-16.
     """
     drop = F.array(*[F.lit(k) for k in volatile]) if volatile else F.array().cast("array<string>")
     quoted = lambda k: F.substring(F.to_json(F.struct(k.alias("k"))), F.lit(6), F.length(F.to_json(F.struct(k.alias("k")))) - 6)  # noqa: E731  {"k":"name"}
@@ -42,8 +76,11 @@ def nested_hash(json: Column, volatile: tuple[str, ...] = (), depth: int = 6) ->
         nested = lambda t: F.concat(F.substring(t, 1, 1), F.array_join(texts, ","), F.substring(t, -1, 1))
         return let(F.to_json(v), lambda t: F.when(t.rlike(r"^[\[{]"), nested(t)).otherwise(t))
 
-    parsed = F.try_parse_json(json)
-    return F.sha2(F.coalesce(F.when(parsed.isNotNull(), let(parsed, lambda v: canon(v, depth))), json), 256)
+    names = "|".join(re.escape(dumps(k, ensure_ascii=False)) for k in volatile)
+    names = f"(?:{names})" if names else ""
+    text = F.to_json(F.try_parse_json(json))
+    walked = let(F.try_parse_json(json), lambda v: canon(v, depth))
+    return F.sha2(F.when(text.isNull(), json).when(text.rlike(_plain(names, depth)), _pruned(text, names)).otherwise(walked), 256)
 
 
 def struct_hash(payload: Column) -> Column:

@@ -262,3 +262,19 @@ def test_tiers_are_taken_from_lists_not_from_joined_candidates(spark):
         want |= {(i, o, t, n + 1) for n, (t, _, o) in enumerate(best)}
     assert {tuple(r) for r in found.collect()} == want
     assert "Aggregate [id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_read_by_columns_and_keys_meet_as_hashes(spark, monkeypatch):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("owner", pa.string()), ("rule", pa.string()), ("confidence", pa.float64())]))
+    link = lambda owner, sure: {"pos": 0, "owner": owner, "rule": f"r{sure}", "confidence": sure}
+    links = [[link("q", 1.0)], [link(None, 1.0)], [], [link("b", 0.9), link(None, 0.8), link("a", 0.8)], [link("d", 1.0)]]
+    rows = pa.table({"id": list("pabde"), "links": pa.array(links, kind)})
+    assert R._links(rows.slice(1)) == [[], [], [(1, "r0.9", 0.9), (0, "r0.8", 0.8)], [(2, "r1.0", 1.0)]]
+    with pytest.raises(ValueError, match="outside"):
+        R._links(rows)
+    made, cut = {}, R.cut
+    monkeypatch.setattr(R, "cut", lambda df, label: made.setdefault(label, cut(df, label)))
+    R.cluster_greedy(spark.createDataFrame(ROWS, OBS))
+    assert dict(made["owners"].dtypes)["key"] == "binary" and {len(r.key) for r in made["owners"].collect()} == {16}

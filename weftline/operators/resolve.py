@@ -118,13 +118,27 @@ def greedy_merge(pdf: pd.DataFrame) -> pd.DataFrame:
 _SOLVED = "id string, component string, root string, rule string, confidence double, crossed boolean"
 
 
+def _links(rows: pa.Table) -> list[list[tuple[int, str, float]]]:
+    """(owner's place, rule, confidence) of each row's links, taken column by column."""
+    many = rows["links"].combine_chunks()
+    flat = many.flatten()
+    owner = pc.index_in(flat.field("owner"), value_set=rows["id"].combine_chunks(), skip_nulls=True)
+    if owner.null_count != flat.field("owner").null_count:
+        raise ValueError("an owner lies outside its component")
+    every = list(zip(owner.to_pylist(), flat.field("rule").to_pylist(), flat.field("confidence").to_pylist(), strict=True))
+    out, at = [], 0
+    for n in pc.list_value_length(many).to_pylist():
+        out.append([x for x in every[at : at + n] if x[0] is not None])
+        at += n
+    return out
+
+
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Clusters of rows (id, source, code, fixed_term, links, component) sorted by component and id, many components at a time."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         ids, component = rows["id"].to_pylist(), rows["component"].to_pylist()
-        place = {x: k for k, x in enumerate(ids)}
-        links = [[(place[x["owner"]], x["rule"], x["confidence"]) for x in row if x["owner"] is not None] for row in rows["links"].to_pylist()]
+        links = _links(rows)
         roots, best, crossed = greedy(rows["source"].to_pylist(), rows["code"].to_pylist(), rows["fixed_term"].to_pylist(), links)
         torn = {component[i] for i in crossed}
         made = [ids, component, [ids[r] for r in roots], [rule or "singleton" for _, rule in best], [sure or 1.0 for sure, _ in best], [c in torn for c in component]]
@@ -158,8 +172,11 @@ def cluster_greedy(obs: DataFrame) -> DataFrame:
     A group's term can change again only where a key of the strongest rule joins groups of
     two different terms.  Components where the merging meets that are merged once more,
     row by row.  A task holds the kinds of a component, of such a one its rows.
+
+    Keys are long and begin alike, which sorting them pays for; they meet as their MD5.
     """
-    keyed = cut(blocking_keys(obs).select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), F.col("code").cast("string").alias("code"), "fixed_term", "keys"), "keyed")
+    short = lambda k: F.struct(F.unhex(F.md5(k["key"].cast("binary"))).alias("key"), k["rule"].alias("rule"), k["confidence"].alias("confidence"))
+    keyed = cut(blocking_keys(obs).select(F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), F.col("code").cast("string").alias("code"), "fixed_term", F.transform("keys", short).alias("keys")), "keyed")
     shown = keyed.select("id", F.posexplode("keys").alias("pos", "k")).select("id", "pos", "k.key", "k.rule", "k.confidence")
     owners = cut(shown.groupBy("key").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1"), "owners")
     met = spread_join(shown, owners.drop("n"), "key", hot_keys(owners, "key"), ["id"])
